@@ -395,19 +395,19 @@ def session_rollup(spark: SparkSession, d: str) -> DataFrame:
     "check_prompts",
     "M-16",
     f"""with {Q.baseline() + Q.NEAREST}, {W.LABEL_QUERIES},
-pq as (select q.query_id as request_id, q.vector, b.route, b.threshold from qv q cross join bl b),
-pd as (select p.request_id, p.route, p.threshold, min({Q.distance("p.vector", "c")}) as distance
-       from pq p join cl c on c.route = p.route group by p.request_id, p.route, p.threshold),
-ps as (select q.query_id as request_id, max(sim) as similarity, min_by(m_id, {{'s': -sim, 'r': m_id}}) as matched_request_id,
+pd as materialized (
+  select q.query_id as request_id, c.route, min({Q.distance("q.vector", "c")}) as distance
+  from qv q, cl c group by q.query_id, c.route),
+ps as materialized (select q.query_id as request_id, max(sim) as similarity, min_by(m_id, {{'s': -sim, 'r': m_id}}) as matched_request_id,
               min_by(m_text, {{'s': -sim, 'r': m_id}}) as matched_text
        from (select q.query_id, m.request_id as m_id, m.prompt_text as m_text,
                     round(list_cosine_similarity(q.vector, m.embedding), 12) as sim from qv q cross join dm m) q
        group by q.query_id)
-select d.request_id, d.route, round(d.distance, 6) as distance, round(d.threshold, 6) as threshold,
+select d.request_id, d.route, round(d.distance, 6) as distance, round(b.threshold, 6) as threshold,
        round(s.similarity, 6) as similarity, s.matched_request_id, s.matched_text,
-       case when d.distance > d.threshold and s.similarity >= 0.9 then 'both'
-            when d.distance > d.threshold then 'baseline' when s.similarity >= 0.9 then 'memory' end as flagged_by
-from pd d join ps s on s.request_id = d.request_id""",
+       case when d.distance > b.threshold and s.similarity >= 0.9 then 'both'
+            when d.distance > b.threshold then 'baseline' when s.similarity >= 0.9 then 'memory' end as flagged_by
+from pd d join ps s on s.request_id = d.request_id join bl b on b.route = d.route""",
 )
 def check_prompts(spark: SparkSession, d: str) -> DataFrame:
     turns = cut(W.scored_events(spark, d))

@@ -39,7 +39,7 @@ def scored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SCORED_EVENTS = """
-se as (
+se as materialized (
   select 'req-' || cast(e.event_id as varchar) as request_id, e.event_type as route,
          'u-' || cast(e.user_id as varchar) as session_id, 'request_body' as frame_type,
          e.ts as event_ts, e.ts as kafka_ts, e.event_id as kafka_offset, e.props as prompt_text,
@@ -60,7 +60,7 @@ def label_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LABEL_QUERIES = """
-qv as (
+qv as materialized (
   select 'label-' || cast(label as varchar) as query_id, list(m order by pos) as vector
   from (select label, pos, avg(cast(embedding[pos] as double)) as m
         from (select label, embedding, unnest(range(1, len(embedding) + 1)) as pos from embeddings)
@@ -105,7 +105,7 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FRAMES = """
-fr as (
+fr as materialized (
   select conv_id, turn, 'conv-' || cast(conv_id as varchar) as stream_id,
          'req-' || cast(conv_id as varchar) || '-' || cast(turn as varchar) as request_id,
          'sess-' || cast(conv_id as varchar) as session_id,
