@@ -16,23 +16,36 @@ EVENT_COLUMNS = [
 EXTRA_COLUMNS = ["event_id", "source", "stream_id", "frame_seq", "event_ts"]
 
 
-def _text(name: str) -> Column:
-    return F.try_variant_get("envelope", f"$.{name}", "string")
+# Fields read as text, and fields whose JSON type matters too.
+_TEXTS = (
+    "request_id", "route", "session_id", "frame_type", "body", "body_size", "decision", "prompt", "completion",
+    "cohort", "event_id", "source", "stream_id", "frame_seq", "timestamp", "end_of_stream", "blocked", "warned", "headers",
+)
+_KINDS = ("body_size", "decision", "end_of_stream", "blocked", "warned", "headers")
 
 
-def _kind(name: str) -> Column:
-    return F.schema_of_variant(F.try_variant_get("envelope", f"$.{name}", "variant"))
+def _once(df: DataFrame, *columns: Column) -> DataFrame:
+    """Add columns that are computed once per row.
+
+    Plain projections are merged into the expressions that use them, which
+    would parse a document once per field. A generator is not.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*columns))))
 
 
-def _missing_or_null(name: str) -> Column:
-    return F.coalesce(_kind(name), F.lit("VOID")) == "VOID"
+def _text(name: str) -> Column:
+    return F.col(f"_{name}")
+
+
+def _kind(name: str) -> Column:
+    return F.col(f"_kind_{name}")
 
 
 def _truthy(name: str) -> Column:
     """Whether the JSON value counts as true: not null, false, zero or empty."""
     kind, text = _kind(name), _text(name)
     return (
-        F.when(_missing_or_null(name), False)
+        F.when(kind.isNull() | (kind == "VOID"), False)
         .when(kind == "BOOLEAN", text == "true")
         .when(kind == "STRING", text != "")
         .when(kind.startswith("OBJECT") | kind.startswith("ARRAY"), ~text.isin("{}", "[]"))
@@ -41,44 +54,54 @@ def _truthy(name: str) -> Column:
 
 
 def _reject_reason() -> Column:
-    size = _text("body_size")
-    has_size = _kind("body_size").isNotNull()
+    bad_size = _kind("body_size").isNotNull() & _text("body_size").try_cast("double").isNull()
     return (
         F.when(F.col("envelope").isNull(), "malformed json")
-        .when(~F.schema_of_variant("envelope").startswith("OBJECT"), "not an object")
+        .when(~F.col("_kind").startswith("OBJECT"), "not an object")
         .when(_truthy("headers") & ~_kind("headers").startswith("OBJECT"), "headers not an object")
-        .when(has_size & size.try_cast("double").isNull(), "bad body_size")
+        .when(bad_size, "bad body_size")
+    )
+
+
+def _fields(messages: DataFrame) -> DataFrame:
+    """Messages with every envelope field and the reject reason as columns."""
+
+    def get(name: str, kind: str) -> Column:
+        return F.try_variant_get("envelope", f"$.{name}", kind)
+
+    parsed = _once(messages, F.try_parse_json("value").alias("envelope"))
+    fields = _once(
+        parsed,
+        F.schema_of_variant("envelope").alias("_kind"),
+        *[get(n, "string").alias(f"_{n}") for n in _TEXTS],
+        *[F.schema_of_variant(get(n, "variant")).alias(f"_kind_{n}") for n in _KINDS],
+        F.coalesce(get("headers", "map<string,string>"), F.create_map().cast("map<string,string>")).alias("headers"),
+    )
+    return _once(
+        fields,
+        _reject_reason().alias("reason"),
+        F.coalesce(S.present(_text("body")), F.lit("")).alias("body"),
+        F.coalesce(S.present(_text("frame_type")), F.lit("unknown")).alias("frame_type"),
     )
 
 
 def parse_events(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(events, rejects) from messages with Kafka columns and a JSON ``value``.
 
-    Both come from one parse; a message is in exactly one of them.
+    A message is in exactly one of them.
     """
-    parsed = messages.withColumn("envelope", F.try_parse_json("value")).withColumn("reason", _reject_reason())
-    rejects = parsed.where(F.col("reason").isNotNull()).drop("envelope")
-    return _typed(parsed.where(F.col("reason").isNull())), rejects
+    fields = _fields(messages)
+    rejects = fields.where(F.col("reason").isNotNull()).select(*messages.columns, "reason")
+    return _typed(fields.where(F.col("reason").isNull())), rejects
 
 
-def _typed(parsed: DataFrame) -> DataFrame:
-    headers = F.coalesce(
-        F.try_variant_get("envelope", "$.headers", "map<string,string>"),
-        F.create_map().cast("map<string,string>"),
-    )
-    fields = parsed.select(
-        "kafka_topic", "kafka_partition", "kafka_offset", "kafka_ts", "envelope",
-        F.col("value").alias("event_json"),
-        headers.alias("headers"),
-        F.coalesce(S.present(_text("body")), F.lit("")).alias("body"),
-        F.coalesce(S.present(_text("frame_type")), F.lit("unknown")).alias("frame_type"),
-    )
-    body, frame = F.col("body"), F.col("frame_type")
+def _typed(fields: DataFrame) -> DataFrame:
+    body, frame, headers = F.col("body"), F.col("frame_type"), F.col("headers")
     return fields.select(
         "kafka_topic", "kafka_partition", "kafka_offset", "kafka_ts",
         _text("request_id").alias("request_id"),
-        S.resolve_route(_text("route"), F.col("headers")).alias("route"),
-        S.resolve_session(_text("session_id"), F.col("headers")).alias("session_id"),
+        S.resolve_route(_text("route"), headers).alias("route"),
+        S.resolve_session(_text("session_id"), headers).alias("session_id"),
         "frame_type",
         _truthy("end_of_stream").alias("end_of_stream"),
         "headers", "body",
@@ -87,7 +110,7 @@ def _typed(parsed: DataFrame) -> DataFrame:
         F.when(_kind("decision").isNull(), "Unknown").otherwise(_text("decision")).alias("decision"),
         _truthy("blocked").alias("blocked"),
         _truthy("warned").alias("warned"),
-        "event_json",
+        F.col("value").alias("event_json"),
         S.prompt_text(frame, body, _text("prompt")).alias("prompt_text"),
         S.completion_text(frame, body, _text("completion")).alias("completion_text"),
         F.lit(None).cast("array<float>").alias("prompt_embedding"),
