@@ -151,8 +151,8 @@ def replaced_projections(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "cluster_composition",
     "A-08",
-    f"with {POINTS} select cluster_id, count_if(cohort = 'drift') as drift, count_if(cohort = 'noise') as noise, "
-    "count_if(cohort = 'normal') as normal from pt where cohort is not null group by cluster_id",
+    f"with {POINTS} select cluster_id, cast(count_if(cohort = 'drift') as bigint) as drift, cast(count_if(cohort = 'noise') as bigint) as noise, "
+    "cast(count_if(cohort = 'normal') as bigint) as normal from pt where cohort is not null group by cluster_id",
 )
 def cluster_composition(spark: SparkSession, d: str) -> DataFrame:
     return R.cluster_composition(labelled(spark, d))
@@ -203,23 +203,37 @@ def settled_counts(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-@query(
-    "streamed_scoring",
-    "R-03 R-06 M-12",
-    f"with {Q.drift()}, z as (select session_id, max(distance) as distance from st group by session_id) "
-    "select d.session_id, d.route, d.worst_request_id, round(d.distance, 6) as distance from dv d",
-)
-def streamed_scoring(spark: SparkSession, d: str) -> DataFrame:
+def online_store(spark: SparkSession, d: str) -> online.OnlineStore:
+    """State left by scoring the prompts as a stream of three files."""
     turns = cut(W.scored_events(spark, d))
     base, memory = D.fitted(turns), D.memory(turns)
     path = scratch_path(spark, "turns")
     turns.repartitionByRange(3, "event_ts").write.parquet(path)
     stream = spark.readStream.schema(turns.schema).option("maxFilesPerTrigger", 1).parquet(path)
     store = online.OnlineStore(scratch_path(spark, "online"))
-    seed = memory.select(*merge.MEMORY_COLUMNS).withColumn("distance", F.col("distance"))
     run = online.run_online(
-        stream, lambda: base, store, scratch_path(spark, "checkpoint"), seed, CFG, {"availableNow": True}
+        stream, lambda: base, store, scratch_path(spark, "checkpoint"), memory, CFG, {"availableNow": True}
     )
     run.awaitTermination()
-    rows = online.current_drift(spark.read.parquet(store.drift))
-    return rows.select("session_id", "route", "worst_request_id", r6("distance").alias("distance"))
+    return store
+
+
+@query(
+    "streamed_scoring",
+    "R-03 R-06 M-12",
+    f"with {Q.drift()} select w.route, w.session_id, w.request_id as worst_request_id, round(w.distance, 6) as distance, "
+    "c.turn_count from wt w join tc c on c.route = w.route and c.session_id = w.session_id",
+)
+def streamed_scoring(spark: SparkSession, d: str) -> DataFrame:
+    log = spark.read.parquet(online_store(spark, d).sessions).drop("batch_id")
+    return online.merge_sessions(log).select(
+        "route", "session_id", F.col("worst.request_id").alias("worst_request_id"),
+        r6("worst.distance").alias("distance"), "turn_count",
+    )
+
+
+@query("streamed_drift_events", "R-03 R-06 K-04 K-05")
+def streamed_drift_events(spark: SparkSession, d: str) -> DataFrame:
+    # Which turn is remembered first depends on the order of the files.
+    rows = online.current_drift(spark.read.parquet(online_store(spark, d).drift))
+    return rows.select("session_id", "route", r6("distance").alias("distance"), "flagged_by")

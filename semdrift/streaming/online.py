@@ -72,13 +72,16 @@ def score_batch(
     batch_id: int,
     baseline: Baseline,
     store: OnlineStore,
-    empty_memory: DataFrame,
+    known: DataFrame,
     cfg: DetectorConfig = DetectorConfig(),
 ) -> None:
-    """Score one micro-batch of stored events and log what it adds."""
+    """Score one micro-batch of stored events and log what it adds.
+
+    ``known`` is the memory from before the stream; it may be empty.
+    """
     spark = batch.sparkSession
-    memory = before(read_or_none(spark, store.memory), batch_id)
-    memory = empty_memory if memory is None else memory.select(*MEMORY_COLUMNS)
+    learned = before(read_or_none(spark, store.memory), batch_id)
+    memory = known if learned is None else known.unionByName(learned.select(*MEMORY_COLUMNS))
     turns = cut(score_turns(batch, baseline, memory, cfg))
     part = cut(
         turns.groupBy("route", "session_id", "threshold").agg(
@@ -90,7 +93,8 @@ def score_batch(
     log = before(read_or_none(spark, store.sessions), batch_id)
     if log is not None:
         # Only the log rows of this batch's sessions and of this baseline.
-        mine = log.drop("batch_id").join(part.select("route", "session_id", "threshold"), ["route", "session_id", "threshold"], "left_semi")
+        key = ["route", "session_id", "threshold"]
+        mine = log.drop("batch_id").join(part.select(*key), key, "left_semi")
         total = merge_sessions(mine.unionByName(part))
     else:
         total = part
@@ -106,14 +110,14 @@ def run_online(
     load_baseline,
     store: OnlineStore,
     checkpoint: str,
-    empty_memory: DataFrame,
+    known: DataFrame,
     cfg: DetectorConfig = DetectorConfig(),
     trigger: dict | None = None,
 ) -> StreamingQuery:
     """Start scoring a stream of stored events; the baseline is loaded anew for each batch."""
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        score_batch(batch, batch_id, load_baseline(), store, empty_memory, cfg)
+        score_batch(batch, batch_id, load_baseline(), store, known, cfg)
 
     # Fixed value: seconds between two scoring passes.
     trigger = trigger or {"processingTime": "30 seconds"}
