@@ -14,6 +14,7 @@ from semdrift.checks.registry import query
 from semdrift.functions import scalars as S
 from semdrift.operators import filters, ordering
 from semdrift.operators import frames as FR
+from semdrift.scale import cut
 
 
 @query(
@@ -132,7 +133,7 @@ def decoded_bodies(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sse_frames(spark: SparkSession, d: str) -> DataFrame:
-    """Answers as server-sent events, one per word, cut into chunks of 100 characters."""
+    """Answers as server-sent events, one per word, cut into chunks of 400 characters."""
     answers = W.frames(spark, d).where(F.col("frame_type") == "response_body")
     words = F.split("body", " ")
 
@@ -146,11 +147,11 @@ def sse_frames(spark: SparkSession, d: str) -> DataFrame:
     noise = F.lit('data: {broken\ndata: [DONE]\ndata: {"choices":[{"delta":{"content":"lost"}}]}')
     text = F.concat(F.array_join(F.transform(words, event), ""), noise)
     sent = answers.select(F.col("request_id").alias("stream_id"), text.alias("text"))
-    last = F.ceil(F.length("text") / 100).cast("int") - 1
+    last = F.ceil(F.length("text") / 400).cast("int") - 1
     cuts = sent.select("stream_id", "text", F.explode(F.sequence(F.lit(0), last)).alias("i"))
     return cuts.select(
         "stream_id", F.col("i").cast("bigint").alias("frame_seq"),
-        F.substring("text", F.col("i") * 100 + 1, F.lit(100)).alias("body"),
+        F.substring("text", F.col("i") * 400 + 1, F.lit(400)).alias("body"),
     )
 
 
@@ -163,7 +164,7 @@ select request_id as stream_id,
   array_to_string([x || ' ' for x, i in words if i % 5 = 0], '') as reasoning from w""",
 )
 def streamed_answers(spark: SparkSession, d: str) -> DataFrame:
-    return FR.assemble_sse(sse_frames(spark, d))
+    return FR.assemble_sse(cut(sse_frames(spark, d)))
 
 
 @query(

@@ -117,7 +117,7 @@ def euclid_labels(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return squared.argmin(axis=1)
 
 
-def nearest_cluster_kernel(book: Broadcast):
+def nearest_cluster_kernel(book: Broadcast, epsilon: float):
     """Arrow UDF (route, vector) -> (distance, cluster_id) over a broadcast cluster book."""
 
     @F.arrow_udf("distance double, cluster_id int")
@@ -131,8 +131,8 @@ def nearest_cluster_kernel(book: Broadcast):
             rows = rows[valid[rows]]
             if entry is None or not len(rows):
                 continue
-            ids, centroids, spread = entry
-            d = scaled_distances(x[where[rows]], centroids, spread)
+            ids, centroids, variance = entry
+            d = scaled_distances(x[where[rows]], centroids, variance + epsilon)
             d = np.where(np.isnan(d), np.inf, d)
             best = d.argmin(axis=1)
             distance[rows] = d[np.arange(len(rows)), best]

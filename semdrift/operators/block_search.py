@@ -52,9 +52,8 @@ def nearest_memory(
     Without any memory, or without a prompt vector, these are NULL. With
     ``min_similarity`` matches below it need not be found and may be NULL.
     """
-    known = cut(distinct_memory(memory))
-    count, dim = known.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
-    if not count:
+    first = memory.where(F.col("embedding").isNotNull()).select(F.size("embedding")).first()
+    if first is None:
         return turns.withColumns(
             {
                 "similarity": F.lit(None).cast("double"),
@@ -62,21 +61,24 @@ def nearest_memory(
                 "matched_text": F.lit(None).cast("string"),
             }
         )
-    if row_bytes(count, dim) <= book_bytes:
-        best = _search_book(turns, known)
-    else:
-        best = _search_blocks(turns, known, count, min_similarity, blocks)
-    return best
+    known = distinct_memory(memory)
+    most = max(book_bytes // row_bytes(1, first[0]), 1)
+    rows = known.limit(most + 1).toArrow()
+    if rows.num_rows <= most:
+        return _search_book(turns, rows)
+    known = cut(known)
+    return _search_blocks(turns, known, known.count(), min_similarity, blocks)
 
 
 # ---- whole memory on every executor ---------------------------------------
 
 
-def _search_book(turns: DataFrame, known: DataFrame) -> DataFrame:
-    rows = known.orderBy("source_request_id").collect()  # size checked by the caller
-    matrix = unit_rows(np.array([r["embedding"] for r in rows], dtype=np.float64))
-    ids = np.array([r["source_request_id"] for r in rows], dtype=object)
-    texts = np.array([r["prompt_text"] for r in rows], dtype=object)
+def _search_book(turns: DataFrame, rows: pa.Table) -> DataFrame:
+    """``rows``: size-checked distinct memory."""
+    rows = rows.sort_by("source_request_id")
+    matrix = unit_rows(as_matrix(rows.column("embedding").combine_chunks())[0])
+    ids = np.array(rows.column("source_request_id").to_pylist(), dtype=object)
+    texts = np.array(rows.column("prompt_text").to_pylist(), dtype=object)
     book = turns.sparkSession.sparkContext.broadcast((matrix, ids, texts))
 
     @F.arrow_udf("similarity double, request_id string, text string")
@@ -85,9 +87,11 @@ def _search_book(turns: DataFrame, known: DataFrame) -> DataFrame:
         x, valid = as_matrix(vectors)
         similarity = np.full(len(vectors), np.nan)
         match = np.zeros(len(vectors), dtype=np.int64)
-        if x.size:
+        if x.size and len(memory):
             similarity[valid], match[valid] = best_rows(unit_rows(x), memory)
         missing = np.isnan(similarity)
+        if not len(memory):
+            ids = texts = np.array([None], dtype=object)
         return pa.StructArray.from_arrays(
             [
                 pa.array(similarity, mask=missing),

@@ -170,61 +170,56 @@ def _unzip_chunk(decoder, chunk: bytes, last: bool):
 
 
 def stream_lines(frames: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """Complete lines of each stream: (stream_id, line_no, line), chunks joined in frame order.
+    """Lines of each stream: (stream_id, line_no, line, complete), chunks joined in frame order.
 
     A line may span chunks, so each piece gets the number of line breaks
-    before it; only the pieces of one line are ever put together. What
-    follows the last line break is incomplete and dropped.
+    before it; only the pieces of one line are ever put together. A line is
+    complete once a piece of it ends in a break.
     """
-    breaks = (F.size(F.split("body", "\n")) - 1).cast("bigint")
-    counted = frames.select("stream_id", "frame_seq", F.coalesce("body", F.lit("")).alias("body")).withColumn(
-        "_breaks", breaks
-    )
-    placed = running_total(counted, ["stream_id"], [F.col("frame_seq")], F.col("_breaks"), "_upto", group_rows)
-    totals = placed.groupBy("stream_id").agg(F.max("_upto").alias("_total"))
-    pieces = placed.select(
-        "stream_id", "frame_seq", (F.col("_upto") - F.col("_breaks")).alias("_before"),
-        F.posexplode(F.split("body", "\n")).alias("_at", "piece"),
-    ).withColumn("line_no", F.col("_before") + F.col("_at"))
-    lines = pieces.groupBy("stream_id", "line_no").agg(
-        F.expr("listagg(piece, '') within group (order by frame_seq)").alias("line")
+    pieces = F.split(F.coalesce("body", F.lit("")), "\n")
+    chunks = frames.select("stream_id", "frame_seq", pieces.alias("pieces"))
+    breaks = (F.size("pieces") - 1).cast("bigint")
+    placed = running_total(chunks, ["stream_id"], [F.col("frame_seq")], breaks, "_upto", group_rows)
+    exploded = placed.select(
+        "stream_id", "frame_seq", (F.col("_upto") - breaks).alias("_before"), breaks.alias("_breaks"),
+        F.posexplode("pieces").alias("_at", "piece"),
+    )
+    lines = exploded.groupBy("stream_id", (F.col("_before") + F.col("_at")).alias("line_no")).agg(
+        F.expr("listagg(piece, '') within group (order by frame_seq)").alias("line"),
+        F.bool_or(F.col("_at") < F.col("_breaks")).alias("complete"),
     )
-    complete = lines.join(totals, "stream_id").where(F.col("line_no") < F.col("_total"))
-    return complete.select("stream_id", "line_no", S.strip(F.col("line")).alias("line"))
+    return lines.withColumn("line", S.strip(F.col("line")))
 
 
 def sse_deltas(lines: DataFrame) -> DataFrame:
-    """Content and reasoning pieces of server-sent ``data:`` lines; other lines are skipped."""
+    """Add the content and reasoning piece of each server-sent ``data:`` line; NULL for other lines."""
     data = F.expr("substring(line, 7)")
-    payload = lines.where(F.startswith("line", F.lit("data: ")) & (data != "[DONE]")).withColumn(
-        "v", F.try_parse_json(data)
-    )
+    payload = F.when(F.col("complete") & F.startswith("line", F.lit("data: ")) & (data != "[DONE]"), data)
 
     def field(name: str) -> Column:
         return S.present(F.try_variant_get("v", f"$.choices[0].delta.{name}", "string"))
 
-    deltas = payload.where(F.col("v").isNotNull()).select(
+    # The generator keeps the document from being parsed once per field.
+    parsed = lines.select("stream_id", "line_no", F.explode(F.array(F.try_parse_json(payload))).alias("v"))
+    return parsed.select(
         "stream_id", "line_no",
         field("content").alias("content"),
         F.coalesce(field("reasoning_content"), field("reasoning")).alias("reasoning"),
     )
-    return deltas.where(F.col("content").isNotNull() | F.col("reasoning").isNotNull())
 
 
 def assemble_sse(frames: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     """The answer and reasoning text of each streamed response.
 
-    Only the text itself, not the event lines around it, is put together per
-    stream.
+    What follows the last line break is incomplete and dropped. Only the text
+    itself, not the event lines around it, is put together per stream.
     """
     deltas = sse_deltas(stream_lines(frames, group_rows))
-    texts = deltas.groupBy("stream_id").agg(
-        F.expr("listagg(content, '') within group (order by line_no)").alias("content"),
-        F.expr("listagg(reasoning, '') within group (order by line_no)").alias("reasoning"),
-    )
-    streams = frames.select("stream_id").distinct()
-    return streams.join(texts, "stream_id", "left").select(
-        "stream_id", *[F.coalesce(c, F.lit("")).alias(c) for c in ("content", "reasoning")]
+    return deltas.groupBy("stream_id").agg(
+        *[
+            F.coalesce(F.expr(f"listagg({c}, '') within group (order by line_no)"), F.lit("")).alias(c)
+            for c in ("content", "reasoning")
+        ]
     )
 
 

@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from semdrift.config import DetectorConfig
 from semdrift.functions import vectors as V
 from semdrift.functions.scalars import window_end
 from semdrift.operators.filters import baseline_window, embedded_events
-from semdrift.operators.rollups import route_threshold, route_time_range
+from semdrift.operators.rollups import cluster_stats, route_threshold, route_time_range
 from semdrift.scale import cut, row_bytes, small_side
 
 # Centroids are rounded in each round, so that the order of additions never decides a label.
@@ -54,14 +54,14 @@ def compute_baselines(events: DataFrame, cfg: DetectorConfig = DetectorConfig(),
     windows = small_side(route_windows(events, cfg.baseline_fraction))
     columns = ["route", "request_id", "event_ts", "prompt_embedding"]
     sample = baseline_window(embedded_events(events).select(*columns), windows).drop("event_ts")
+    if cfg.cache_sample:
+        sample = sample.persist(StorageLevel.MEMORY_AND_DISK)
     sizes = cut(
         sample.groupBy("route")
         .agg(F.count(F.lit(1)).cast("int").alias("sample_count"))
         .where(F.col("sample_count") >= cfg.min_samples)
     )
     sizes = sizes.withColumn("k", V.effective_k(F.col("sample_count"), cfg.n_clusters, cfg.samples_per_cluster))
-    if cfg.cache_sample:
-        sample = sample.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         clusters = fit_route_clusters(sample, sizes, cfg, rounds)
         scored = score_nearest(sample, clusters, cfg)
@@ -109,32 +109,50 @@ def fit_route_clusters(
 
     ``sample``: route, request_id, prompt_embedding. ``sizes``: route, k.
     Every round is one scan of the sample that yields partial sums per task.
+    Centroids within the size budget travel as a broadcast book; there are at
+    most k per route, so they never outgrow it later.
     """
-    centroids = cut(initial_centroids(sample, sizes, cfg.n_clusters))
-    several = sizes.agg(F.max("k")).first()[0]
-    for _ in range((cfg.lloyd_rounds if rounds is None else rounds) if (several or 1) > 1 else 0):
-        moved = cut(_label_moments(sample, centroids, cfg).select("route", "cluster_id", _rounded("centroid")))
-        if moved.exceptAll(centroids.select(*moved.columns)).isEmpty():
+    rounds = cfg.lloyd_rounds if rounds is None else rounds
+    if (sizes.agg(F.max("k")).first()[0] or 1) == 1:
+        rounds = 0
+    seeds = initial_centroids(sample, sizes, cfg.n_clusters)
+    dim = width(sample, "prompt_embedding")
+    rows = fetch(seeds, "centroid", dim, cfg.cluster_book_bytes)
+    vectors = sample.select("route", "prompt_embedding")
+    if rows is None:
+        return _fit_by_join(vectors, cut(seeds), rounds)
+    for _ in range(rounds):
+        # No more rows than before, so the size needs no second check.
+        moments = _book_moments(vectors, rows).select("route", "cluster_id", "centroid")
+        moved = fetch(moments, "centroid", dim, cfg.cluster_book_bytes, CENTROID_DIGITS)
+        same, rows = _equal(rows, moved), moved
+        if same:
             break
-        centroids = moved
-    return cut(_label_moments(sample, centroids, cfg))
+    return cut(_book_moments(vectors, rows))
 
 
-def _rounded(name: str):
-    return F.transform(name, lambda v: F.round(v, CENTROID_DIGITS)).alias(name)
+def _book_moments(vectors: DataFrame, rows: pa.Table) -> DataFrame:
+    book = _book(vectors.sparkSession, rows, "centroid")
 
+    def label(route: str, x: np.ndarray):
+        entry = book.value.get(route)
+        return None if entry is None else entry[0][V.euclid_labels(x, entry[1])]
 
-def _label_moments(sample: DataFrame, centroids: DataFrame, cfg: DetectorConfig) -> DataFrame:
-    """Label the sample by its nearest centroid and aggregate each label."""
-    vectors = sample.select("route", "prompt_embedding")
-    if _fits(centroids, "centroid", 1, cfg.cluster_book_bytes):
-        book = _book(centroids.select("route", "cluster_id", "centroid"))
+    return V.merge_moments(vectors.mapInArrow(V.moments_kernel(label), V.MOMENTS_SCHEMA))
 
-        def label(route: str, x: np.ndarray):
-            entry = book.value.get(route)
-            return None if entry is None else entry[0][V.euclid_labels(x, entry[1])]
 
-        return V.merge_moments(vectors.mapInArrow(V.moments_kernel(label), V.MOMENTS_SCHEMA))
+def _fit_by_join(vectors: DataFrame, centroids: DataFrame, rounds: int) -> DataFrame:
+    """The same with centroids joined by route, for any number of routes."""
+    for _ in range(rounds):
+        rounded = F.transform("centroid", lambda v: F.round(v, CENTROID_DIGITS)).alias("centroid")
+        moved = cut(_join_moments(vectors, centroids).select("route", "cluster_id", rounded))
+        if moved.exceptAll(centroids).isEmpty():
+            break
+        centroids = moved
+    return cut(_join_moments(vectors, centroids))
+
+
+def _join_moments(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
     packed = centroids.groupBy("route").agg(
         F.array_sort(F.collect_list(F.struct("cluster_id", "centroid"))).alias("centroids")
     )
@@ -146,29 +164,43 @@ def _label_moments(sample: DataFrame, centroids: DataFrame, cfg: DetectorConfig)
             c.cluster_id.alias("cluster_id"),
         ),
     )
-    labelled = vectors.join(packed, "route").withColumn("cluster_id", F.array_min(gaps).cluster_id)
-    from semdrift.operators.rollups import cluster_stats
+    return cluster_stats(vectors.join(packed, "route").withColumn("cluster_id", F.array_min(gaps).cluster_id))
+
+
+def width(df: DataFrame, vector: str) -> int:
+    """Length of the vectors of a table; 1 if it has none."""
+    first = df.where(F.col(vector).isNotNull()).select(F.size(vector)).first()
+    return first[0] if first else 1
 
-    return cluster_stats(labelled)
 
+def fetch(df: DataFrame, vector: str, dim: int, limit: int, digits: int | None = None) -> pa.Table | None:
+    """Rows of a cluster table on the driver, or None when their vectors exceed ``limit`` bytes.
+
+    The number of rows asked for is bounded before anything is fetched.
+    """
+    most = max(limit // row_bytes(1, dim), 1)
+    rows = df.limit(most + 1).toArrow()
+    if rows.num_rows > most:
+        return None
+    rows = rows.sort_by([("route", "ascending"), ("cluster_id", "ascending")])
+    if digits is not None and rows.num_rows:
+        at = rows.column_names.index(vector)
+        flat = V.as_matrix(rows.column(vector).combine_chunks())[0].round(digits)
+        rows = rows.set_column(at, vector, V.list_array(flat))
+    return rows
 
-def _fits(clusters: DataFrame, vector: str, arrays: int, limit: int) -> bool:
-    count, dim = clusters.agg(F.count(F.lit(1)), F.max(F.size(vector))).first()
-    return row_bytes(count, dim or 0, arrays) <= limit
 
+def _equal(a: pa.Table, b: pa.Table) -> bool:
+    return a.select(["route", "cluster_id", "centroid"]).equals(b.select(["route", "cluster_id", "centroid"]))
 
-def _book(clusters: DataFrame, finish: Callable = lambda e: e):
-    """Broadcast of route -> (cluster ids, centroids, ...) in cluster_id order; size checked by the caller."""
-    names = clusters.columns[2:]
-    grouped: dict = {}
-    for row in clusters.orderBy("route", "cluster_id").collect():
-        grouped.setdefault(row["route"], []).append(row)
-    book = {
-        route: finish((np.array([r["cluster_id"] for r in rows], dtype=np.int32),
-                       *(np.array([r[n] for r in rows], dtype=np.float64) for n in names)))
-        for route, rows in grouped.items()
-    }
-    return clusters.sparkSession.sparkContext.broadcast(book)
+
+def _book(spark: SparkSession, rows: pa.Table, *names: str):
+    """Broadcast of route -> (cluster ids, matrix per name) from sorted, size-checked rows."""
+    ids = rows.column("cluster_id").to_numpy().astype(np.int32)
+    matrices = [V.as_matrix(rows.column(n).combine_chunks())[0] for n in names]
+    routes = rows.column("route").combine_chunks()
+    book = {route: (ids[at], *(m[at] for m in matrices)) for route, at in V.route_groups(routes)}
+    return spark.sparkContext.broadcast(book)
 
 
 # ---- distance to the baseline ---------------------------------------------
@@ -181,12 +213,12 @@ def score_nearest(turns: DataFrame, clusters: DataFrame, cfg: DetectorConfig = D
     table within the size budget goes to every executor; a larger one is
     joined by route.
     """
-    if _fits(clusters, "centroid", 2, cfg.cluster_book_bytes):
-        book = _book(
-            clusters.select("route", "cluster_id", "centroid", "variance"),
-            lambda e: (e[0], e[1], e[2] + cfg.epsilon),
-        )
-        found = turns.withColumn("_n", V.nearest_cluster_kernel(book)("route", "prompt_embedding"))
+    both = clusters.select("route", "cluster_id", "centroid", "variance")
+    rows = fetch(both, "centroid", 2 * width(clusters, "centroid"), cfg.cluster_book_bytes)
+    if rows is not None:
+        book = _book(turns.sparkSession, rows, "centroid", "variance")
+        nearest = V.nearest_cluster_kernel(book, cfg.epsilon)
+        found = turns.withColumn("_n", nearest("route", "prompt_embedding"))
         return found.select(
             *turns.columns, F.col("_n.distance").alias("distance"), F.col("_n.cluster_id").alias("cluster_id")
         )
