@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from semdrift.scale import small_side
 
+# Routes whose cluster arrays may be broadcast (some 50 KB each at 768 dimensions).
+CLUSTER_ROWS = 10_000
+
 
 def projections_with_events(projections: DataFrame, events: DataFrame, dedupe: bool = False) -> DataFrame:
     """Projected points with session, route and prompt preview.
@@ -25,7 +28,7 @@ def projections_with_events(projections: DataFrame, events: DataFrame, dedupe: b
 
 def join_baseline(turns: DataFrame, baseline: DataFrame) -> DataFrame:
     """Turns with their route's threshold and cluster array; routes without a baseline drop out."""
-    return turns.join(small_side(baseline.select("route", "threshold", "clusters")), "route")
+    return turns.join(small_side(baseline.select("route", "threshold", "clusters"), CLUSTER_ROWS, stored=True), "route")
 
 
 def not_stored(df: DataFrame, target: DataFrame, keys: list[str]) -> DataFrame:

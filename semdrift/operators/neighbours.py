@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from semdrift.functions.vectors import SIMILARITY_DIGITS, as_matrix, doubles, similarity_kernel, unit_rows
@@ -48,18 +48,19 @@ def nearest_prompts_batch(
     out = None
     for i in range(passes):
         rows = asked.where(share == i).orderBy("query_id").collect()  # about per_pass rows
-        part = turns.mapInArrow(_best_per_query(rows, k), "query_id string, request_id string, similarity double")
+        part = turns.mapInArrow(_best_per_query(turns.sparkSession, rows, k), "query_id string, request_id string, similarity double")
         out = part if out is None else out.unionByName(part)
     best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "request_id")
     ranked = out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "request_id", "similarity")
 
 
-def _best_per_query(rows, k: int):
-    names = [r["query_id"] for r in rows]
+def _best_per_query(spark: SparkSession, rows, k: int):
     matrix = unit_rows(np.array([r["v"] for r in rows], dtype=np.float64)) if rows else None
+    asked = spark.sparkContext.broadcast(([r["query_id"] for r in rows], matrix))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, matrix = asked.value
         held = [(np.empty(0), np.empty(0, dtype=object)) for _ in names]
         for batch in batches:
             if not names or not len(batch):

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
+from pyspark import Broadcast, StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -122,17 +122,19 @@ def fit_route_clusters(
     if rows is None:
         return _fit_by_join(vectors, cut(seeds), rounds)
     for _ in range(rounds):
-        # No more rows than before, so the size needs no second check.
-        moments = _book_moments(vectors, rows).select("route", "cluster_id", "centroid")
+        # No more rows than before, so they fit again.
+        book = _book(vectors.sparkSession, rows, "centroid")
+        moments = _book_moments(vectors, book).select("route", "cluster_id", "centroid")
         moved = fetch(moments, "centroid", dim, cfg.cluster_book_bytes, CENTROID_DIGITS)
+        book.unpersist()
         same, rows = _equal(rows, moved), moved
         if same:
             break
-    return cut(_book_moments(vectors, rows))
+    return cut(_book_moments(vectors, _book(vectors.sparkSession, rows, "centroid")))
 
 
-def _book_moments(vectors: DataFrame, rows: pa.Table) -> DataFrame:
-    book = _book(vectors.sparkSession, rows, "centroid")
+def _book_moments(vectors: DataFrame, book: Broadcast) -> DataFrame:
+    """Label the sample by its nearest centroid and aggregate each label."""
 
     def label(route: str, x: np.ndarray):
         entry = book.value.get(route)
@@ -194,7 +196,7 @@ def _equal(a: pa.Table, b: pa.Table) -> bool:
     return a.select(["route", "cluster_id", "centroid"]).equals(b.select(["route", "cluster_id", "centroid"]))
 
 
-def _book(spark: SparkSession, rows: pa.Table, *names: str):
+def _book(spark: SparkSession, rows: pa.Table, *names: str) -> Broadcast:
     """Broadcast of route -> (cluster ids, matrix per name) from sorted, size-checked rows."""
     ids = rows.column("cluster_id").to_numpy().astype(np.int32)
     matrices = [V.as_matrix(rows.column(n).combine_chunks())[0] for n in names]

@@ -25,7 +25,7 @@ def session_trend(
     timed = events.where(F.col("session_id").isNotNull())
     turns = prompt_turns(timed).select("session_id", "request_id", "event_ts", "prompt_text", "prompt_embedding")
     routed = turns.join(session_route(timed), "session_id")
-    routed = routed.join(small_side(baseline.routes.select("route", "threshold")), "route")
+    routed = routed.join(small_side(baseline.routes.select("route", "threshold"), stored=True), "route")
     scored = score_nearest(routed, baseline.clusters, cfg)
     return turn_index(scored, group_rows).select(
         "session_id", "turn_index", "request_id", "event_ts", "route", "distance", "threshold",

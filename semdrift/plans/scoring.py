@@ -36,7 +36,7 @@ def score_turns(
 
     Turns without a session cannot be reported and are left out.
     """
-    limits = small_side(baseline.routes.select("route", "threshold", "window_end"))
+    limits = small_side(baseline.routes.select("route", "threshold", "window_end"), stored=True)
     columns = ["request_id", "session_id", "route", "event_ts", "prompt_text", "cohort", "prompt_embedding"]
     turns = online_candidates(embedded_events(events).select(*columns), limits)
     turns = turns.where(F.col("session_id").isNotNull()).join(limits.select("route", "threshold"), "route")
@@ -123,7 +123,9 @@ def score_sessions(
     finds over several passes is found in one.
     """
     turns = cut(score_turns(events, baseline, memory, cfg))
-    added = cut(remember(memory, new_memory(turns)).select(*MEMORY_COLUMNS))
+    added = remember(memory, new_memory(turns)).select(*MEMORY_COLUMNS)
+    if transitive:
+        added = cut(added)
     fresh, done = added, 0
     while transitive and not fresh.isEmpty() and (max_rounds is None or done < max_rounds):
         again = nearest_memory(
@@ -163,7 +165,7 @@ def check_prompts(
     """
     if "route" not in prompts.columns:
         prompts = prompts.withColumn("route", F.lit(DEFAULT_ROUTE))
-    limits = small_side(baseline.routes.select("route", "threshold"))
+    limits = small_side(baseline.routes.select("route", "threshold"), stored=True)
     scored = score_nearest(prompts.join(limits, "route"), baseline.clusters, cfg)
     checked = with_hits(nearest_memory(scored, memory, None, cfg.memory_book_bytes), cfg)
     return checked.withColumn("flagged_by", flagged_by(F.col("baseline_hit"), F.col("memory_hit")))

@@ -42,11 +42,11 @@ def row_bytes(row_count: int, dim: int, arrays: int = 1) -> int:
     return row_count * dim * arrays * 8
 
 
-def small_side(df: DataFrame, max_rows: int = SMALL_TABLE_ROWS) -> DataFrame:
+def small_side(df: DataFrame, max_rows: int = SMALL_TABLE_ROWS, stored: bool = False) -> DataFrame:
     """``df`` materialized, with a broadcast hint if its counted size allows one.
 
     Without the hint Spark shuffles both sides and adaptive execution splits
-    the hot keys.
+    the hot keys. ``stored`` says that ``df`` is cheap to read again.
     """
-    df = cut(df)
+    df = df if stored else cut(df)
     return F.broadcast(df) if df.count() <= max_rows else df

@@ -19,7 +19,6 @@ from semdrift.operators import rollups as R
 from semdrift.operators.merge import DRIFT_COLUMNS, MEMORY_COLUMNS, best_drift_events, remember
 from semdrift.plans.baseline import Baseline
 from semdrift.plans.scoring import flag, new_memory, score_turns
-from semdrift.scale import cut
 from semdrift.streaming.ingest import read_or_none
 
 
@@ -82,27 +81,32 @@ def score_batch(
     spark = batch.sparkSession
     learned = before(read_or_none(spark, store.memory), batch_id)
     memory = known if learned is None else known.unionByName(learned.select(*MEMORY_COLUMNS))
-    turns = cut(score_turns(batch, baseline, memory, cfg))
-    part = cut(
-        turns.groupBy("route", "session_id", "threshold").agg(
+    # Cached, not checkpointed: a stream must not leave files behind.
+    turns = score_turns(batch, baseline, memory, cfg).persist()
+    part = (
+        turns.groupBy("route", "session_id", "threshold")
+        .agg(
             R.worst_turn_of().alias("worst"),
             R.best_memory_turn_of(cfg.memory_threshold).alias("repeat"),
             F.count(F.lit(1)).cast("int").alias("turn_count"),
         )
+        .persist()
     )
-    log = before(read_or_none(spark, store.sessions), batch_id)
-    if log is not None:
-        # Only the log rows of this batch's sessions and of this baseline.
-        key = ["route", "session_id", "threshold"]
-        mine = log.drop("batch_id").join(part.select(*key), key, "left_semi")
-        total = merge_sessions(mine.unionByName(part))
-    else:
+    try:
+        log = before(read_or_none(spark, store.sessions), batch_id)
         total = part
-    flag(total).select(*DRIFT_COLUMNS).write.mode("overwrite").parquet(f"{store.drift}/batch_id={batch_id}")
-    added = remember(memory, new_memory(turns)).select(*MEMORY_COLUMNS)
-    added.write.mode("overwrite").parquet(f"{store.memory}/batch_id={batch_id}")
-    # Last, so that a batch cut short is seen as missing.
-    part.write.mode("overwrite").parquet(f"{store.sessions}/batch_id={batch_id}")
+        if log is not None:
+            # Only the log rows of this batch's sessions and of this baseline.
+            key = ["route", "session_id", "threshold"]
+            mine = log.drop("batch_id").join(part.select(*key), key, "left_semi")
+            total = merge_sessions(mine.unionByName(part))
+        flag(total).select(*DRIFT_COLUMNS).write.mode("overwrite").parquet(f"{store.drift}/batch_id={batch_id}")
+        added = remember(memory, new_memory(turns)).select(*MEMORY_COLUMNS)
+        added.write.mode("overwrite").parquet(f"{store.memory}/batch_id={batch_id}")
+        part.write.mode("overwrite").parquet(f"{store.sessions}/batch_id={batch_id}")
+    finally:
+        part.unpersist()
+        turns.unpersist()
 
 
 def run_online(

@@ -35,7 +35,7 @@ def test_streamed_answers(spark, group_rows):
     got = sse(
         spark,
         {
-            "split": [delta[:12] % () if False else (delta % ("content", "Hel"))[:20], (delta % ("content", "Hel"))[20:] + ": note\n\n", delta % ("content", "lo")],
+            "split": [(delta % ("content", "Hel"))[:20], (delta % ("content", "Hel"))[20:] + ": note\n\n", delta % ("content", "lo")],
             "kinds": [delta % ("reasoning_content", "a") + delta % ("reasoning", "b"), delta % ("content", "c") + "data: [DONE]\n"],
             "broken": ["data: {oops\n", "event: x\n" + delta % ("content", "ok")],
             "open": [delta % ("content", "kept"), (delta % ("content", "lost")).rstrip("\n")],
