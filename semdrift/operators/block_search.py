@@ -23,6 +23,8 @@ from semdrift.scale import cut, row_bytes
 
 # Allowance for rounding in the angle bounds.
 ANGLE_SLACK = 1e-6
+# Room for one request id in the book.
+ID_BYTES = 128
 
 
 @dataclass(frozen=True)
@@ -33,11 +35,17 @@ class BlockPlan:
 
 
 def distinct_memory(memory: DataFrame) -> DataFrame:
-    """Remembered vectors once each, with their first request id and its text."""
+    """Remembered vectors once each, with their first request id."""
     usable = memory.where(F.col("embedding").isNotNull() & F.exists("embedding", lambda v: v != 0))
-    return usable.groupBy("embedding").agg(
-        F.min(F.struct("source_request_id", "prompt_text")).alias("first")
-    ).select("embedding", "first.*")
+    return usable.groupBy("embedding").agg(F.min("source_request_id").alias("source_request_id"))
+
+
+def with_text(matched: DataFrame, memory: DataFrame) -> DataFrame:
+    """Add the ``matched_text`` of the remembered request. Texts are joined, never broadcast as a book."""
+    texts = memory.groupBy(F.col("source_request_id").alias("matched_request_id")).agg(
+        F.min("prompt_text").alias("matched_text")
+    )
+    return matched.join(texts, "matched_request_id", "left")
 
 
 def nearest_memory(
@@ -47,7 +55,7 @@ def nearest_memory(
     book_bytes: int = 128 * 1024 * 1024,
     blocks: BlockPlan = BlockPlan(),
 ) -> DataFrame:
-    """Turns with ``similarity``, ``matched_request_id`` and ``matched_text`` of the closest memory.
+    """Turns with ``similarity`` and ``matched_request_id`` of the closest memory.
 
     Without any memory, or without a prompt vector, these are NULL. With
     ``min_similarity`` matches below it need not be found and may be NULL.
@@ -58,11 +66,10 @@ def nearest_memory(
             {
                 "similarity": F.lit(None).cast("double"),
                 "matched_request_id": F.lit(None).cast("string"),
-                "matched_text": F.lit(None).cast("string"),
             }
         )
     known = distinct_memory(memory)
-    most = max(book_bytes // row_bytes(1, first[0]), 1)
+    most = max(book_bytes // (row_bytes(1, first[0]) + ID_BYTES), 1)
     rows = known.limit(most + 1).toArrow()
     if rows.num_rows <= most:
         return _search_book(turns, rows)
@@ -78,12 +85,11 @@ def _search_book(turns: DataFrame, rows: pa.Table) -> DataFrame:
     rows = rows.sort_by("source_request_id")
     matrix = unit_rows(as_matrix(rows.column("embedding").combine_chunks())[0])
     ids = np.array(rows.column("source_request_id").to_pylist(), dtype=object)
-    texts = np.array(rows.column("prompt_text").to_pylist(), dtype=object)
-    book = turns.sparkSession.sparkContext.broadcast((matrix, ids, texts))
+    book = turns.sparkSession.sparkContext.broadcast((matrix, ids))
 
-    @F.arrow_udf("similarity double, request_id string, text string")
+    @F.arrow_udf("similarity double, request_id string")
     def search(vectors: pa.Array) -> pa.Array:
-        memory, ids, texts = book.value
+        memory, ids = book.value
         x, valid = as_matrix(vectors)
         similarity = np.full(len(vectors), np.nan)
         match = np.zeros(len(vectors), dtype=np.int64)
@@ -91,14 +97,13 @@ def _search_book(turns: DataFrame, rows: pa.Table) -> DataFrame:
             similarity[valid], match[valid] = best_rows(unit_rows(x), memory)
         missing = np.isnan(similarity)
         if not len(memory):
-            ids = texts = np.array([None], dtype=object)
+            ids = np.array([None], dtype=object)
         return pa.StructArray.from_arrays(
             [
                 pa.array(similarity, mask=missing),
                 pa.array(ids[match], pa.string(), mask=missing),
-                pa.array(texts[match], pa.string(), mask=missing),
             ],
-            names=["similarity", "request_id", "text"],
+            names=["similarity", "request_id"],
         )
 
     found = turns.withColumn("_m", search("prompt_embedding"))
@@ -106,7 +111,6 @@ def _search_book(turns: DataFrame, rows: pa.Table) -> DataFrame:
         *turns.columns,
         F.col("_m.similarity").alias("similarity"),
         F.col("_m.request_id").alias("matched_request_id"),
-        F.col("_m.text").alias("matched_text"),
     )
 
 
@@ -175,15 +179,12 @@ def _search_blocks(turns, known, count, min_similarity, plan: BlockPlan) -> Data
     best = pairs.groupBy("embedding").agg(
         F.min(F.struct((-F.col("similarity")).alias("s"), "request_id")).alias("b")
     )
-    texts = known.select(F.col("source_request_id").alias("matched_request_id"), F.col("prompt_text").alias("matched_text"))
     matched = best.select(
         F.col("embedding").alias("prompt_embedding"),
         (-F.col("b.s")).alias("similarity"),
         F.col("b.request_id").alias("matched_request_id"),
-    ).join(texts, "matched_request_id", "left")
-    return turns.join(matched, "prompt_embedding", "left").select(
-        *turns.columns, "similarity", "matched_request_id", "matched_text"
     )
+    return turns.join(matched, "prompt_embedding", "left").select(*turns.columns, "similarity", "matched_request_id")
 
 
 def _angles(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:

@@ -55,7 +55,8 @@ def remember(old: DataFrame, hits: DataFrame) -> DataFrame:
     """Rows to append to the memory: unknown request ids, the first turn of each."""
     fields = [c for c in hits.columns if c not in ("source_request_id", "event_ts")]
     order = F.struct(F.col("source_route"), F.col("source_session_id"), F.col("event_ts").isNull(), F.col("event_ts"))
-    first = hits.groupBy("source_request_id").agg(F.min_by(F.struct(*fields), order).alias("r"))
+    named = hits.where(F.col("source_request_id").isNotNull())
+    first = named.groupBy("source_request_id").agg(F.min_by(F.struct(*fields), order).alias("r"))
     return not_stored(first.select("source_request_id", "r.*"), old, ["source_request_id"])
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from semdrift.config import DetectorConfig
 from semdrift.functions.scalars import flagged_by
 from semdrift.operators import rollups as R
-from semdrift.operators.block_search import nearest_memory
+from semdrift.operators.block_search import nearest_memory, with_text
 from semdrift.operators.filters import embedded_events, online_candidates
 from semdrift.operators.merge import DRIFT_COLUMNS, MEMORY_COLUMNS, remember
 from semdrift.plans.baseline import Baseline, score_nearest
@@ -129,7 +129,7 @@ def score_sessions(
     fresh, done = added, 0
     while transitive and not fresh.isEmpty() and (max_rounds is None or done < max_rounds):
         again = nearest_memory(
-            turns.drop("similarity", "matched_request_id", "matched_text", "baseline_hit", "memory_hit"),
+            turns.drop("similarity", "matched_request_id", "baseline_hit", "memory_hit"),
             fresh, cfg.memory_threshold, cfg.memory_book_bytes,
         )
         turns = cut(with_hits(_closer(turns, again), cfg))
@@ -143,16 +143,15 @@ def score_sessions(
 def _closer(turns: DataFrame, again: DataFrame) -> DataFrame:
     """Turns with the better of two memory matches."""
     key = ["route", "session_id", "request_id", "event_ts"]
-    match = F.struct(F.coalesce("similarity", F.lit(-2.0)).alias("similarity"), "matched_request_id", "matched_text")
+    match = F.struct(F.coalesce("similarity", F.lit(-2.0)).alias("similarity"), "matched_request_id")
     new = again.groupBy(*key).agg(F.max(match).alias("_new"))
-    old = turns.withColumn("_old", match).drop("similarity", "matched_request_id", "matched_text")
+    old = turns.withColumn("_old", match).drop("similarity", "matched_request_id")
     joined = old.alias("o").join(new.alias("n"), key, "left")
     best = F.greatest("_old", "_new")
     return joined.withColumn("_best", best).select(
         *[c for c in old.columns if c != "_old"],
         F.nullif(F.col("_best.similarity"), F.lit(-2.0)).alias("similarity"),
         F.col("_best.matched_request_id").alias("matched_request_id"),
-        F.col("_best.matched_text").alias("matched_text"),
     )
 
 
@@ -167,5 +166,6 @@ def check_prompts(
         prompts = prompts.withColumn("route", F.lit(DEFAULT_ROUTE))
     limits = small_side(baseline.routes.select("route", "threshold"), stored=True)
     scored = score_nearest(prompts.join(limits, "route"), baseline.clusters, cfg)
-    checked = with_hits(nearest_memory(scored, memory, None, cfg.memory_book_bytes), cfg)
+    matched = with_text(nearest_memory(scored, memory, None, cfg.memory_book_bytes), memory)
+    checked = with_hits(matched, cfg)
     return checked.withColumn("flagged_by", flagged_by(F.col("baseline_hit"), F.col("memory_hit")))

@@ -124,7 +124,11 @@ def test_memory_is_append_only(spark):
     schema = "source_request_id string, source_session_id string, source_route string, event_ts timestamp_ntz, distance double"
     old = spark.createDataFrame([("r1",)], "source_request_id string")
     hits = spark.createDataFrame(
-        [("r1", "s", "a", minute(1), 1.0), ("r2", "s", "a", minute(2), 2.0), ("r2", "s", "a", minute(1), 3.0)], schema
+        [
+            ("r1", "s", "a", minute(1), 1.0), ("r2", "s", "a", minute(2), 2.0), ("r2", "s", "a", minute(1), 3.0),
+            (None, "s", "a", minute(1), 9.0),
+        ],
+        schema,
     )
     got = merge.remember(old, hits).collect()
     assert [(r["source_request_id"], r["distance"]) for r in got] == [("r2", 3.0)]

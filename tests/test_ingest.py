@@ -94,6 +94,17 @@ def test_stream_equals_batch_and_redelivery_changes_nothing(spark, tmp_path):
     assert filters.embedded_events(stored.withColumn("route", F.lit("/a"))).count() == 7
 
 
+def test_stream_dedupe_within_watermark(spark, tmp_path):
+    rows = [("t", 0, i % 5, TS, "{}") for i in range(15)]
+    source = str(tmp_path / "in")
+    spark.createDataFrame(rows, "topic string, partition int, offset long, timestamp timestamp, value string").write.json(source)
+    stream = ingest.dedupe_stream(read_capture_stream(spark, {"path": source}, "json"))
+    out = str(tmp_path / "out")
+    query = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(out)
+    query.awaitTermination()
+    assert sorted(r["kafka_offset"] for r in spark.read.parquet(out).collect()) == [0, 1, 2, 3, 4]
+
+
 def test_embedding_is_normalized_prefixed_and_pluggable(spark):
     df = spark.createDataFrame([("hello there",), ("",), (" ",), (None,)], "t string")
     got = [r["v"] for r in encode.embed_text(df, "t", "v", "query", encode.hashed_encoder(32)).collect()]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from semdrift.config import DetectorConfig
 from semdrift.functions import vectors as V
 from semdrift.operators import neighbours
-from semdrift.operators.block_search import BlockPlan, nearest_memory
+from semdrift.operators.block_search import BlockPlan, nearest_memory, with_text
 from semdrift.plans import baseline as B
 
 TURNS = "route string, request_id string, event_ts timestamp_ntz, prompt_embedding array<float>"
@@ -100,8 +100,8 @@ def test_block_search_equals_brute_force(spark, min_similarity):
                 assert r["similarity"] == pytest.approx(want, abs=1e-9)
             else:
                 assert r["similarity"] is None or r["similarity"] < min_similarity
-    by_block = {(r["request_id"], r["matched_request_id"], r["matched_text"]) for r in got if (r["similarity"] or 0) > 0.8}
-    by_book = {(r["request_id"], r["matched_request_id"], r["matched_text"]) for r in small if r["similarity"] > 0.8}
+    by_block = {(r["request_id"], r["matched_request_id"]) for r in got if (r["similarity"] or 0) > 0.8}
+    by_book = {(r["request_id"], r["matched_request_id"]) for r in small if r["similarity"] > 0.8}
     assert by_block == by_book
 
 
@@ -116,6 +116,8 @@ def test_memory_edges(spark):
     found = {r["request_id"]: r for r in nearest_memory(turns, memory).collect()}
     assert (found["r1"]["similarity"], found["r1"]["matched_request_id"]) == (1.0, "m1")
     assert found["r2"]["similarity"] is None and found["r3"]["similarity"] is None
+    told = {r["request_id"]: r["matched_text"] for r in with_text(nearest_memory(turns, memory), memory).collect()}
+    assert told == {"r1": "text m1", "r2": None, "r3": None}
     blocked = {r["request_id"]: r for r in nearest_memory(turns, memory, book_bytes=0).collect()}
     assert blocked["r1"]["similarity"] == 1.0 and blocked["r3"]["similarity"] is None
 
