@@ -73,11 +73,11 @@ def matches_rule(content: Column, pattern: Column | str) -> Column:
 def keyword_rules(spark: SparkSession, block: str = BLOCK_KEYWORD, warn: str = WARN_KEYWORD) -> DataFrame:
     """The two-keyword rule set: one block and one warn pattern per frame type."""
     rows = [
-        (frame, f"{word.lower()}{suffix}", action)
+        {"frame_type": frame, "pattern": f"{word.lower()}{suffix}", "action": action}
         for frame, suffix in RULE_SUFFIXES.items()
         for word, action in ((block, "Block"), (warn, "Warn"))
     ]
-    return spark.createDataFrame(rows, "frame_type string, pattern string, action string")
+    return spark.createDataFrame(pa.Table.from_pylist(rows))
 
 
 def inspect(frames: DataFrame, rules: DataFrame) -> DataFrame:
