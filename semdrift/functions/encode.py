@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from semdrift.functions import scalars as S
 
-# Fixed value: width of the reference vectors.
+# Fixed value: width of the stored vectors.
 DIMENSIONS = 768
 MODEL_BATCH = 32
 
