@@ -25,7 +25,8 @@ MIN_PLAIN = 4
 # Bounded by rows of two longs.
 BROADCAST_ROWS = 500_000
 
-_NAME = r"(?<=[\p{Ll}\p{Nd},;:] )\p{Lu}[\p{L}'’]*"
+# A capital with a small letter behind it, within a sentence; text in capitals has no names.
+_NAME = r"(?<=[\p{Ll}\p{Nd},;:] )\p{Lu}\p{Ll}[\p{L}'’]*"
 _NUMBER = r"\p{Nd}+(?:[.,:/]\p{Nd}+)*"
 _UNIT = (
     r"§n +(?:%|°[cf]?|\p{Sc}|(?:percent|euros?|dollars?|pounds?|cents?|[kcm]?m|[km]?g|[cm]?l|km/h|mph|kwh?|mb|gb|tb|hz|"

@@ -95,11 +95,11 @@ def repeated_sentences(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str
 
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text: str = "text", counts: bool = False) -> DataFrame:
     """``docs`` with the repeated sentences cut out of ``text``; with ``counts`` also n_sentences and n_removed."""
-    gone = repeated_sentences(docs, min_words, id_col, text).select(F.col("doc_id").alias("__id"), "gone")
+    gone = repeated_sentences(docs, min_words, id_col, text).select(F.col("doc_id").alias("__id"), F.col("gone").alias("__gone"))
     joined = docs.join(gone, docs[id_col].cast("long") == F.col("__id"), "left")
     names = [c for c in docs.columns if not (counts and c in ("n_sentences", "n_removed"))]
     columns = [F.col(f"`{c}`") for c in names]
-    source = joined.select(*columns, F.col("gone").alias("__gone"))
+    source = joined.select(*columns, "__gone")
     extra = [F.lit(0).alias("n_sentences"), F.lit(0).alias("n_removed")] if counts else []
     schema = docs.select(*columns, *extra).schema
     where = names.index(text)

@@ -48,6 +48,7 @@ class Automaton:
 
     classes: np.ndarray
     table: np.ndarray
+    odds: np.ndarray  # log-odds of each term
     exact: np.ndarray  # by state: 1 + term, or 0
     fuzzy: np.ndarray  # by state: whether a term is within one edit
     depth: int
@@ -72,8 +73,8 @@ class Automaton:
         return starts, self.exact[last], self.fuzzy[last]
 
 
-def build(terms: list[str], fuzzy: set[str]) -> Automaton:
-    """Product of the trie of ``terms`` with automata that allow one edit of those in ``fuzzy``."""
+def build(terms: list[str], fuzzy: set[str], odds: list[float] | None = None) -> Automaton:
+    """Product of the trie of ``terms`` with automata that allow one edit of those in ``fuzzy``. ``odds`` weighs terms."""
     alphabet = sorted(set("".join(terms)) - {END})
     size = 1 << 16
     classes = np.array([1 if chr(c).isalnum() else 0 for c in range(size)], np.uint8)
@@ -154,10 +155,11 @@ def build(terms: list[str], fuzzy: set[str]) -> Automaton:
         at += 1
     exact = np.array([0 if isinstance(s, frozenset) else s + 1 for s in order], np.int32)
     near = np.array([isinstance(s, frozenset) and (hit, 1) in s for s in order], bool)
-    return Automaton(classes, np.array(rows, np.int32), exact, near, max((len(t) for t in terms), default=0) + 2)
+    weight = np.array([1.0] * len(terms) if odds is None else odds)
+    return Automaton(classes, np.array(rows, np.int32), weight, exact, near, max((len(t) for t in terms), default=0) + 2)
 
 
-FEATURES = 8
+FEATURES = 9
 
 
 @dataclass
@@ -183,12 +185,13 @@ def _pieces(text: str) -> Iterator[str]:
 
 
 def hit_features(automaton: Automaton | None, texts: list[str | None]) -> np.ndarray:
-    """Figures of each text: exact and fuzzy hits, in and out of quotation, and the most of them close together."""
+    """Figures of each text: exact and fuzzy hits, in and out of quotation, how many of them lie close together,
+    and the log-odds of the terms."""
     out = np.zeros((len(texts), FEATURES))
     if automaton is None:
         return out
     for i, text in enumerate(texts):
-        counts, most = np.zeros(4), 0
+        counts, most, evidence = np.zeros(4), 0, {}
         for piece in _pieces(text.lower() if text else ""):
             chars = np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), np.uint32)
             starts, exact, fuzzy = automaton.run(chars)
@@ -200,10 +203,12 @@ def hit_features(automaton: Automaton | None, texts: list[str | None]) -> np.nda
                 sure = exact[found] > 0
                 for k, mask in enumerate((sure & ~quoted, sure & quoted, ~sure & ~quoted, ~sure & quoted)):
                     counts[k] += mask.sum()
+                for t in exact[found[sure & ~quoted]]:
+                    evidence[t] = automaton.odds[t - 1]
                 open_ = found[~quoted]
                 if len(open_):
                     most = max(most, int((np.searchsorted(open_, open_ + NEAR_WORDS) - np.arange(len(open_))).max()))
-        out[i] = [*np.log1p(counts), counts[0] > 0, counts[2] > 0, np.log1p(max(most - 1, 0)), counts[0] + counts[2] == 0 and counts[1] + counts[3] > 0]
+        out[i] = [*np.log1p(counts), counts[0] > 0, counts[2] > 0, np.log1p(max(most - 1, 0)), min(sum(evidence.values()), 20.0) / 5, counts[0] + counts[2] == 0 and counts[1] + counts[3] > 0]
     return out
 
 
@@ -271,8 +276,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     n_toxic, n_clean = n.get(1, 0), n.get(0, 0)
     odds = ((F.col("toxic") + 0.5) / (n_toxic + 1)) / ((F.col("clean") + 0.5) / (n_clean + 1))
     counted = _term_counts(sample).where((F.col("toxic") >= MIN_TEXTS) & (odds >= MIN_ODDS))
+    counted = counted.withColumn("odds", F.log(odds))
     rows = counted.orderBy(F.desc("toxic"), "term").limit(20 * MAX_TERMS).collect()
     chosen: dict[str, int] = {}
+    strength = {r["term"]: r["odds"] for r in rows}
     for r in sorted(rows, key=lambda r: (len(r["term"]), r["term"])):
         t = r["term"]
         if not any(t[:k] in chosen for k in range(1, len(t))):
@@ -287,7 +294,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         full[t] = max([t, *onward], key=len)
     model.terms = [full.get(t, t) for t in model.terms]
     soft = {full[t] for t in frequent if len(full[t]) >= MIN_FUZZY and END not in full[t]}
-    model.automaton = build(model.terms, soft)
+    model.automaton = build(model.terms, soft, [strength[t] for t in model.terms])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
