@@ -1,9 +1,10 @@
 """Main text of web pages by consensus host paths.
 
 Each page's containers are scored by the text they hold outside links. A container is named by its generalised
-path of tags and classes, so that pages of one template share it. The scores are votes, summed per host and
-path in Spark; then every page is read again, and the text of the host's winning path is taken. A page that has
-none of its host's paths uses its own best container.
+path of tags and classes, so that pages of one template share it. Each page votes for its best path with that
+path's share of its text; votes are summed per host and path in Spark. Then every page is read again, and the
+text of its host's path with the most votes that it has is taken, so that pages of several templates agree each
+among themselves. A page that has none of its host's paths uses its own best container.
 
 Null and empty html gives an empty text. Pages with a null url, or one without a host, form one host of their own.
 Every row is extracted, repeated ids included. Whole pages are read; broken markup is taken as it comes: an
@@ -43,7 +44,7 @@ _SPACE = re.compile(r"\s+")
 # What a container counts of the text of one a level below.
 DECAY = 0.7
 # Paths with at least this part of the votes of the host's first one are used as well.
-SECOND = 0.3
+SECOND = 0.05
 MAX_PATHS = 8
 
 Block = tuple[tuple[str, ...], str, int]
@@ -155,7 +156,7 @@ def extract(page: str | None, votes: dict[str, float]) -> str:
     """Text of the page's part of the winning path; blocks are joined by empty lines."""
     found = blocks(page) if page else []
     own = scores(found)
-    agreed = {p: s * votes[p] for p, s in own.items() if p in votes} or own
+    agreed = {p: votes[p] for p in own if p in votes} or own
     if not agreed:
         return ""
     best = min(agreed, key=lambda p: (-agreed[p], p))
@@ -176,8 +177,10 @@ def host_paths(pages: DataFrame) -> DataFrame:
         for batch in batches:
             for host, page in zip(batch["host"].to_pylist(), batch["html"], strict=True):
                 page = page.as_py()
-                for path, score in scores(blocks(page) if page else []).items():
-                    total[host, path] += score
+                own = scores(blocks(page) if page else [])
+                if own:
+                    path = min(own, key=lambda p: (-own[p], p))
+                    total[host, path] += own[path]
             if len(total) > 100_000:
                 yield _votes(total)
                 total.clear()
