@@ -12,7 +12,7 @@ from semdrift.config import DetectorConfig
 from semdrift.functions import vectors as V
 from semdrift.operators import filters, joins, merge, neighbours, ordering
 from semdrift.operators import rollups as R
-from semdrift.operators.block_search import nearest_memory
+from semdrift.operators.block_search import BlockPlan, nearest_memory
 from semdrift.plans import baseline as B
 from semdrift.plans import quality, reports, scoring, topics
 from semdrift.scale import cut, small_side
@@ -151,6 +151,19 @@ def effective_k(spark: SparkSession, d: str) -> DataFrame:
     return counts.withColumn("k", V.effective_k(F.col("n"), CFG.n_clusters, CFG.samples_per_cluster))
 
 
+@query(
+    "nearest_cluster_joined",
+    "M-03 M-04",
+    NEAREST_CLUSTER_SQL + "select request_id, cluster_id, round(distance, 6) as distance from nd "
+    "qualify row_number() over (partition by request_id order by distance, cluster_id) = 1",
+)
+def nearest_cluster_joined(spark: SparkSession, d: str) -> DataFrame:
+    """The way that large cluster tables take."""
+    turns = W.scored_events(spark, d)
+    scored = B.score_nearest(turns, fitted(turns).clusters, DetectorConfig(cluster_book_bytes=0))
+    return scored.select("request_id", "cluster_id", r6("distance").alias("distance"))
+
+
 # ---- baseline -------------------------------------------------------------
 
 
@@ -276,6 +289,20 @@ def nearest_memory_rows(spark: SparkSession, d: str) -> DataFrame:
     return found.select("request_id", r6("similarity").alias("similarity"), "matched_request_id")
 
 
+@query(
+    "nearest_memory_blocks",
+    "J-03",
+    f"with {Q.WINDOWS + Q.NEAREST} select s.request_id, round(n.similarity, 6) as similarity, n.matched_request_id "
+    "from se s left join nm n on n.v = s.prompt_embedding",
+)
+def nearest_memory_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """The way that large memories take, with several blocks and groups."""
+    turns = W.scored_events(spark, d)
+    plan = BlockPlan(block_bytes=32 * 1024, group_rows=4000)
+    found = nearest_memory(turns, memory(turns), book_bytes=0, blocks=plan)
+    return found.select("request_id", r6("similarity").alias("similarity"), "matched_request_id")
+
+
 @query(
     "memory_hits",
     "M-13",
@@ -412,11 +439,10 @@ from pd d join ps s on s.request_id = d.request_id join bl b on b.route = d.rout
 def check_prompts(spark: SparkSession, d: str) -> DataFrame:
     turns = W.scored_events(spark, d)
     base = fitted(turns)
-    listed = base.routes.agg(F.collect_set("route").alias("routes")).first()["routes"]  # one entry per route
-    routes = F.array(*[F.lit(r) for r in [*sorted(listed), "no-baseline"]])
-    prompts = W.label_queries(spark, d).select(
-        F.col("query_id").alias("request_id"), F.col("vector").alias("prompt_embedding"), F.explode(routes).alias("route")
-    )
+    extra = spark.range(1).select(F.lit("no-baseline").alias("route"))
+    # Ten prompts, each asked on every route.
+    asked = W.label_queries(spark, d).select(F.col("query_id").alias("request_id"), F.col("vector").alias("prompt_embedding"))
+    prompts = base.routes.select("route").union(extra).join(F.broadcast(asked))
     out = scoring.check_prompts(prompts, base, memory(turns))
     return out.select(
         "request_id", "route", r6("distance").alias("distance"), r6("threshold").alias("threshold"),
@@ -470,16 +496,40 @@ def approximate_search_recall(spark: SparkSession, d: str) -> DataFrame:
 
 @query("topic_clusters", "M-07 A-09")
 def topic_clusters(spark: SparkSession, d: str) -> DataFrame:
-    recent = cut(ordering.recent(W.scored_events(spark, d)))
-    return R.cluster_sizes(topics.topic_clusters(recent))
+    return R.cluster_sizes(topics.topic_clusters(W.scored_events(spark, d)))
 
 
 @query("prompt_projection", "M-08")
 def prompt_projection(spark: SparkSession, d: str) -> DataFrame:
-    rows = topics.recent_projections(W.scored_events(spark, d))
+    rows = topics.projections(W.scored_events(spark, d))
     return rows.select("request_id", r6("x").alias("x"), r6("y").alias("y"), "cluster_id", "cohort")
 
 
+@query(
+    "topic_cluster_totals",
+    "M-07 A-09",
+    f"with {W.SCORED_EVENTS} select cohort, count(*) as n, true as labelled from se group by cohort",
+)
+def topic_cluster_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Every prompt is in one of the k clusters."""
+    labelled = topics.topic_clusters(W.scored_events(spark, d))
+    inside = F.bool_and(F.coalesce(F.col("cluster_id").between(0, 7), F.lit(False)))
+    return labelled.groupBy("cohort").agg(F.count(F.lit(1)).alias("n"), inside.alias("labelled"))
+
+
+@query(
+    "projected_prompts",
+    "J-01 M-08",
+    f"with {W.SCORED_EVENTS} select request_id, session_id, route, left(prompt_text, 150) as prompt_preview, cohort, true as placed from se",
+)
+def projected_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """Projected points joined back to their prompts."""
+    turns = W.scored_events(spark, d)
+    rows = joins.projections_with_events(topics.projections(turns), turns)
+    placed = ~F.isnan("x") & ~F.isnan("y") & F.col("cluster_id").between(0, 7)
+    return rows.select("request_id", "session_id", "route", "prompt_preview", "cohort", placed.alias("placed"))
+
+
 # ---- reports on drift -----------------------------------------------------
 
 
@@ -521,12 +571,12 @@ def default_session(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "session_options",
     "U-01 T-04",
-    f"with {Q.drift()}, ls as (select distinct session_id from se order by session_id limit 100) "
+    f"with {Q.drift()}, ls as (select distinct session_id from se order by session_id limit 2000) "
     "select session_id from ls union select session_id from (select session_id from dv order by distance desc, session_id limit 20)",
 )
 def session_options(spark: SparkSession, d: str) -> DataFrame:
     picked = ordering.top_drift_events(best_drift(spark, d), 20)
-    return ordering.session_options(ordering.list_sessions(W.scored_events(spark, d), 100), picked)
+    return ordering.session_options(ordering.list_sessions(W.scored_events(spark, d)), picked)
 
 
 @query(

@@ -63,8 +63,8 @@ def rejected_messages(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "header_lookup",
     "P-02 X-02",
-    f"with {W.PARSED} select kafka_offset, case when conv_id % 11 = 1 then route end as path, "
-    "case when conv_id % 11 not in (1, 2, 7) then 'application/json' end as content_type from pe",
+    f"with {W.PARSED} select kafka_offset, case when conv_id % 11 in (0, 1) then route end as path, "
+    "case when conv_id % 11 not in (0, 1, 2, 7) then 'application/json' end as content_type from pe",
 )
 def header_lookup(spark: SparkSession, d: str) -> DataFrame:
     h = F.col("headers")

@@ -39,13 +39,15 @@ def scored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SCORED_EVENTS = """
+nv as materialized (select count(*) as n from embeddings),
+ev as materialized (select *, event_id % n as vec_id from events, nv),
 se as materialized (
   select 'req-' || cast(e.event_id as varchar) as request_id, e.event_type as route,
          'u-' || cast(e.user_id as varchar) as session_id, 'request_body' as frame_type,
          e.ts as event_ts, e.ts as kafka_ts, e.event_id as kafka_offset, e.props as prompt_text,
          cast(v.embedding as double[]) as prompt_embedding,
          case when v.label < 7 then 'normal' when v.label < 9 then 'drift' else 'noise' end as cohort
-  from events e join embeddings v on v.vec_id = e.event_id % (select count(*) from embeddings)
+  from ev e join embeddings v using (vec_id)
 )"""
 
 
@@ -154,10 +156,12 @@ def capture_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames as JSON messages, with one irregularity per group of conversations."""
     f = frames(spark, sf_dir)
     kind, none = F.col("conv_id") % 11, F.lit(None)
+    bare = F.col("conv_id") % 22 == 11  # no frame type and no body either
     names = (
         F.when(kind == 1, F.create_map(F.lit(":PATH"), F.col("route")))
         .when(kind == 2, F.create_map(F.lit("X-Envoy-Original-Path"), F.col("route")))
         .when(kind == 7, F.create_map(F.lit("X-Session-Id"), F.col("session_id")))
+        .when(kind == 0, F.create_map(F.lit(":path"), F.col("route"), F.lit("x-session-id"), F.col("session_id")))
         .otherwise(F.create_map(F.lit("content-type"), F.lit("application/json")))
     )
     envelope = F.struct(
@@ -165,11 +169,11 @@ def capture_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("capture").alias("source"),
         F.concat(F.date_format("event_ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z")).alias("timestamp"),
         "stream_id", "request_id",
-        F.when(kind == 1, none).when(kind == 2, "").otherwise(F.col("route")).alias("route"),
-        F.when(kind == 7, none).otherwise(F.col("session_id")).alias("session_id"),
-        "frame_type", "frame_seq",
+        F.when(kind.isin(0, 1), none).when(kind == 2, "").otherwise(F.col("route")).alias("route"),
+        F.when(kind.isin(0, 7), none).otherwise(F.col("session_id")).alias("session_id"),
+        F.when(~bare, F.col("frame_type")).alias("frame_type"), "frame_seq",
         F.when(kind == 10, none).otherwise(names).alias("headers"),
-        "body",
+        F.when(~bare, F.col("body")).alias("body"),
         F.when(kind == 4, none).otherwise(F.octet_length("body")).alias("body_size"),
         F.when(kind.isin(7, 9), none).otherwise("Safe").alias("decision"),
         F.when(kind == 3, F.concat(F.lit("override "), F.col("turn"))).alias("prompt"),
@@ -178,6 +182,9 @@ def capture_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     json = F.to_json(envelope)
     extra = F.when(kind == 7, ',"decision":null}').when(kind == 8, ',"blocked":1,"warned":"","end_of_stream":"no"}')
     extra = extra.when(kind == 10, ',"headers":"x"}')
+    # Values that are there but count as missing.
+    false = ',"route":false,"session_id":0,"prompt":{},"completion":[]'
+    extra = extra.when(bare, false + ',"frame_type":0,"body":false}').when(kind == 0, false + "}")
     # Cutting the closing brace makes the text malformed.
     value = F.when(kind == 6, json.substr(F.lit(1), F.length(json) - 1)).otherwise(
         F.coalesce(F.concat(json.substr(F.lit(1), F.length(json) - 1), extra), json)
@@ -199,16 +206,18 @@ PARSED = FRAMES + """,
 dup as (select * from fr union all select * from fr where conv_id % 11 = 5),
 pe as (
   select 'capture' as kafka_topic, cast(conv_id % 3 as integer) as kafka_partition,
-         conv_id * 100 + turn as kafka_offset, event_ts as kafka_ts, request_id, route, session_id, frame_type,
+         conv_id * 100 + turn as kafka_offset, event_ts as kafka_ts, request_id, route, session_id,
+         case when conv_id % 22 = 11 then 'unknown' else frame_type end as frame_type,
          conv_id % 11 = 8 as end_of_stream,
          case conv_id % 11 when 1 then ':PATH: ' || route when 2 then 'X-Envoy-Original-Path: ' || route
-              when 7 then 'X-Session-Id: ' || session_id else 'content-type: application/json' end as headers,
-         body, cast(strlen(body) as integer) as body_size,
+              when 7 then 'X-Session-Id: ' || session_id
+              when 0 then ':path: ' || route || chr(10) || 'x-session-id: ' || session_id else 'content-type: application/json' end as headers,
+         case when conv_id % 22 = 11 then '' else body end as body, cast(strlen(body) as integer) as body_size,
          case conv_id % 11 when 7 then null when 9 then 'Unknown' else 'Safe' end as decision,
          conv_id % 11 = 8 as blocked, false as warned,
          case when conv_id % 11 = 3 then 'override ' || cast(turn as varchar)
-              when frame_type = 'request_body' then body end as prompt_text,
-         case when frame_type = 'response_body' then body end as completion_text,
+              when frame_type = 'request_body' and conv_id % 22 <> 11 then body end as prompt_text,
+         case when frame_type = 'response_body' and conv_id % 22 <> 11 then body end as completion_text,
          cohort, 'ev-' || cast(conv_id as varchar) || '-' || cast(turn as varchar) as event_id,
          stream_id, frame_seq, event_ts, conv_id, turn
   from dup where conv_id % 11 not in (6, 10)

@@ -73,8 +73,11 @@ def nearest_in(vec: Column, clusters: Column, epsilon: float = 1e-6) -> Column:
 
 
 def as_matrix(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of a list column as a float64 matrix, and which rows are present."""
+    """Rows of a list column as a float64 matrix, and which rows are present. All must have one length."""
     valid = vectors.is_valid().to_numpy(zero_copy_only=False)
+    lengths = vectors.value_lengths().drop_null().unique()
+    if len(lengths) > 1:
+        raise ValueError(f"vectors of different lengths: {sorted(lengths.to_pylist())}")
     flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
     count = int(valid.sum())
     return flat.reshape(count, -1 if count else 0), valid
@@ -133,11 +136,13 @@ def nearest_cluster_kernel(book: Broadcast, epsilon: float):
                 continue
             ids, centroids, variance = entry
             d = scaled_distances(x[where[rows]], centroids, variance + epsilon)
-            d = np.where(np.isnan(d), np.inf, d)
-            best = d.argmin(axis=1)
+            # NaN never wins; an infinite distance is one.
+            best = np.where(np.isnan(d), np.inf, d).argmin(axis=1)
+            lost = np.isnan(d[np.arange(len(rows)), best])
+            best[lost] = np.isnan(d[lost]).argmin(axis=1)
             distance[rows] = d[np.arange(len(rows)), best]
             cluster[rows] = ids[best]
-        missing = ~np.isfinite(distance)
+        missing = np.isnan(distance)
         return pa.StructArray.from_arrays(
             [pa.array(distance, mask=missing), pa.array(cluster, mask=missing)],
             names=["distance", "cluster_id"],
@@ -165,6 +170,8 @@ def similarity_kernel(query: list[float]):
 MOMENTS_SCHEMA = "route string, cluster_id int, n bigint, mean array<double>, m2 array<double>"
 # Partial sums held by one task before they are handed on (one per route and cluster).
 MOMENTS_HELD = 20_000
+# Shares of the tasks whose sums are merged first.
+MERGE_SHARES = 64
 
 
 def moments_kernel(label):
@@ -173,19 +180,6 @@ def moments_kernel(label):
     ``label(route, x)`` gives each row's cluster, or None to skip the route.
     """
 
-    def flush(held: dict) -> pa.RecordBatch:
-        keys = list(held)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([k[0] for k in keys], pa.string()),
-                pa.array([k[1] for k in keys], pa.int32()),
-                pa.array([held[k][0] for k in keys], pa.int64()),
-                list_array(np.stack([held[k][1] for k in keys])),
-                list_array(np.stack([held[k][2] for k in keys])),
-            ],
-            names=["route", "cluster_id", "n", "mean", "m2"],
-        )
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
         for batch in batches:
@@ -202,14 +196,28 @@ def moments_kernel(label):
                     m2 = ((part - mean) ** 2).sum(axis=0)
                     held[route, int(cluster)] = _merge(held.get((route, int(cluster))), len(part), mean, m2)
             if len(held) > MOMENTS_HELD:
-                yield flush(held)
+                yield _moment_batch(held)
                 held = {}
         if held:
-            yield flush(held)
+            yield _moment_batch(held)
 
     return run
 
 
+def _moment_batch(held: dict) -> pa.RecordBatch:
+    keys = list(held)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([k[0] for k in keys], pa.string()),
+            pa.array([k[1] for k in keys], pa.int32()),
+            pa.array([held[k][0] for k in keys], pa.int64()),
+            list_array(np.stack([held[k][1] for k in keys])),
+            list_array(np.stack([held[k][2] for k in keys])),
+        ],
+        names=["route", "cluster_id", "n", "mean", "m2"],
+    )
+
+
 def _merge(old, n, mean, m2):
     if old is None:
         return n, mean, m2
@@ -218,15 +226,35 @@ def _merge(old, n, mean, m2):
     return total, old[1] + gap * (n / total), old[2] + m2 + gap * gap * (old[0] * n / total)
 
 
+def _merge_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Moments added up per route and cluster, row by row, whatever the number of partial sums."""
+    held: dict = {}
+    for batch in batches:
+        means, spreads = as_matrix(batch.column(3))[0], as_matrix(batch.column(4))[0]
+        for i, (route, cluster, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
+            held[route, cluster] = _merge(held.get((route, cluster)), n, means[i], spreads[i])
+        if len(held) > MOMENTS_HELD:
+            # Sorted rows may go on with the last key.
+            last = held.popitem()
+            yield _moment_batch(held)
+            held = dict([last])
+    if held:
+        yield _moment_batch(held)
+
+
 def merge_moments(parts: DataFrame) -> DataFrame:
-    """Partial moments -> (route, cluster_id, sample_count, centroid, variance)."""
-    long = parts.select("route", "cluster_id", "n", F.posexplode(F.arrays_zip("mean", "m2")).alias("pos", "s"))
-    mean = F.sum(F.col("n") * F.col("s.mean")) / F.sum("n")
-    square = F.sum(F.col("s.m2") + F.col("n") * F.col("s.mean") * F.col("s.mean")) / F.sum("n")
-    by_dim = long.groupBy("route", "cluster_id", "pos").agg(
-        F.sum("n").alias("n"), mean.alias("mean"), F.greatest(square - mean * mean, F.lit(0.0)).alias("variance")
-    )
-    return gather_dimensions(by_dim, "route", "cluster_id")
+    """Partial moments -> (route, cluster_id, sample_count, centroid, variance).
+
+    Whole vectors are shuffled, first by route, cluster and a share of the
+    tasks, so that no task meets the sums of all others. Means are merged
+    pairwise; squares are never subtracted, so an offset costs no digits.
+    """
+    shared = parts.repartition("route", "cluster_id", F.spark_partition_id() % MERGE_SHARES)
+    fewer = shared.mapInArrow(_merge_rows, MOMENTS_SCHEMA)
+    merged = fewer.repartition("route", "cluster_id").sortWithinPartitions("route", "cluster_id")
+    out = merged.mapInArrow(_merge_rows, MOMENTS_SCHEMA)
+    variance = F.transform("m2", lambda v: v / F.col("n"))
+    return out.select("route", "cluster_id", F.col("n").cast("int").alias("sample_count"), F.col("mean").alias("centroid"), variance.alias("variance"))
 
 
 def gather_dimensions(by_dim: DataFrame, *keys: str) -> DataFrame:

@@ -1,11 +1,10 @@
-"""Nearest remembered vector of every turn, exact at any memory size.
+"""Nearest remembered vector of every turn: the exact maximum at any memory size.
 
 A memory that fits the size budget is shipped to the executors whole and each
-batch of turns is one matrix product. A larger one is cut into cells around
-pivot vectors. Angles obey the triangle inequality, so a turn needs only the
-cells whose border lies within its best known angle; it meets those cells'
-vectors block by block. Turns are searched once per distinct vector, and busy
-blocks are copied to several tasks.
+batch of turns is one matrix product. A larger one is cut into blocks of that
+size and the turns into groups; each task compares one group with one block,
+so a vector is copied once per block or group and not once per pair. Turns are
+searched once per distinct vector. Both ways give the same rows.
 """
 
 from __future__ import annotations
@@ -21,17 +20,14 @@ from pyspark.sql import functions as F
 from semdrift.functions.vectors import MATRIX_CELLS, SIMILARITY_DIGITS, as_matrix, unit_rows
 from semdrift.scale import cut, row_bytes
 
-# Allowance for rounding in the angle bounds.
-ANGLE_SLACK = 1e-6
 # Room for one request id in the book.
 ID_BYTES = 128
 
 
 @dataclass(frozen=True)
 class BlockPlan:
-    block_rows: int = 8192  # remembered vectors compared in one go
-    max_pivots: int = 1024  # pivots shipped to the executors
-    task_rows: int = 500_000  # turns one copy of a block serves
+    block_bytes: int = 64 * 1024 * 1024  # remembered vectors held by one task
+    group_rows: int = 500_000  # turns that meet one copy of a block
 
 
 def distinct_memory(memory: DataFrame) -> DataFrame:
@@ -42,7 +38,11 @@ def distinct_memory(memory: DataFrame) -> DataFrame:
 
 def with_text(matched: DataFrame, memory: DataFrame) -> DataFrame:
     """Add the ``matched_text`` of the remembered request. Texts are joined, never broadcast as a book."""
-    texts = memory.groupBy(F.col("source_request_id").alias("matched_request_id")).agg(
+    wanted = matched.where(F.col("matched_request_id").isNotNull()).select(
+        F.col("matched_request_id").alias("source_request_id")
+    )
+    named = memory.select("source_request_id", "prompt_text").join(wanted.distinct(), "source_request_id", "left_semi")
+    texts = named.groupBy(F.col("source_request_id").alias("matched_request_id")).agg(
         F.min("prompt_text").alias("matched_text")
     )
     return matched.join(texts, "matched_request_id", "left")
@@ -51,14 +51,12 @@ def with_text(matched: DataFrame, memory: DataFrame) -> DataFrame:
 def nearest_memory(
     turns: DataFrame,
     memory: DataFrame,
-    min_similarity: float | None = None,
     book_bytes: int = 128 * 1024 * 1024,
     blocks: BlockPlan = BlockPlan(),
 ) -> DataFrame:
     """Turns with ``similarity`` and ``matched_request_id`` of the closest memory.
 
-    Without any memory, or without a prompt vector, these are NULL. With
-    ``min_similarity`` matches below it need not be found and may be NULL.
+    Without any memory, or without a prompt vector, these are NULL.
     """
     first = memory.where(F.col("embedding").isNotNull()).select(F.size("embedding")).first()
     if first is None:
@@ -73,8 +71,7 @@ def nearest_memory(
     rows = known.limit(most + 1).toArrow()
     if rows.num_rows <= most:
         return _search_book(turns, rows)
-    known = cut(known)
-    return _search_blocks(turns, known, known.count(), min_similarity, blocks)
+    return _search_blocks(turns, cut(known), first[0], blocks)
 
 
 # ---- whole memory on every executor ---------------------------------------
@@ -128,55 +125,28 @@ def best_rows(x: np.ndarray, memory: np.ndarray) -> tuple[np.ndarray, np.ndarray
 # ---- memory in blocks -----------------------------------------------------
 
 
-def _search_blocks(turns, known, count, min_similarity, plan: BlockPlan) -> DataFrame:
-    sc = turns.sparkSession.sparkContext
-    n_pivots = int(min(plan.max_pivots, -(-count // plan.block_rows)))
-    picked = known.orderBy(F.xxhash64("embedding"), "source_request_id").limit(n_pivots).collect()
-    pivots = sc.broadcast(unit_rows(np.array([r["embedding"] for r in picked], dtype=np.float64)))
-
-    celled = cut(known.withColumn("_c", _cell_kernel(pivots)("embedding")).select("*", "_c.*").drop("_c"))
-    cells = celled.groupBy("cell").agg(F.max("angle").alias("radius"), F.count(F.lit(1)).alias("n")).collect()
-    radius = np.full(n_pivots, -np.inf)
-    n_blocks = np.zeros(n_pivots, dtype=np.int64)
-    for row in cells:  # one row per pivot
-        radius[row["cell"]] = row["radius"]
-        n_blocks[row["cell"]] = -(-row["n"] // plan.block_rows)
-    first_block = np.cumsum(n_blocks) - n_blocks
-    layout = sc.broadcast((radius, n_blocks, first_block))
-
-    # Where each cell's blocks start; at most max_pivots rows.
-    starts = turns.sparkSession.createDataFrame(
-        [(i, int(first_block[i]), int(n_blocks[i])) for i in range(n_pivots)], "cell int, first long, parts long"
-    )
-    stored = celled.join(F.broadcast(starts), "cell").withColumn(
-        "block", F.col("first") + F.pmod(F.xxhash64("embedding", F.lit(7)), F.col("parts"))
-    )
-
-    reach = np.pi if min_similarity is None else float(np.arccos(np.clip(min_similarity, -1.0, 1.0)))
-    asked = turns.where(F.col("prompt_embedding").isNotNull()).select("prompt_embedding").distinct()
-    asked = cut(asked.withColumn("blocks", _candidate_kernel(pivots, layout, reach)("prompt_embedding")))
-    visits = asked.select("prompt_embedding", F.explode("blocks").alias("block"))
-    load = visits.groupBy("block").count()
-    load = cut(load.select("block", F.ceil(F.col("count") / plan.task_rows).cast("int").alias("copies")))
-
-    none = F.lit(None).cast("string")
-    left = visits.join(load, "block").select(
-        "block",
-        F.pmod(F.xxhash64("prompt_embedding"), F.col("copies")).cast("int").alias("copy"),
+def _search_blocks(turns: DataFrame, known: DataFrame, dim: int, plan: BlockPlan) -> DataFrame:
+    size = row_bytes(1, dim) + ID_BYTES
+    n_blocks = max(1, -(-known.count() * size // plan.block_bytes))
+    usable = turns.where(F.col("prompt_embedding").isNotNull()).select("prompt_embedding")
+    n_groups = max(1, -(-usable.count() // plan.group_rows))
+    left = usable.distinct().select(
+        F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"),
+        F.pmod(F.xxhash64("prompt_embedding"), F.lit(n_groups)).cast("int").alias("group"),
         F.lit(1).alias("side"),
         F.col("prompt_embedding").alias("embedding"),
-        none.alias("request_id"),
+        F.lit(None).cast("string").alias("request_id"),
     )
-    right = stored.join(load, "block").select(
-        "block",
-        F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"),
+    right = known.select(
+        F.pmod(F.xxhash64("embedding", F.lit(7)), F.lit(n_blocks)).cast("int").alias("block"),
+        F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))).alias("group"),
         F.lit(0).alias("side"),
         "embedding",
         F.col("source_request_id").alias("request_id"),
     )
-    merged = left.unionByName(right).repartition("block", "copy").sortWithinPartitions("block", "copy", "side")
+    merged = left.unionByName(right).repartition("block", "group").sortWithinPartitions("block", "group", "side")
     pairs = merged.mapInArrow(_match_blocks, "embedding array<float>, similarity double, request_id string")
-    best = pairs.groupBy("embedding").agg(
+    best = pairs.where(~F.isnan("similarity")).groupBy("embedding").agg(
         F.min(F.struct((-F.col("similarity")).alias("s"), "request_id")).alias("b")
     )
     matched = best.select(
@@ -187,63 +157,27 @@ def _search_blocks(turns, known, count, min_similarity, plan: BlockPlan) -> Data
     return turns.join(matched, "prompt_embedding", "left").select(*turns.columns, "similarity", "matched_request_id")
 
 
-def _angles(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    return np.arccos(np.clip(x @ pivots.T, -1.0, 1.0))
-
-
-def _cell_kernel(pivots):
-    @F.arrow_udf("cell int, angle double")
-    def cell(vectors: pa.Array) -> pa.Array:
-        x, _ = as_matrix(vectors)
-        angles = _angles(unit_rows(x), pivots.value)
-        nearest = angles.argmin(axis=1)
-        return pa.StructArray.from_arrays(
-            [pa.array(nearest.astype(np.int32)), pa.array(angles[np.arange(len(x)), nearest])], names=["cell", "angle"]
-        )
-
-    return cell
-
-
-def _candidate_kernel(pivots, layout, reach: float):
-    @F.arrow_udf("array<bigint>")
-    def candidates(vectors: pa.Array) -> pa.Array:
-        radius, n_blocks, first_block = layout.value
-        x, _ = as_matrix(vectors)
-        angles = _angles(unit_rows(x), pivots.value)
-        # Pivots are remembered vectors, so the nearest one bounds the answer.
-        bound = np.minimum(angles.min(axis=1, initial=np.pi), reach)[:, None]
-        near = angles - radius <= bound + ANGLE_SLACK
-        # A vector without length has NaN angles and no candidates.
-        out = [
-            np.concatenate([np.arange(first_block[c], first_block[c] + n_blocks[c]) for c in np.nonzero(row)[0]])
-            if row.any()
-            else np.empty(0, dtype=np.int64)
-            for row in near
-        ]
-        return pa.array(out, pa.list_(pa.int64()))
-
-    return candidates
-
-
 def _match_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (block, copy, side): a block's memory first, then the turns that visit it."""
+    """Rows sorted by (block, group, side): a block's memory first, then a group of turns."""
     here, parts, ids, memory = None, [], [], None
     for batch in batches:
-        block, copy, side = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        block, group, side = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
         x = unit_rows(as_matrix(batch.column(3))[0])
-        change = (np.diff(block) != 0) | (np.diff(copy) != 0) | (np.diff(side) != 0)
+        change = (np.diff(block) != 0) | (np.diff(group) != 0) | (np.diff(side) != 0)
         edges = [0, *(np.nonzero(change)[0] + 1), len(block)]
         for a, b in zip(edges, edges[1:], strict=False):
             if a == b:
                 continue
-            if here != (block[a], copy[a]):
-                here, parts, ids, memory = (block[a], copy[a]), [], [], None
+            if here != (block[a], group[a]):
+                here, parts, ids, memory = (block[a], group[a]), [], [], None
             if side[a] == 0:
                 parts.append(x[a:b])
                 ids.extend(batch.column(4).slice(a, b - a).to_pylist())
                 continue
             if memory is None:
                 # Smallest request id first, so that it wins ties.
+                if not ids:
+                    continue
                 order = sorted(range(len(ids)), key=ids.__getitem__)
                 memory, names = np.concatenate(parts)[order], np.array(ids, dtype=object)[order]
             top, at = best_rows(x[a:b], memory)

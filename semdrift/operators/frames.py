@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from semdrift.functions import scalars as S
 from semdrift.operators.ordering import GROUP_ROWS, running_total
+from semdrift.scale import small_side
 
 # Suffix that a rule keyword carries per frame type.
 RULE_SUFFIXES = {
@@ -93,7 +94,8 @@ def inspect(frames: DataFrame, rules: DataFrame) -> DataFrame:
         )
     )
     tested = frames.withColumn("_text", F.lower(F.coalesce("content", F.lit(""))))
-    tested = tested.join(F.broadcast(listed), "frame_type", "left")  # at most one row per frame type
+    # At most one row per frame type, but with all of its rules.
+    tested = tested.join(small_side(listed), "frame_type", "left")
     hit = F.get(F.filter("rules", lambda r: F.contains(F.col("_text"), r.pattern)), F.lit(0))
     return (
         tested.withColumn("_hit", hit)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from semdrift.scale import small_side
 
+# Fixed value: characters of a prompt shown beside its point.
+PREVIEW_CHARS = 150
 # Routes whose cluster arrays may be broadcast (some 50 KB each at 768 dimensions).
 CLUSTER_ROWS = 10_000
 
@@ -17,7 +19,7 @@ def projections_with_events(projections: DataFrame, events: DataFrame, dedupe: b
     A request stored more than once repeats its point unless ``dedupe``.
     """
     requests = events.where(F.col("frame_type") == "request_body").select(
-        "request_id", "session_id", "route", F.left("prompt_text", F.lit(150)).alias("prompt_preview")
+        "request_id", "session_id", "route", F.left("prompt_text", F.lit(PREVIEW_CHARS)).alias("prompt_preview")
     )
     if dedupe:
         requests = requests.groupBy("request_id").agg(

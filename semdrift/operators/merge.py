@@ -9,6 +9,7 @@ from semdrift.operators.joins import not_stored
 
 EVENT_KEY = ["kafka_topic", "kafka_partition", "kafka_offset"]
 
+# Columns of the drift events and of the memory.
 DRIFT_COLUMNS = [
     "session_id", "route", "worst_request_id", "worst_event_ts", "worst_prompt_text", "cohort",
     "distance", "threshold", "turn_count", "flagged_by", "detected_at",

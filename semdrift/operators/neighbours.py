@@ -91,7 +91,7 @@ def _best(similarity: np.ndarray, ids: np.ndarray, k: int):
 
 def memory_hits(turns: DataFrame, memory: DataFrame, threshold: float = 0.9, **options) -> DataFrame:
     """Turns that repeat remembered drift, on whatever route it was seen."""
-    return nearest_memory(turns, memory, threshold, **options).where(F.col("similarity") >= threshold)
+    return nearest_memory(turns, memory, **options).where(F.col("similarity") >= threshold)
 
 
 def approx_nearest(

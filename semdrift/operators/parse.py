@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from semdrift.functions import scalars as S
 
+# Columns of the stored event.
 EVENT_COLUMNS = [
     "kafka_topic", "kafka_partition", "kafka_offset", "kafka_ts", "request_id", "route", "session_id",
     "frame_type", "end_of_stream", "headers", "body", "body_size", "decision", "blocked", "warned",
@@ -21,7 +22,10 @@ _TEXTS = (
     "request_id", "route", "session_id", "frame_type", "body", "body_size", "decision", "prompt", "completion",
     "cohort", "event_id", "source", "stream_id", "frame_seq", "timestamp", "end_of_stream", "blocked", "warned", "headers",
 )
-_KINDS = ("body_size", "decision", "end_of_stream", "blocked", "warned", "headers")
+_KINDS = (
+    "body_size", "decision", "end_of_stream", "blocked", "warned", "headers",
+    "route", "session_id", "frame_type", "body", "prompt", "completion",
+)
 
 
 def _once(df: DataFrame, *columns: Column) -> DataFrame:
@@ -53,8 +57,15 @@ def _truthy(name: str) -> Column:
     )
 
 
+def _given(name: str) -> Column:
+    """The field's text, or NULL when its JSON value counts as false."""
+    return F.when(_truthy(name), _text(name))
+
+
 def _reject_reason() -> Column:
-    bad_size = _kind("body_size").isNotNull() & _text("body_size").try_cast("double").isNull()
+    size = _text("body_size").try_cast("double")
+    whole = size.try_cast("int").isNotNull() & (F.abs(size) < 2**31)
+    bad_size = _kind("body_size").isNotNull() & ~F.coalesce(whole, F.lit(False))
     return (
         F.when(F.col("envelope").isNull(), "malformed json")
         .when(~F.col("_kind").startswith("OBJECT"), "not an object")
@@ -80,8 +91,8 @@ def _fields(messages: DataFrame) -> DataFrame:
     return _once(
         fields,
         _reject_reason().alias("reason"),
-        F.coalesce(S.present(_text("body")), F.lit("")).alias("body"),
-        F.coalesce(S.present(_text("frame_type")), F.lit("unknown")).alias("frame_type"),
+        F.coalesce(_given("body"), F.lit("")).alias("body"),
+        F.coalesce(_given("frame_type"), F.lit("unknown")).alias("frame_type"),
     )
 
 
@@ -100,8 +111,8 @@ def _typed(fields: DataFrame) -> DataFrame:
     return fields.select(
         "kafka_topic", "kafka_partition", "kafka_offset", "kafka_ts",
         _text("request_id").alias("request_id"),
-        S.resolve_route(_text("route"), headers).alias("route"),
-        S.resolve_session(_text("session_id"), headers).alias("session_id"),
+        S.resolve_route(_given("route"), headers).alias("route"),
+        S.resolve_session(_given("session_id"), headers).alias("session_id"),
         "frame_type",
         _truthy("end_of_stream").alias("end_of_stream"),
         "headers", "body",
@@ -111,8 +122,8 @@ def _typed(fields: DataFrame) -> DataFrame:
         _truthy("blocked").alias("blocked"),
         _truthy("warned").alias("warned"),
         F.col("value").alias("event_json"),
-        S.prompt_text(frame, body, _text("prompt")).alias("prompt_text"),
-        S.completion_text(frame, body, _text("completion")).alias("completion_text"),
+        S.prompt_text(frame, body, _given("prompt")).alias("prompt_text"),
+        S.completion_text(frame, body, _given("completion")).alias("completion_text"),
         F.lit(None).cast("array<float>").alias("prompt_embedding"),
         F.lit(None).cast("array<float>").alias("completion_embedding"),
         _text("cohort").alias("cohort"),

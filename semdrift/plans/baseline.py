@@ -14,8 +14,10 @@ from semdrift.config import DetectorConfig
 from semdrift.functions import vectors as V
 from semdrift.functions.scalars import window_end
 from semdrift.operators.filters import baseline_window, embedded_events
+from semdrift.operators.merge import replace_clusters, upsert_baselines
 from semdrift.operators.rollups import cluster_stats, route_threshold, route_time_range
 from semdrift.scale import cut, row_bytes, small_side
+from semdrift.sources.baselines import publish_baseline, stored_baseline
 
 # Centroids are rounded in each round, so that the order of additions never decides a label.
 CENTROID_DIGITS = 12
@@ -32,9 +34,16 @@ class Baseline:
     clusters: DataFrame
 
     def write(self, path: str) -> None:
-        """One folder holds both tables, so a reader sees matching versions."""
-        self.clusters.write.mode("overwrite").parquet(f"{path}/clusters")
-        self.routes.write.mode("overwrite").parquet(f"{path}/routes")
+        """Publish a new version of the stored baseline as a whole.
+
+        Routes that were not fitted this time keep their stored rows. Both tables go to a folder of their own;
+        then one row names it, so a reader, or a crash in between, never sees tables of two versions.
+        """
+        old = stored_baseline(self.routes.sparkSession, path)
+        routes, clusters = self.routes, self.clusters
+        if old is not None:
+            routes, clusters = upsert_baselines(old[0], routes), replace_clusters(old[1], clusters)
+        publish_baseline(routes, clusters, path)
 
 
 def route_windows(events: DataFrame, fraction: float) -> DataFrame:
@@ -211,7 +220,8 @@ def _book(spark: SparkSession, rows: pa.Table, *names: str) -> Broadcast:
 def score_nearest(turns: DataFrame, clusters: DataFrame, cfg: DetectorConfig = DetectorConfig()) -> DataFrame:
     """Add ``distance`` and ``cluster_id`` of the nearest cluster of the turn's route.
 
-    Rows without a vector, or on routes without clusters, get NULL. A cluster
+    Rows without a vector, or on routes without clusters, get NULL; so do rows
+    whose distances are all NaN. An infinite distance counts. A cluster
     table within the size budget goes to every executor; a larger one is
     joined by route.
     """

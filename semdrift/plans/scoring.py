@@ -41,7 +41,7 @@ def score_turns(
     turns = online_candidates(embedded_events(events).select(*columns), limits)
     turns = turns.where(F.col("session_id").isNotNull()).join(limits.select("route", "threshold"), "route")
     scored = score_nearest(turns, baseline.clusters, cfg)
-    matched = nearest_memory(scored, memory, cfg.memory_threshold, cfg.memory_book_bytes)
+    matched = nearest_memory(scored, memory, cfg.memory_book_bytes)
     return with_hits(matched, cfg)
 
 
@@ -130,7 +130,7 @@ def score_sessions(
     while transitive and not fresh.isEmpty() and (max_rounds is None or done < max_rounds):
         again = nearest_memory(
             turns.drop("similarity", "matched_request_id", "baseline_hit", "memory_hit"),
-            fresh, cfg.memory_threshold, cfg.memory_book_bytes,
+            fresh, cfg.memory_book_bytes,
         )
         turns = cut(with_hits(_closer(turns, again), cfg))
         known = memory.select("source_request_id").union(added.select("source_request_id"))
@@ -166,6 +166,6 @@ def check_prompts(
         prompts = prompts.withColumn("route", F.lit(DEFAULT_ROUTE))
     limits = small_side(baseline.routes.select("route", "threshold"), stored=True)
     scored = score_nearest(prompts.join(limits, "route"), baseline.clusters, cfg)
-    matched = with_text(nearest_memory(scored, memory, None, cfg.memory_book_bytes), memory)
+    matched = with_text(nearest_memory(scored, memory, cfg.memory_book_bytes), memory)
     checked = with_hits(matched, cfg)
     return checked.withColumn("flagged_by", flagged_by(F.col("baseline_hit"), F.col("memory_hit")))

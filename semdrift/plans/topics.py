@@ -1,4 +1,4 @@
-"""Topic clusters and two-dimensional projections of recent prompts."""
+"""Topic clusters and two-dimensional projections of prompts."""
 
 from __future__ import annotations
 
@@ -34,6 +34,7 @@ def project_2d(prompts: DataFrame, k: int = 8, seed: int = 42) -> DataFrame:
     )
 
 
-def recent_projections(events: DataFrame, n: int = 5000, k: int = 8) -> DataFrame:
-    """Projection of the n most recent prompts."""
-    return project_2d(recent(events.where(F.col("prompt_embedding").isNotNull()), n), k)
+def projections(events: DataFrame, n: int | None = None, k: int = 8) -> DataFrame:
+    """Projection of all prompts with a vector, or of the ``n`` most recent ones."""
+    embedded = events.where(F.col("prompt_embedding").isNotNull())
+    return project_2d(embedded if n is None else recent(embedded, n), k)

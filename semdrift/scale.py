@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 # Per-route tables have one short row per route; this many stay far below
 # Spark's 8 GB broadcast ceiling.
 SMALL_TABLE_ROWS = 1_000_000
+# Text form of a table that may be broadcast; in memory it takes about as much.
+SMALL_TABLE_BYTES = 512 * 1024 * 1024
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,10 +45,14 @@ def row_bytes(row_count: int, dim: int, arrays: int = 1) -> int:
 
 
 def small_side(df: DataFrame, max_rows: int = SMALL_TABLE_ROWS, stored: bool = False) -> DataFrame:
-    """``df`` materialized, with a broadcast hint if its counted size allows one.
+    """``df`` materialized, with a broadcast hint if its measured size allows one.
 
-    Without the hint Spark shuffles both sides and adaptive execution splits
-    the hot keys. ``stored`` says that ``df`` is cheap to read again.
+    Rows are counted, and their bytes are taken from their text form, so wide
+    arrays count in full. Without the hint Spark shuffles both sides and
+    adaptive execution splits the hot keys. ``stored`` says that ``df`` is
+    cheap to read again.
     """
     df = df if stored else cut(df)
-    return F.broadcast(df) if df.count() <= max_rows else df
+    size = F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))
+    rows, text = df.agg(F.count(F.lit(1)), size).first()
+    return F.broadcast(df) if rows <= max_rows and text <= SMALL_TABLE_BYTES else df

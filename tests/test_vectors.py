@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,8 +78,7 @@ def test_moments_match_numpy_over_many_tasks(spark):
         assert np.allclose(r["variance"], rows.astype(float).var(axis=0))
 
 
-@pytest.mark.parametrize("min_similarity", [None, 0.8])
-def test_block_search_equals_brute_force(spark, min_similarity):
+def test_block_search_equals_brute_force(spark):
     turns, x = random_turns(spark, 400, seed=2)
     rng = np.random.default_rng(3)
     m = np.concatenate([x[:40], rng.normal(size=(260, 6)).astype(np.float32)])
@@ -87,22 +87,54 @@ def test_block_search_equals_brute_force(spark, min_similarity):
     copies = turns.where("request_id = 'r00000'").withColumn("request_id", F.explode(F.array_repeat(F.lit("copy"), 200)))
     turns = turns.unionByName(copies)
     memory = memory_table(spark, m)
-    plan = BlockPlan(block_rows=16, max_pivots=7, task_rows=20)
-    got = nearest_memory(turns, memory, min_similarity, book_bytes=0, blocks=plan).collect()
-    small = nearest_memory(turns, memory, min_similarity).collect()
+    plan = BlockPlan(block_bytes=16 * 176, group_rows=20)
+    got = nearest_memory(turns, memory, book_bytes=0, blocks=plan).collect()
+    small = nearest_memory(turns, memory).collect()
     assert len(got) == len(small) == 600
     u, w = V.unit_rows(x.astype(float)), V.unit_rows(m.astype(float))
     best = (u @ w.T).max(axis=1)
-    for rows in (got, small):
-        for r in rows:
-            want = best[0] if r["request_id"] == "copy" else best[int(r["request_id"][1:])]
-            if min_similarity is None or want >= min_similarity:
-                assert r["similarity"] == pytest.approx(want, abs=1e-9)
-            else:
-                assert r["similarity"] is None or r["similarity"] < min_similarity
-    by_block = {(r["request_id"], r["matched_request_id"]) for r in got if (r["similarity"] or 0) > 0.8}
-    by_book = {(r["request_id"], r["matched_request_id"]) for r in small if r["similarity"] > 0.8}
-    assert by_block == by_book
+    for r in got:
+        want = best[0] if r["request_id"] == "copy" else best[int(r["request_id"][1:])]
+        assert r["similarity"] == pytest.approx(want, abs=1e-9)
+    # The size of the memory changes no row.
+    key = lambda rows: sorted((r["request_id"], round(r["similarity"], 11), r["matched_request_id"]) for r in rows)
+    assert key(got) == key(small)
+
+
+def test_variance_keeps_its_digits_far_from_zero(spark):
+    rng = np.random.default_rng(8)
+    x = 1e5 + rng.normal(size=(2000, 3)) * 1e-3
+    rows = [("a", [float(v) for v in r]) for r in x]
+    df = spark.createDataFrame(rows, "route string, prompt_embedding array<double>").repartition(9)
+    parts = df.mapInArrow(V.moments_kernel(lambda route, v: np.zeros(len(v), int)), V.MOMENTS_SCHEMA)
+    got = V.merge_moments(parts).first()
+    assert got["sample_count"] == 2000
+    assert np.allclose(got["variance"], x.var(axis=0), rtol=1e-6)
+    assert np.allclose(got["centroid"], x.mean(axis=0), rtol=1e-14)
+
+
+def test_mixed_lengths_are_refused():
+    with pytest.raises(ValueError, match="different lengths"):
+        V.as_matrix(pa.array([[1.0, 2.0, 3.0], [1.0, 2.0, 3.0, 4.0, 5.0]]))
+
+
+def test_infinite_distances_are_equal_both_ways(spark):
+    inf, nan = float("inf"), float("nan")
+    clusters = spark.createDataFrame(
+        [("a", 0, [0.0, 0.0], [1.0, 1.0]), ("a", 1, [nan, 0.0], [1.0, 1.0]), ("b", 0, [nan, nan], [1.0, 1.0]),
+         ("c", 0, [nan, 0.0], [1.0, 1.0]), ("c", 1, [inf, 0.0], [1.0, 1.0])],
+        "route string, cluster_id int, centroid array<double>, variance array<double>",
+    )
+    vectors = [[1.0, 0.0], [inf, 0.0], [nan, 0.0], None]
+    rows = [(r, f"{r}{i}", v) for r in "abcd" for i, v in enumerate(vectors)]
+    turns = spark.createDataFrame(rows, "route string, request_id string, prompt_embedding array<double>")
+    both = []
+    for size in (1 << 20, 0):
+        found = B.score_nearest(turns, clusters, DetectorConfig(cluster_book_bytes=size)).collect()
+        both.append({r["request_id"]: (r["distance"], r["cluster_id"]) for r in found})
+    assert both[0] == both[1]
+    assert both[0]["a1"] == (inf, 0) and both[0]["c0"] == (inf, 1)
+    assert all(both[0][k] == (None, None) for k in ("a2", "a3", "b0", "d0"))
 
 
 def test_memory_edges(spark):
