@@ -25,3 +25,16 @@ def bounded_sample(df: DataFrame, label: str, id_col: str, per_label: int, max_l
     for r in counts:
         rate = F.when(F.col(label) == F.lit(r[0]), int(min(1.0, per_label / r[1]) * 1_000_000)).otherwise(rate)
     return df.where(draw < rate), labels
+
+
+def marked_sample(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label: str, per_label: int) -> tuple[DataFrame, dict[int, int]]:
+    """(id, txt, lab) of about ``per_label`` documents of each of the labels 0 and 1, and how many there are of each.
+
+    Only ids are joined to find them; the chosen ones, bounded by ``per_label``, are broadcast to fetch the texts.
+    """
+    marks = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label).cast("int").alias("lab"))
+    known = docs.select(F.col(id_col).alias("id")).join(marks, "id")
+    total = {r["lab"]: r["count"] for r in known.groupBy("lab").count().collect()}
+    chosen, _ = bounded_sample(known, "lab", "id", per_label, 2)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text).alias("txt"))
+    return texts.join(F.broadcast(chosen.distinct()), "id"), total

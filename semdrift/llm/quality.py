@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from semdrift.llm.frames import bounded_sample
+from semdrift.llm.frames import marked_sample
 from semdrift.scale import cut
 
 DIM = 1 << 11
@@ -70,15 +70,12 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
 
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality", per_label: int = SAMPLE_PER_LABEL) -> np.ndarray:
     """Weights of the text classifier, fitted on a bounded sample of the documents that ``labels`` marks 0 or 1."""
-    marks = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label).cast("int").alias("lab"))
-    known = docs.select(F.col(id_col).alias("id"), F.col(text).alias("txt")).join(marks, "id")
-    total = {r["lab"]: r["count"] for r in known.groupBy("lab").count().collect()}
+    sample, total = marked_sample(docs, labels, id_col, text, label, per_label)
     beta = np.zeros(DIM + 1)
     if not (total.get(0) and total.get(1)):
         if total:
             beta[-1] = _CLIP if total.get(1) else -_CLIP
         return beta
-    sample, _ = bounded_sample(known, "lab", "id", per_label, 2)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
