@@ -225,7 +225,7 @@ def online_store(spark: SparkSession, d: str) -> online.OnlineStore:
     "c.turn_count from wt w join tc c on c.route = w.route and c.session_id = w.session_id",
 )
 def streamed_scoring(spark: SparkSession, d: str) -> DataFrame:
-    log = spark.read.parquet(online_store(spark, d).sessions).drop("batch_id")
+    log = spark.read.parquet(online_store(spark, d).sessions).drop("batch", "part")
     return online.merge_sessions(log).select(
         "route", "session_id", F.col("worst.request_id").alias("worst_request_id"),
         r6("worst.distance").alias("distance"), "turn_count",

@@ -7,10 +7,13 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType
 
 # Per-route tables have one short row per route; this many stay far below
 # Spark's 8 GB broadcast ceiling.
 SMALL_TABLE_ROWS = 1_000_000
+# Short tables of plain columns up to this many rows become local ones.
+LOCAL_ROWS = 10_000
 # Text form of a table that may be broadcast; in memory it takes about as much.
 SMALL_TABLE_BYTES = 512 * 1024 * 1024
 
@@ -47,12 +50,19 @@ def row_bytes(row_count: int, dim: int, arrays: int = 1) -> int:
 def small_side(df: DataFrame, max_rows: int = SMALL_TABLE_ROWS, stored: bool = False) -> DataFrame:
     """``df`` materialized, with a broadcast hint if its measured size allows one.
 
-    Rows are counted, and their bytes are taken from their text form, so wide
-    arrays count in full. Without the hint Spark shuffles both sides and
-    adaptive execution splits the hot keys. ``stored`` says that ``df`` is
-    cheap to read again.
+    A short table is fetched in one job, at most ``LOCAL_ROWS`` + 1 rows of it,
+    and comes back as a local one. A longer one is materialized; its rows are
+    counted, and their bytes taken from their text form, so wide arrays count
+    in full. Without the hint Spark shuffles both sides and adaptive execution
+    splits the hot keys. ``stored`` says that ``df`` is cheap to read again.
     """
+    most = min(LOCAL_ROWS, max_rows)
+    wide = any(isinstance(f.dataType, ArrayType | MapType | StructType) for f in df.schema)
+    if not wide:
+        rows = df.limit(most + 1).toArrow()
+        if rows.num_rows <= most:
+            return F.broadcast(df.sparkSession.createDataFrame(rows, schema=df.schema))
     df = df if stored else cut(df)
     size = F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))
-    rows, text = df.agg(F.count(F.lit(1)), size).first()
-    return F.broadcast(df) if rows <= max_rows and text <= SMALL_TABLE_BYTES else df
+    count, text = df.agg(F.count(F.lit(1)), size).first()
+    return F.broadcast(df) if count <= max_rows and text <= SMALL_TABLE_BYTES else df

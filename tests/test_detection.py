@@ -184,3 +184,42 @@ def test_check_prompts_gives_no_verdict_without_baseline(spark):
     memory = spark.createDataFrame([], MEMORY)
     assert scoring.check_prompts(prompts, base, memory).count() == 1
     assert scoring.check_prompts(prompts.withColumn("route", F.lit("/other")), base, memory).count() == 0
+
+
+def test_stored_baselines_are_versions(spark, tmp_path):
+    from semdrift.sources.baselines import load_baseline, stored_baseline
+
+    path = str(tmp_path / "baseline")
+    assert stored_baseline(spark, path) is None
+    B.compute_baselines(traffic(spark, {"a": 200, "b": 200}), rounds=2).write(path)
+    first = {r["route"]: r["sample_count"] for r in load_baseline(spark, path).collect()}
+    # Route b has no data this time and keeps its rows.
+    B.compute_baselines(traffic(spark, {"a": 100}), rounds=2).write(path)
+    again = {r["route"]: r for r in load_baseline(spark, path).collect()}
+    assert set(again) == {"a", "b"}
+    assert again["b"]["sample_count"] == first["b"] and again["a"]["sample_count"] < first["a"]
+    assert again["b"]["clusters"]
+
+
+def test_streams_add_to_the_log_of_earlier_runs(spark, tmp_path):
+    from semdrift.streaming import online
+
+    base = B.compute_baselines(traffic(spark, {"a": 300}), rounds=2)
+    turns = traffic(spark, {"a": 300})
+    memory = spark.createDataFrame([], MEMORY)
+    store, short = online.OnlineStore(str(tmp_path / "s")), online.OnlineStore(str(tmp_path / "c"))
+    half = turns.where("pmod(xxhash64(request_id), 2) = 0"), turns.where("pmod(xxhash64(request_id), 2) = 1")
+    for run, part in zip(("one", "two"), half, strict=True):
+        for _ in range(2):  # a batch that runs twice counts once
+            online.score_batch(part, 0, base, store, memory, run=run)
+    whole = scoring.score_turns(turns, base, memory).groupBy("route", "session_id").count()
+    want = {(r["route"], r["session_id"]): r["count"] for r in whole.collect()}
+    online.compact(spark, store, short)
+    for at in (store, short):
+        log = spark.read.parquet(at.sessions).drop("batch", "part")
+        got = {(r["route"], r["session_id"]): r["turn_count"] for r in online.merge_sessions(log).collect()}
+        assert got == want
+        drift = online.current_drift(spark.read.parquet(at.drift))
+        assert drift.count() == drift.select("session_id").distinct().count()
+    online.score_batch(half[0], 0, base, short, memory, run="three")
+    assert online.run_name("/x/checkpoint") == online.run_name("/x/checkpoint") != online.run_name("/y")
