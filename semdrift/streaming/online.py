@@ -27,7 +27,7 @@ from semdrift.streaming.ingest import read_or_none
 
 
 # Parts of the session log by the hash of the session.
-SESSION_PARTS = 64
+SESSION_PARTS = 16
 
 
 @dataclass(frozen=True)
