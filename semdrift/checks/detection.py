@@ -10,6 +10,7 @@ from semdrift.checks import views as W
 from semdrift.checks.registry import query, r6, wall
 from semdrift.config import DetectorConfig
 from semdrift.functions import vectors as V
+from semdrift.functions.encode import embed_text
 from semdrift.operators import filters, joins, merge, neighbours, ordering
 from semdrift.operators import rollups as R
 from semdrift.operators.block_search import BlockPlan, nearest_memory
@@ -483,6 +484,52 @@ def nearest_prompts_batch(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumn("similarity", r6("similarity"))
 
 
+PROMPTS_SQL = (
+    f"with {W.FRAMES}, pr as materialized (select request_id, route, body, cohort, event_ts, session_id from fr "
+    "where frame_type = 'request_body' and regexp_matches(body, '[A-Za-z0-9_]')) "
+)
+
+
+def text_prompts(spark: SparkSession, d: str) -> DataFrame:
+    """User turns as prompts with the vectors of the default encoder."""
+    users = W.frames(spark, d).where((F.col("frame_type") == "request_body") & F.col("body").rlike("[A-Za-z0-9_]"))
+    prompts = users.select("request_id", "route", "session_id", "cohort", "event_ts", F.col("body").alias("prompt_text"))
+    return embed_text(prompts, "prompt_text", "prompt_embedding", "query")
+
+
+@query(
+    "searched_texts",
+    "M-09 D-01 X-09",
+    PROMPTS_SQL + "select request_id as query_id, cast(1 as integer) as rank, cast(1.0 as double) as similarity from pr",
+)
+def searched_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Every stored text finds itself, or its equal, first."""
+    prompts = text_prompts(spark, d)
+    asked = prompts.select(F.col("request_id").alias("query_id"), F.col("prompt_text").alias("text"))
+    found = neighbours.search_texts(prompts, asked, 1)
+    return found.select("query_id", "rank", r6("similarity").alias("similarity"))
+
+
+@query(
+    "checked_texts",
+    "M-16 D-01",
+    PROMPTS_SQL + "select request_id, route, cast(1.0 as double) as similarity, true as memory_hit, body as prompt_text "
+    "from pr where cohort = 'drift'",
+)
+def checked_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Remembered texts are recognised on every route."""
+    prompts = text_prompts(spark, d)
+    base = fitted(prompts, DetectorConfig(min_samples=2))
+    drift = prompts.where(F.col("cohort") == "drift")
+    known = drift.select(
+        F.col("request_id").alias("source_request_id"), F.col("session_id").alias("source_session_id"),
+        F.col("route").alias("source_route"), "prompt_text", F.col("prompt_embedding").alias("embedding"),
+        F.lit(0.0).alias("distance"), F.col("event_ts").cast("timestamp").alias("added_at"),
+    )
+    checked = scoring.check_texts(drift.select("request_id", "route", "prompt_text"), base, known)
+    return checked.select("request_id", "route", r6("similarity").alias("similarity"), "memory_hit", "prompt_text")
+
+
 @query("approximate_search_recall", "M-10")
 def approximate_search_recall(spark: SparkSession, d: str) -> DataFrame:
     turns, queries = W.scored_events(spark, d), W.label_queries(spark, d)

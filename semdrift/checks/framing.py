@@ -214,3 +214,20 @@ def prompt_context(spark: SparkSession, d: str) -> DataFrame:
     contexts = FR.build_context(W.table(spark, d, "conversations"))
     lines = F.transform("messages", lambda m: F.concat(m.role, F.lit(":"), m.content))
     return contexts.select("conv_id", "turn", F.md5(F.array_join(lines, "\n")).alias("digest"))
+
+
+@query(
+    "named_prompt_context",
+    "D-04",
+    f"""with {CONTEXT}, lines as (
+  select conv_id, turn, role, sys, string_agg(role || ':' || text, chr(10)) over
+    (partition by conv_id order by turn rows unbounded preceding) as t from told)
+select conv_id, turn, md5(case when sys <> '' then 'system:' || sys || chr(10) else '' end || t) as digest
+from lines where role = 'user' qualify row_number() over (partition by conv_id order by turn desc) = 1""",
+)
+def named_prompt_context(spark: SparkSession, d: str) -> DataFrame:
+    """Contexts of the last user turns only."""
+    turns = W.table(spark, d, "conversations")
+    last = turns.where(F.col("role") == "user").groupBy("conv_id").agg(F.max("turn").alias("turn"))
+    lines = F.transform("messages", lambda m: F.concat(m.role, F.lit(":"), m.content))
+    return FR.build_context(turns, last).select("conv_id", "turn", F.md5(F.array_join(lines, "\n")).alias("digest"))

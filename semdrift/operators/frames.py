@@ -278,13 +278,16 @@ def context_spans(turns: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     )
 
 
-def build_context(turns: DataFrame) -> DataFrame:
+def build_context(turns: DataFrame, named: DataFrame | None = None) -> DataFrame:
     """Messages sent with each user turn: system prompt, earlier turns, the new message.
 
     ``turns``: conv_id, turn, role, text. The result repeats a conversation's
     history for each of its user turns; ``context_spans`` describes the same
-    prefixes without the copies.
+    prefixes without the copies. ``named`` (conv_id, turn) asks for some turns
+    only: each then meets its own history, once, and no other is built.
     """
+    if named is not None:
+        return _named_context(turns, named)
     order = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     history = F.collect_list(F.when(_told(), F.struct("role", F.col("text").alias("content")))).over(order)
     system = _first_system().over(Window.partitionBy("conv_id"))
@@ -293,3 +296,20 @@ def build_context(turns: DataFrame) -> DataFrame:
     head = F.when(S.has_text(system.text), F.array(message)).otherwise(empty)
     with_history = turns.withColumn("messages", F.concat(head, history))
     return with_history.where(F.col("role") == "user").select("conv_id", "turn", "messages")
+
+
+def _named_context(turns: DataFrame, named: DataFrame) -> DataFrame:
+    """One aggregate per named turn over the messages up to it."""
+    wanted = named.select(F.col("conv_id").alias("_conv"), F.col("turn").alias("_at")).distinct()
+    asked = turns.where(F.col("role") == "user").select(F.col("conv_id").alias("_conv"), F.col("turn").alias("_at"))
+    wanted = asked.join(wanted, ["_conv", "_at"], "left_semi").distinct()
+    earlier = turns.join(wanted, (F.col("conv_id") == F.col("_conv")))
+    told = F.when(_told() & (F.col("turn") <= F.col("_at")), F.struct("turn", "role", F.col("text").alias("content")))
+    built = earlier.groupBy(F.col("_conv").alias("conv_id"), F.col("_at").alias("turn")).agg(
+        F.array_sort(F.collect_list(told)).alias("told"), _first_system().alias("system")
+    )
+    message = F.struct(F.lit("system").alias("role"), F.col("system.text").alias("content"))
+    empty = F.array().cast("array<struct<role:string,content:string>>")
+    head = F.when(S.has_text(F.col("system.text")), F.array(message)).otherwise(empty)
+    body = F.transform("told", lambda m: F.struct(m.role.alias("role"), m.content.alias("content")))
+    return built.select("conv_id", "turn", F.concat(head, body).alias("messages"))

@@ -11,6 +11,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from semdrift.functions.encode import Encoder, embed_text
 from semdrift.functions.vectors import SIMILARITY_DIGITS, as_matrix, doubles, similarity_kernel, unit_rows
 from semdrift.operators.block_search import nearest_memory
 from semdrift.scale import cut
@@ -55,6 +56,14 @@ def nearest_prompts_batch(
     return ranked.select("query_id", "rank", "request_id", "similarity")
 
 
+def search_texts(
+    events: DataFrame, queries: DataFrame, k: int = 10, encoder: Encoder | None = None, per_pass: int = QUERIES_PER_PASS
+) -> DataFrame:
+    """The batch search for texts (query_id, text), embedded like stored prompts."""
+    asked = embed_text(queries.select("query_id", "text"), "text", "vector", "query", encoder)
+    return nearest_prompts_batch(events, asked.where(F.col("vector").isNotNull()), k, per_pass)
+
+
 def _best_per_query(spark: SparkSession, rows, k: int):
     matrix = unit_rows(np.array([r["v"] for r in rows], dtype=np.float64)) if rows else None
     asked = spark.sparkContext.broadcast(([r["query_id"] for r in rows], matrix))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from semdrift.config import DetectorConfig
+from semdrift.functions.encode import Encoder, embed_text
 from semdrift.functions.scalars import flagged_by
 from semdrift.operators import rollups as R
 from semdrift.operators.block_search import nearest_memory, with_text
@@ -169,3 +170,15 @@ def check_prompts(
     matched = with_text(nearest_memory(scored, memory, cfg.memory_book_bytes), memory)
     checked = with_hits(matched, cfg)
     return checked.withColumn("flagged_by", flagged_by(F.col("baseline_hit"), F.col("memory_hit")))
+
+
+def check_texts(
+    prompts: DataFrame,
+    baseline: Baseline,
+    memory: DataFrame,
+    cfg: DetectorConfig = DetectorConfig(),
+    encoder: Encoder | None = None,
+) -> DataFrame:
+    """``check_prompts`` for texts: request_id, prompt_text and optionally route."""
+    embedded = embed_text(prompts, "prompt_text", "prompt_embedding", "query", encoder)
+    return check_prompts(embedded, baseline, memory, cfg)
