@@ -1,14 +1,14 @@
 """Exact n-gram Jaccard join by T-occurrence search.
 
-Two texts with a similarity of at least J share at least T = ceil(J * n) of the n shingles of either. A query
-against the inverted index therefore has n - T + 1 short lists to merge and T - 1 long ones that need no
-merging: a partner shows up in a short one, and is then probed against the rest (DivideSkip with the most
-long lists). "Short" follows a global order of shingles by a sketch of document frequencies over all
-documents; the sketch has a fixed size and only steers speed, never the result.
+Two texts with a similarity of at least J share at least T = ceil(J * n) of the n shingles of either. Of the
+n lists of a query the T - L longest need no merging: a partner shows up at least L times in the n - T + L
+short ones, and is then probed against its whole set (DivideSkip; L is at most ``1 + SLACK``). "Short" follows
+a global order of shingles by a sketch of document frequencies over all documents; the sketch has a fixed size
+and only steers speed, never the result.
 
-Texts with equal shingle sets form one class and are joined once. Lists are not expanded into all pairs:
-members are first probed against the smallest id of each list; later rounds pair only ids that are still in
-different components.
+Texts with equal shingle sets form one class and are joined once. A text that shares less than L of its short
+lists with others is out. Lists are not expanded into all pairs: members are first probed against the smallest
+id of each list; after that only ids that are still in different components are paired.
 
 Null and empty texts have an empty set and link with nothing. Repeated rows stay repeated. If different texts
 share an id, they count as one document whose links follow its smallest text. Null ids are dropped. Extra
@@ -21,15 +21,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from semdrift.llm.components import components
 from semdrift.llm.hashing import mix, shingles
 from semdrift.scale import cut
 
-SKETCH_BITS = 18
+SKETCH_BITS = 20
 _CHUNKS = 64
+# Short lists beyond the first n - T + 1; a partner shows up once more for each.
+SLACK = 8
+# Bits of the filter that keeps texts without any partner from being shuffled.
+FILTER_BITS = 22
 
 
 def _bucket(hashes: np.ndarray) -> np.ndarray:
@@ -37,11 +41,11 @@ def _bucket(hashes: np.ndarray) -> np.ndarray:
 
 
 def frequency_levels(docs: DataFrame, width: int) -> np.ndarray:
-    """Rough log2 of the document frequency for each of ``2**SKETCH_BITS`` shingle buckets, over all documents."""
+    """Rank of the document frequency of each of ``2**SKETCH_BITS`` shingle buckets, counted over all documents."""
     size = 1 << (SKETCH_BITS - 6)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
+        total = np.zeros(1 << SKETCH_BITS, np.uint32)
         for batch in batches:
             for value in batch["text"]:
                 found = shingles(value.as_py(), width)
@@ -54,28 +58,33 @@ def frequency_levels(docs: DataFrame, width: int) -> np.ndarray:
 
         total = np.zeros(size, np.int64)
         for c in rows["counts"]:
-            total += np.frombuffer(c, np.int64)
-        return pd.DataFrame({"chunk": [key[0]], "counts": [total.tobytes()]})
+            total += np.frombuffer(c, np.uint32)
+        return pd.DataFrame({"chunk": [key[0]], "counts": [np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()]})
 
     counted = docs.select("text").mapInArrow(count, "chunk int, counts binary")
-    # Partial sums of sqrt-many groups first, so that no task reads more than a share of the partitions.
-    part = F.spark_partition_id() % 64
+    # Sums of a share of the partitions first, so that no task reads those of all.
+    part = F.spark_partition_id() % 16
     partial = counted.withColumn("part", part).groupBy("chunk", "part").applyInPandas(add, "chunk int, counts binary")
     rows = sorted(partial.groupBy("chunk").applyInPandas(add, "chunk int, counts binary").collect())
     if not rows:
-        return np.zeros(1 << SKETCH_BITS, np.uint8)
-    total = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in rows])
-    return np.log2(np.maximum(total, 1)).astype(np.uint8)
+        return np.zeros(1 << SKETCH_BITS, np.uint16)
+    total = np.concatenate([np.frombuffer(r["counts"], np.uint32) for r in rows])
+    counts, rank = np.unique(total, return_inverse=True)
+    return (rank if len(counts) <= 1 << 16 else rank * ((1 << 16) - 1) // len(counts)).astype(np.uint16)
 
 
 def _needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def _often(n: Column, percent: int) -> Column:
+    """How often a partner of a set of ``n`` shows up in its short lists at least, whatever the partner's size."""
+    smallest = F.ceil(n * percent / 100)
+    return F.greatest(F.lit(1), F.least(F.lit(1 + SLACK), F.ceil(smallest * percent / 100)))
+
+
 def _signatures(docs: DataFrame, width: int, percent: int, levels: np.ndarray) -> DataFrame:
     """(doc_id, n, hi, lo, short): set size, 128-bit key of the set, and the short lists of each document."""
-    base = int(np.median(levels)) + 1  # ordinary buckets count as equal
-
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, hi, lo, short = [], [], [], []
@@ -84,8 +93,9 @@ def _signatures(docs: DataFrame, width: int, percent: int, levels: np.ndarray) -
                 n.append(len(found))
                 hi.append(int(mix(found).sum(dtype=np.uint64)))
                 lo.append(int(mix(found ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)))
-                k = len(found) - _needed(len(found), percent) + 1
-                rank = np.maximum(levels[_bucket(found)], base)
+                t = _needed(len(found), percent)
+                k = len(found) - t + min(1 + SLACK, t)
+                rank = levels[_bucket(found)]
                 short.append(found[np.argsort(rank, kind="stable")[:k]].view(np.int64))
             key = [np.array(x, np.uint64).view(np.int64) for x in (hi, lo)]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(key[0]), pa.array(key[1]), pa.array(short, pa.list_(pa.int64()))], names=["doc_id", "n", "hi", "lo", "short"])
@@ -113,6 +123,17 @@ def _probe(pairs: DataFrame, width: int, percent: int) -> DataFrame:
     return pairs.mapInArrow(probe, "a long, b long")
 
 
+def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, text) of the documents in ``ids``. A bit table of fixed size, broadcast, lets few others be shuffled."""
+    place = F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS))
+    one = F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {1 << FILTER_BITS}) & 63 as int))")
+    words = ids.groupBy(F.shiftright(place, 6).alias("w")).agg(F.bit_or(one).alias("bits"))
+    keyed = docs.withColumn("id", F.col("doc_id"))
+    keyed = keyed.withColumn("w", F.shiftright(place, 6)).join(F.broadcast(words), "w")
+    likely = keyed.where(F.getbit("bits", F.pmod(F.xxhash64("id"), F.lit(64)).cast("int")) == 1)
+    return likely.select("doc_id", "text").join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+
+
 def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (doc_id, n_shingles, class_id, component_id), one for each row of ``docs`` with an id.
 
@@ -124,20 +145,24 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
     classes = signed.where("n > 0").groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("class_id"))
     members = signed.select("doc_id", "n", "hi", "lo").join(classes, ["hi", "lo", "n"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
     members = cut(members)
-    heads = signed.where("n > 0").join(classes.select(F.col("class_id").alias("doc_id"), "hi", "lo", "n"), ["doc_id", "hi", "lo", "n"], "left_semi").dropDuplicates(["doc_id", "hi", "lo"])
-    postings = heads.select(F.col("doc_id").alias("id"), "n", F.explode("short").alias("tok"))
-    lists = postings.groupBy("tok").agg(F.min("id").alias("hub"), F.max("id").alias("far")).where("hub < far").select("tok", "hub")
-    # Only lists with two members or more go on.
-    active = cut(postings.join(lists, "tok"))
-    wanted = active.select("id").distinct()
-    texts = cut(docs.join(wanted, docs["doc_id"] == wanted["id"], "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")))
+    heads = signed.where("n > 0").groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("id"), F.first("short").alias("short"))
+    postings = heads.select("id", "n", F.explode("short").alias("tok"))
+    # ``n`` is asked for on both sides of the join, so that the heads are shuffled once.
+    shared = postings.groupBy("tok").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min("n").alias("least"))
+    shared = shared.where("low < high and least > 0").select("tok")
+    inside = F.count(F.lit(1)).over(Window.partitionBy("id"))
+    active = postings.join(shared, "tok", "left_semi").withColumn("m", inside).where(F.col("m") >= _often(F.col("n"), percent))
+    active = cut(active.select("tok", "id", "n"))
+    hubs = active.groupBy("tok").agg(F.min("id").alias("hub"), F.max("id").alias("far")).where("hub < far").select("tok", "hub")
+    met = active.join(hubs, "tok").where("id <> hub").groupBy(F.col("id").alias("a"), F.col("hub").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"))
+    tried = cut(met.where(F.col("c") >= _often(F.col("n"), percent)).select("a", "b"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        left = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-        both = left.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-        return cut(_probe(both.select("a", "b", "text_a", "text_b"), width, percent))
+        left = _texts_of(docs, pairs.select(F.col("a").alias("id"))).select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
+        right = _texts_of(docs, pairs.select(F.col("b").alias("id"))).select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+        both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
+        return cut(_probe(both, width, percent))
 
-    tried = cut(active.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct())
     links = confirmed(tried)
     found = components(links)
     # Whatever is still apart within a list is paired, component against component.
@@ -147,9 +172,10 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
     x, y = open_.alias("x"), open_.alias("y")
     close = (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent)
     pair = [F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")]
-    cross = x.join(y, (F.col("x.tok") == F.col("y.tok")) & (F.col("x.c") < F.col("y.c")) & close).select(*pair).distinct()
-    cross = cross.join(tried, ["a", "b"], "left_anti")
-    more = confirmed(cross)
+    cross = x.join(y, (F.col("x.tok") == F.col("y.tok")) & (F.col("x.c") < F.col("y.c")) & close)
+    cross = cross.groupBy(*pair).agg(F.count(F.lit(1)).alias("c"), F.max(F.greatest("x.n", "y.n")).alias("n"))
+    cross = cross.where(F.col("c") >= _often(F.col("n"), percent)).select("a", "b").join(tried, ["a", "b"], "left_anti")
+    more = confirmed(cut(cross))
     final = components(links.union(more))
     return members.join(final, members["class_id"] == final["id"], "left").select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("component_id", "class_id").alias("component_id"))
 
