@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from semdrift.llm.frames import bounded_sample
+from semdrift.llm.frames import marked_sample
 
 # The classifier is fitted on about this many distinct labelled texts of each kind.
 SAMPLE_PER_LABEL = 2500
@@ -261,17 +261,13 @@ def _term_counts(sample: DataFrame) -> DataFrame:
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", per_label: int = SAMPLE_PER_LABEL) -> ToxicityModel:
     """Learn lexicon and weights from the documents that ``labels`` (id, label) marks 0 or 1."""
-    marks = labels.where(F.col(label).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(F.max(label).cast("int").alias("lab"))
-    known = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("txt")).join(marks, "id")
-    share = known.groupBy("lab").count().collect()
-    total = {r["lab"]: r["count"] for r in share}
+    sample, total = marked_sample(docs, labels, id_col, text, label, per_label)
     model = ToxicityModel()
     prior = total.get(1, 0) / max(sum(total.values()), 1)
     if not (total.get(0) and total.get(1)):
         model.weights[-1] = np.log(max(prior, 1e-15) / max(1 - prior, 1e-15))
         return model
-    sample, _ = bounded_sample(known, "lab", "id", per_label, 2)
-    sample = sample.dropDuplicates(["txt", "lab"]).persist()
+    sample = sample.select(F.coalesce("txt", F.lit("")).alias("txt"), "lab").distinct().persist()
     n = {r["lab"]: r["count"] for r in sample.groupBy("lab").count().collect()}
     n_toxic, n_clean = n.get(1, 0), n.get(0, 0)
     odds = ((F.col("toxic") + 0.5) / (n_toxic + 1)) / ((F.col("clean") + 0.5) / (n_clean + 1))
