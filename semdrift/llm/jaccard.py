@@ -4,15 +4,16 @@ Two texts with a similarity of at least J share at least T = ceil(J * n) of the
 n lists of a query the T - L longest need no merging: a partner shows up at least L times in the n - T + L
 short ones, and is then probed against its whole set (DivideSkip; L is at most ``1 + SLACK``). "Short" follows
 a global order of shingles by a sketch of document frequencies over all documents; the sketch has a fixed size
-and only steers speed, never the result.
+and only steers speed, never the result. Before a pair is probed, parity sketches of both sets are compared: where
+they differ in more bits than the sets may differ in shingles, the pair is out for certain.
 
 Texts with equal shingle sets form one class and are joined once. A text that shares less than L of its short
 lists with others is out. Lists are not expanded into all pairs: members are first probed against the smallest
 id of each list; after that only ids that are still in different components are paired.
 
 Null and empty texts have an empty set and link with nothing. Repeated rows stay repeated. If different texts
-share an id, they count as one document whose links follow its smallest text. Null ids are dropped. Extra
-columns are ignored.
+share an id, they count as one document whose links follow one of them. Null ids are dropped. Extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ _CHUNKS = 64
 SLACK = 8
 # Bits of the filter that keeps texts without any partner from being shuffled.
 FILTER_BITS = 22
+# Longs of a set's parity sketch: bit h mod 512 is flipped by each shingle h.
+SKETCHES = [f"s{i}" for i in range(8)]
 
 
 def _bucket(hashes: np.ndarray) -> np.ndarray:
@@ -83,24 +86,37 @@ def _often(n: Column, percent: int) -> Column:
     return F.greatest(F.lit(1), F.least(F.lit(1 + SLACK), F.ceil(smallest * percent / 100)))
 
 
-def _signatures(docs: DataFrame, width: int, percent: int, levels: np.ndarray) -> DataFrame:
-    """(doc_id, n, hi, lo, short): set size, 128-bit key of the set, and the short lists of each document."""
+def _signatures(docs: DataFrame, width: int, percent: int, levels: np.ndarray | None = None) -> DataFrame:
+    """(doc_id, n, hi, lo, s0 .. s7, short): size, 128-bit key and parity sketch of each document's set; with
+    ``levels`` its short lists."""
+
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, hi, lo, short = [], [], [], []
+            n, hi, lo, odd, short = [], [], [], [], []
             for value in batch["text"]:
                 found = shingles(value.as_py(), width)
                 n.append(len(found))
                 hi.append(int(mix(found).sum(dtype=np.uint64)))
                 lo.append(int(mix(found ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)))
-                t = _needed(len(found), percent)
-                k = len(found) - t + min(1 + SLACK, t)
-                rank = levels[_bucket(found)]
-                short.append(found[np.argsort(rank, kind="stable")[:k]].view(np.int64))
-            key = [np.array(x, np.uint64).view(np.int64) for x in (hi, lo)]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(key[0]), pa.array(key[1]), pa.array(short, pa.list_(pa.int64()))], names=["doc_id", "n", "hi", "lo", "short"])
+                flips = np.bincount((found & np.uint64(511)).astype(np.int64), minlength=512) & 1
+                odd.append(np.packbits(flips.astype(np.uint8)).view(np.int64))
+                if levels is not None:
+                    t = _needed(len(found), percent)
+                    k = len(found) - t + min(1 + SLACK, t)
+                    short.append(found[np.argsort(levels[_bucket(found)], kind="stable")[:k]].view(np.int64))
+            key = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (hi, lo)]
+            lists = pa.array(short, pa.list_(pa.int64())) if levels is not None else pa.nulls(len(n), pa.list_(pa.int64()))
+            sketch = [pa.array(c, pa.int64()) for c in np.array(odd, np.int64).reshape(len(n), len(SKETCHES)).T]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), *key, *sketch, lists], names=["doc_id", "n", "hi", "lo", *SKETCHES, "short"])
+
+    return docs.mapInArrow(sign, f"doc_id long, n long, hi long, lo long, {', '.join(c + ' long' for c in SKETCHES)}, short array<long>")
+
 
-    return docs.mapInArrow(sign, "doc_id long, n long, hi long, lo long, short array<long>")
+def _may_link(x: str, y: str, percent: int) -> Column:
+    """Whether sizes and sketches of two aliased rows leave room for the similarity."""
+    apart = sum((F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))).cast("long") for c in SKETCHES), F.lit(0))
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    return (n * 100 >= m * percent) & (m * 100 >= n * percent) & (apart * (100 + percent) <= (n + m) * (100 - percent))
 
 
 def _probe(pairs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -140,14 +156,15 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
     ``class_id`` is the smallest id with the same set, ``component_id`` the smallest id reachable by links.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("doc_id is not null")
-    levels = frequency_levels(docs, width)
-    signed = cut(_signatures(docs, width, percent, levels))
+    # The sets are hashed anew for the short lists: that costs less than to keep the lists of all documents.
+    signed = cut(_signatures(docs, width, percent).select("doc_id", "n", "hi", "lo", *SKETCHES))
     classes = signed.where("n > 0").groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("class_id"))
     members = signed.select("doc_id", "n", "hi", "lo").join(classes, ["hi", "lo", "n"], "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
     members = cut(members)
-    heads = signed.where("n > 0").groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("id"), F.first("short").alias("short"))
-    postings = heads.select("id", "n", F.explode("short").alias("tok"))
-    # ``n`` is asked for on both sides of the join, so that the heads are shuffled once.
+    listed = _signatures(docs, width, percent, frequency_levels(docs, width)).where("n > 0")
+    heads = listed.groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("id"), F.first("short").alias("short"))
+    # One exchange serves both sides of the join below.
+    postings = heads.select("id", "n", F.explode("short").alias("tok")).repartition("tok")
     shared = postings.groupBy("tok").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min("n").alias("least"))
     shared = shared.where("low < high and least > 0").select("tok")
     inside = F.count(F.lit(1)).over(Window.partitionBy("id"))
@@ -155,7 +172,12 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
     active = cut(active.select("tok", "id", "n"))
     hubs = active.groupBy("tok").agg(F.min("id").alias("hub"), F.max("id").alias("far")).where("hub < far").select("tok", "hub")
     met = active.join(hubs, "tok").where("id <> hub").groupBy(F.col("id").alias("a"), F.col("hub").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.max("n").alias("n"))
-    tried = cut(met.where(F.col("c") >= _often(F.col("n"), percent)).select("a", "b"))
+    known = active.select("id").distinct()
+    marks = signed.withColumnRenamed("doc_id", "id").join(known, "id", "left_semi").groupBy("id").agg(F.min(F.struct("n", *SKETCHES)).alias("m"))
+    marks = cut(marks.select("id", "m.*"))
+    met = met.where(F.col("c") >= _often(F.col("n"), percent)).select("a", "b")
+    near = met.join(marks.alias("x"), F.col("a") == F.col("x.id")).join(marks.alias("y"), F.col("b") == F.col("y.id"))
+    tried = cut(near.where(_may_link("x", "y", percent)).select("a", "b"))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         left = _texts_of(docs, pairs.select(F.col("a").alias("id"))).select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
@@ -166,13 +188,12 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
     links = confirmed(tried)
     found = components(links)
     # Whatever is still apart within a list is paired, component against component.
-    placed = active.join(found, "id", "left").select("tok", "id", "n", F.coalesce("component_id", "id").alias("c"))
+    placed = active.join(found, "id", "left").select("tok", "id", F.coalesce("component_id", "id").alias("c"))
     split = placed.groupBy("tok").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("tok")
-    open_ = cut(placed.join(split, "tok", "left_semi"))
+    open_ = cut(placed.join(split, "tok", "left_semi").join(marks, "id"))
     x, y = open_.alias("x"), open_.alias("y")
-    close = (F.col("x.n") * 100 >= F.col("y.n") * percent) & (F.col("y.n") * 100 >= F.col("x.n") * percent)
     pair = [F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")]
-    cross = x.join(y, (F.col("x.tok") == F.col("y.tok")) & (F.col("x.c") < F.col("y.c")) & close)
+    cross = x.join(y, (F.col("x.tok") == F.col("y.tok")) & (F.col("x.c") < F.col("y.c")) & _may_link("x", "y", percent))
     cross = cross.groupBy(*pair).agg(F.count(F.lit(1)).alias("c"), F.max(F.greatest("x.n", "y.n")).alias("n"))
     cross = cross.where(F.col("c") >= _often(F.col("n"), percent)).select("a", "b").join(tried, ["a", "b"], "left_anti")
     more = confirmed(cut(cross))
