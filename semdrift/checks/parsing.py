@@ -176,8 +176,9 @@ def labels_and_prefixes(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "capture_lines",
     "S-02",
-    f"with {W.FRAMES} select conv_id, turn, body from fr where conv_id % 11 not in (6)"
-    " union all select conv_id, turn, body from fr where conv_id % 11 = 5",
+    # Messages of every 22nd conversation carry the JSON value false as their body.
+    f"with {W.FRAMES} select conv_id, turn, case when conv_id % 22 = 11 then 'false' else body end as body "
+    "from fr where conv_id % 11 not in (6) union all select conv_id, turn, body from fr where conv_id % 11 = 5",
 )
 def capture_lines(spark: SparkSession, d: str) -> DataFrame:
     path = scratch_path(spark, "lines")
