@@ -80,4 +80,4 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+    return spans.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True, closing=True)

@@ -3,8 +3,14 @@
 A text is cut into sentences. At each sentence starts one span: the fewest consecutive sentences, usually
 several, that hold at least ``min_words`` words. Spans are hashed and joined over all documents; every
 occurrence but the first (smallest id, then position) is repeated, and the sentences it covers are removed.
-Spans ignore letter case and the kind of white space. A passage that starts or ends inside a sentence loses
-only its whole sentences.
+Spans ignore letter case and the kind of white space.
+
+With ``closing``, as in the query and the pipeline, two things are added. Sentences of more than ``PIECE_WORDS``
+words are cut into pieces of at most so many, at words chosen by their hashes, so copies are cut alike wherever
+they stand. And at each piece also ends one span, the shortest with ``min_words`` words, so the end of a passage
+is covered as its start is. A passage that starts or ends inside a sentence then loses all but up to
+``PIECE_WORDS`` words at either side, and is found for certain from ``min_words`` + 3 * ``PIECE_WORDS`` words on.
+Without ``closing`` it loses only its whole sentences.
 
 Null texts stay null, empty ones empty; a text that is wholly repeated becomes empty, its row stays. Of rows
 with equal id and text all but one keep their text as far as the first is concerned: they count as one
@@ -24,7 +30,12 @@ from pyspark.sql import functions as F
 from semdrift.llm.hashing import mix, word_hashes
 
 MIN_WORDS = 25
-_BREAK = re.compile(r"(?<=[.!?])\s+|\n+")
+PIECE_WORDS = 12
+# White space behind a full stop and the quotes or brackets that follow it, full-width stops, line breaks.
+_BREAK = re.compile(r"(?<=[.!?…‽؟۔։।॥။።])[\"'”’»)\]]*\s+|(?<=[。！？｡．])[”’」』）]*\s*(?![。！？｡．])|[\n\r\v\f\x85\u2028\u2029]+")
+# White space that str.split knows and ``word_hashes`` does not.
+_ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_WORD = re.compile(r"[^ \t-\r]+")
 _MULT = 0xD6E8FEB86659FD93
 _TABLES: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -40,7 +51,7 @@ def _powers(n: int) -> list[np.ndarray]:
 
 
 def sentence_starts(text: str) -> list[int]:
-    """Offsets at which sentences begin: after line breaks, and after white space that follows . ! or ?"""
+    """Offsets at which sentences begin: after line breaks, and after white space that follows the end of one."""
     starts = [0]
     for m in _BREAK.finditer(text):
         if m.end() < len(text):
@@ -48,32 +59,64 @@ def sentence_starts(text: str) -> list[int]:
     return starts
 
 
-def spans(text: str, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, first sentence and sentence count of each span."""
+def _piece_starts(words: np.ndarray, upto: np.ndarray) -> np.ndarray:
+    """Word numbers at which the pieces of sentences of more than ``PIECE_WORDS`` words begin, the first ones left out.
+
+    Of every ``PIECE_WORDS`` consecutive words of such a sentence the one with the smallest hash begins a piece.
+    """
+    if len(words) <= PIECE_WORDS:
+        return np.empty(0, np.int64)
+    sentence = np.repeat(np.arange(len(upto) - 1), np.diff(upto))
+    within = sentence[: 1 - PIECE_WORDS] == sentence[PIECE_WORDS - 1 :]
+    begin = np.flatnonzero(within & (np.diff(upto) > PIECE_WORDS)[sentence[: 1 - PIECE_WORDS]])
+    least = np.full(len(begin), np.iinfo(np.uint64).max)
+    at = begin.copy()
+    for k in range(PIECE_WORDS):
+        h = words[begin + k]
+        at = np.where(h < least, begin + k, at)
+        least = np.minimum(h, least)
+    return np.unique(at)
+
+
+def spans(text: str, min_words: int, closing: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first sentence and sentence count of each span; with ``closing`` first word and word count."""
     starts = sentence_starts(text)
     ends = [*starts[1:], len(text)]
     words = word_hashes(text)
-    count = np.array([len(text[a:b].split()) for a, b in zip(starts, ends, strict=True)]) if len(starts) > 1 else np.array([len(words)])
+    odd = _ODD_SPACE.search(text)
+    if len(starts) == 1:
+        count = np.array([len(words)])
+    elif not odd:
+        count = np.array([len(text[a:b].split()) for a, b in zip(starts, ends, strict=True)])
+    if len(starts) > 1 and (odd or count.sum() != len(words)):  # a word may go on behind the end of a sentence
+        parts = [word_hashes(text[a:b]) for a, b in zip(starts, ends, strict=True)]
+        count, words = np.array([len(p) for p in parts]), np.concatenate(parts)
     upto = np.concatenate(([0], np.cumsum(count)))
-    if upto[-1] != len(words):  # white space beyond ASCII: count the words as they are hashed
-        upto = np.concatenate(([0], np.cumsum([len(word_hashes(text[a:b])) for a, b in zip(starts, ends, strict=True)])))
+    if closing:
+        upto = np.union1d(upto, _piece_starts(words, upto))
     first = np.flatnonzero(upto[:-1] + min_words <= upto[-1])
     last = np.searchsorted(upto, upto[first] + min_words)
+    if closing:
+        stop = np.flatnonzero(upto >= min_words)
+        begin = np.searchsorted(upto, upto[stop] - min_words, side="right") - 1
+        both = np.unique(np.concatenate((first * len(upto) + last, begin * len(upto) + stop)))
+        first, last = np.divmod(both, len(upto))
     up, down = _powers(len(words) + 1)
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * up[: len(words)])))
     # Shifted to power zero, equal runs are equal wherever they stand.
     same = (total[upto[last]] - total[upto[first]]) * down[upto[first]]
-    return mix(same ^ (upto[last] - upto[first]).astype(np.uint64)), first, last - first
+    h = mix(same ^ (upto[last] - upto[first]).astype(np.uint64))
+    return (h, upto[first], upto[last] - upto[first]) if closing else (h, first, last - first)
 
 
-def span_table(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def span_table(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text: str = "text", closing: bool = False) -> DataFrame:
     """(span, doc_id, at, n): one row for each span of each document."""
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list[np.ndarray]] = [[], [], [], []]
             for key, value in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
-                h, at, n = spans(value.as_py(), min_words)
+                h, at, n = spans(value.as_py(), min_words, closing)
                 for column, x in zip(out, (h.view(np.int64), np.full(len(h), key, np.int64), at, n), strict=True):
                     column.append(x)
             if any(map(len, out[0])):
@@ -84,18 +127,19 @@ def span_table(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_i
     return known.mapInArrow(cut_up, "span long, doc_id long, at int, n int")
 
 
-def repeated_sentences(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, gone): sentence ranges [at, at + n) covered by repeated spans that are not the first."""
-    table = span_table(docs, min_words, id_col, text)
+def repeated_sentences(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text: str = "text", closing: bool = False) -> DataFrame:
+    """(doc_id, gone): ranges [at, at + n) of sentences, with ``closing`` of words, in repeated spans that are not the first."""
+    table = span_table(docs, min_words, id_col, text, closing)
     place = F.struct("doc_id", "at")
     firsts = table.groupBy("span").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("span", "first")
     later = table.join(firsts, "span").where(place != F.col("first"))
     return later.groupBy("doc_id").agg(F.collect_set(F.struct("at", "n")).alias("gone"))
 
 
-def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text: str = "text", counts: bool = False) -> DataFrame:
-    """``docs`` with the repeated sentences cut out of ``text``; with ``counts`` also n_sentences and n_removed."""
-    gone = repeated_sentences(docs, min_words, id_col, text).select(F.col("doc_id").alias("__id"), F.col("gone").alias("__gone"))
+def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text: str = "text", counts: bool = False, closing: bool = False) -> DataFrame:
+    """``docs`` with the repeated sentences cut out of ``text``; with ``counts`` also n_sentences and n_removed, the
+    sentences that lost words."""
+    gone = repeated_sentences(docs, min_words, id_col, text, closing).select(F.col("doc_id").alias("__id"), F.col("gone").alias("__gone"))
     joined = docs.join(gone, docs[id_col].cast("long") == F.col("__id"), "left")
     names = [c for c in docs.columns if not (counts and c in ("n_sentences", "n_removed"))]
     columns = [F.col(f"`{c}`") for c in names]
@@ -108,7 +152,7 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "d
         for batch in batches:
             texts, total, removed = [], [], []
             for value, ranges in zip(batch.column(where), batch.column(len(names)), strict=True):
-                t, n, r = _without(value.as_py(), ranges.as_py(), counts)
+                t, n, r = _without(value.as_py(), ranges.as_py(), counts, closing)
                 texts.append(t)
                 total.append(n)
                 removed.append(r)
@@ -121,15 +165,18 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "d
     return source.mapInArrow(strip, schema)
 
 
-def _without(text: str | None, ranges: list[dict] | None, counts: bool) -> tuple[str | None, int, int]:
+def _without(text: str | None, ranges: list[dict] | None, counts: bool, closing: bool = False) -> tuple[str | None, int, int]:
     if not text or not (ranges or counts):
         return text, 0, 0
-    starts = sentence_starts(text)
+    sentences = starts = sentence_starts(text)
     if not ranges:
         return text, len(starts), 0
+    if closing:
+        starts = [m.start() + a for a, b in zip(starts, [*starts[1:], len(text)], strict=True) for m in _WORD.finditer(text[a:b])]
     gone = np.zeros(len(starts), bool)
     for r in ranges:
         gone[r["at"] : r["at"] + r["n"]] = True
     ends = [*starts[1:], len(text)]
-    kept = "".join(text[a:b] for a, b, g in zip(starts, ends, gone, strict=True) if not g)
-    return kept.strip() if gone.any() else text, len(starts), int(gone.sum())
+    kept = text[: starts[0]] + "".join(text[a:b] for a, b, g in zip(starts, ends, gone, strict=True) if not g)
+    changed = np.unique(np.searchsorted(sentences, np.array(starts)[gone], side="right"))
+    return kept.strip() if gone.any() else text, len(sentences), len(changed)

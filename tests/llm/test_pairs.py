@@ -206,3 +206,33 @@ def test_repeats_count_sentences(spark):
     got = {r["doc_id"]: (r["n_sentences"], r["n_removed"], r["text"]) for r in spans.remove_repeats(df, 5, counts=True).collect()}
     assert got[1] == (3, 0, text)
     assert got[2] == (3, 2, "Seven.")
+
+
+def test_repeats_reach_the_ends_of_passages(spark):
+    rng = random.Random(4)
+    sentence = lambda n: " ".join(words_of(rng, n, 10**9)).capitalize() + "."
+    closing = sentence(40) + " " + sentence(12)
+    got = {r["doc_id"]: r for r in spans.remove_repeats(spark.createDataFrame([(d, f"{sentence(9)} {closing} {sentence(9)}") for d in range(3)], "doc_id long, text string"), counts=True, closing=True).collect()}
+    assert all(w not in got[d]["text"].split() for d in (1, 2) for w in closing.split())
+    assert [(got[d]["n_sentences"], got[d]["n_removed"], len(got[d]["text"].split())) for d in range(3)] == [(4, 0, 70), (4, 2, 18), (4, 2, 18)]
+    # Passages of 61 words cut out of running text, put into other texts at any word, sentence ends of other scripts.
+    for stop in (".", ".”", " ۔", "…", " ।"):
+        long_text = " ".join(sentence(rng.randrange(5, 60))[:-1] + stop for _ in range(6)).split()
+        passage = long_text[7:68]
+        docs = []
+        for d in range(8):
+            body = " ".join(sentence(rng.randrange(5, 30)) for _ in range(8)).split()
+            at = rng.randrange(len(body))
+            docs.append((d, " ".join(body[:at] + passage + body[at:]), body))
+        for r in spans.remove_repeats(spark.createDataFrame([x[:2] for x in docs], "doc_id long, text string"), closing=True).collect():
+            left = r["text"].split()
+            own = docs[r["doc_id"]][2]
+            assert set(own) <= set(left)
+            tail = len(left) - len(own)
+            assert tail == 61 if r["doc_id"] == 0 else tail <= 2 * spans.PIECE_WORDS
+
+
+def test_sentences_of_scripts_without_spaces():
+    assert spans.sentence_starts("你好。再见！」走\x85x.  Y") == [0, 3, 7, 9, 13]
+    h, at, n = spans.spans("你好。再见！ 走.  Y z", 3, True)
+    assert at.max() + n.max() <= 6 and len(h)
