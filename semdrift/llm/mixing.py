@@ -1,34 +1,41 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Documents of a source, in the order of a hash of their ids, form blocks of ``block_rows``. A source with weight
-w releases its i-th block at floor(i / w) and wants it placed before ceil((i + 1) / w). Slots are dealt out
-earliest deadline first among released blocks; with weights that add up to 1 no deadline is missed, so at any
-time every source is less than one block away from its share.
-
-Weights are rounded to multiples of 1 / ``period``. The schedule then repeats every ``period`` slots, so one
-period is worked out per phase, and its place table is joined. A phase ends when a source has no blocks
-left; the others go on with weights scaled up to 1. No document is dropped or repeated.
-
-Sources without a weight, the null source included, get the weight of ``default_weight``; a weight that rounds
-to nothing counts as 1 / ``period``. Equal rows all get places of their own. Empty tables give empty results. Columns named
-``slot`` or ``place`` in the input are replaced.
+Documents of a source, in the order of a hash of their ids, form blocks of ``block_rows``. While all sources have
+blocks left, each is due its weight of every slot; when one runs dry, the weights of the others are scaled up to 1.
+A source's i-th block is released when it is due i blocks (rounded down to a slot) and wanted before it is due
+i + 1 (rounded up). Slots are dealt out earliest deadline first among released blocks; as the shares add up to 1
+no deadline is missed, so at any time every source is less than one block away from its share.
+
+Spans of ``period`` slots are dealt out by tasks of their own. At the end of a span every source has its due rounded
+up or down; with any such choice that fills the span all deadlines within it can be met, so spans do not depend on
+each other. No weight is rounded. No document is dropped or repeated.
+
+Sources without a weight, the null source included, get the weight of ``default_weight``. Equal rows all get places
+of their own. Empty tables give empty results. Columns named ``slot`` or ``place`` in the input are replaced.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from semdrift.scale import cut
+from semdrift.scale import cut, small_side
 
 BLOCK_ROWS = 16
-PERIOD = 1000
+# Slots that one task deals out.
+SPAN = 1 << 18
 # Rows of one source are ranked in this many independent parts, so no source is sorted in one task.
 PARTS = 4096
 MAX_SOURCES = 256
+# Rows of three longs.
+BROADCAST_ROWS = 2_000_000
+# Times this close to a slot count as that slot.
+_EPS = 1e-6
 
 
 def quotas(weights: dict[str, float], period: int) -> dict[str, int]:
@@ -65,40 +72,85 @@ def one_period(quota: dict[str, int]) -> list[tuple[str, int]]:
     return out
 
 
-def schedule(blocks: dict[str, int], weights: dict[str, float], period: int = PERIOD) -> list[tuple[str, int, int, int, int, int]]:
-    """Rows (source, first, every, i, base, slot): blocks first + i, first + i + every, ... of a phase lie at
-    base + slot + k * period. A phase lasts until its first source has no block left."""
-    done = dict.fromkeys(blocks, 0)
-    rows, base = [], 0
-    left = {s: n for s, n in blocks.items() if n}
-    while left:
-        quota = quotas({s: weights[s] for s in left}, period)
-        length = sum(quota.values())
-        turn = one_period(quota)
-        whole = min(left[s] // quota[s] for s in left)
-        # Within the last period, up to the slot that finds a source empty.
-        used, stop = {s: whole * quota[s] for s in left}, length
-        taken = dict.fromkeys(left, 0)
-        for slot, (s, _) in enumerate(turn):
-            if used[s] + taken[s] == left[s]:
-                stop = slot
-                break
-            taken[s] += 1
-        for slot, (s, i) in enumerate(turn):
-            rows.append((s, done[s], quota[s], i, base, slot, length, done[s] + used[s] + taken[s]))
-        base += whole * length + stop
-        for s in list(left):
-            done[s] += used[s] + taken[s]
-            left[s] -= used[s] + taken[s]
-            if not left[s]:
-                del left[s]
-    return rows
-
-
-_PLAN = T.StructType([T.StructField("__s", T.StringType()), *[T.StructField(n, T.LongType()) for n in ("first", "every", "i", "base", "at", "length", "until")]])
-
-
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, source: str = "source", id_col: str = "doc_id", block_rows: int = BLOCK_ROWS, period: int = PERIOD, default_weight: float | None = None, seed: int = 7) -> DataFrame:
+class Shares:
+    """How many blocks each of the sources with ``blocks`` blocks and ``weights`` is due after any number of slots.
+
+    Source s has got min(blocks, weight * v) at virtual time v, all sources together v's slot number.
+    """
+
+    def __init__(self, blocks: np.ndarray, weights: np.ndarray) -> None:
+        ends, which = np.unique(blocks / weights, return_inverse=True)
+        active = weights.sum() - np.concatenate(([0.0], np.cumsum(np.bincount(which, weights))[:-1]))
+        self.ends = np.concatenate(([0.0], ends))
+        # Whole numbers: those of the slots at which the sources of one end are through would differ by rounding.
+        self.slots = np.concatenate(([0.0], np.cumsum(np.maximum(active, 0.0) * np.diff(self.ends))))
+        self.slots *= blocks.sum() / self.slots[-1]
+
+    def due(self, slot: int, blocks: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        return np.minimum(blocks, weights * np.interp(slot, self.slots, self.ends))
+
+    def slot(self, done: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """The time at which sources of these weights are due ``done`` blocks."""
+        return np.interp(done / weights, self.ends, self.slots)
+
+
+def bounds(blocks: np.ndarray, weights: np.ndarray, shares: Shares, period: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first slot, blocks placed before, blocks placed after) for each span."""
+    total, done = int(blocks.sum()), np.zeros(len(blocks), np.int64)
+    for start in range(0, total, period):
+        stop = min(start + period, total)
+        due = shares.due(stop, blocks, weights)
+        after = np.maximum(np.floor(due + _EPS).astype(np.int64), done)
+        open_ = np.flatnonzero((np.ceil(due - _EPS) > after) & (after < blocks))
+        soon = np.argsort(shares.slot(after[open_] + 1.0, weights[open_]), kind="stable")
+        after[open_[soon[: max(0, stop - int(after.sum()))]]] += 1
+        if after.sum() != stop:
+            raise ArithmeticError(f"{after.sum()} blocks for {stop} slots")
+        yield start, done, after
+        done = after
+
+
+def deal(start: int, source: np.ndarray, done: np.ndarray, after: np.ndarray, weights: np.ndarray, shares: Shares) -> tuple[np.ndarray, np.ndarray]:
+    """(source, i) of the slots from ``start`` on: the released block with the earliest deadline."""
+    count = after - done
+    which = np.repeat(np.arange(len(source)), count)
+    i = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + done[which]
+    w = weights[which]
+    release = np.maximum(np.floor(shares.slot(i.astype(float), w) + _EPS).astype(np.int64), start)
+    deadline = np.minimum(np.ceil(shares.slot(i + 1.0, w) - _EPS).astype(np.int64), start + len(which))
+    order = np.argsort(release, kind="stable")
+    jobs = list(zip(release[order].tolist(), deadline[order].tolist(), source[which[order]].tolist(), order.tolist(), strict=True))
+    ready: list[tuple[int, int, int, int]] = []
+    out, at = np.empty(len(jobs), np.int64), 0
+    for slot in range(len(jobs)):
+        while at < len(jobs) and (jobs[at][0] <= start + slot or not ready):
+            _, last, s, k = jobs[at]
+            heapq.heappush(ready, (last, s, int(i[k]), k))
+            at += 1
+        out[slot] = heapq.heappop(ready)[3]
+    return source[which[out]], i[out]
+
+
+def schedule(spark: SparkSession, blocks: np.ndarray, weights: np.ndarray, period: int = SPAN) -> DataFrame:
+    """(sid, __block, slot) for each block of each source number."""
+    shares = Shares(blocks, weights) if len(blocks) else None
+    spans = []
+    for start, done, after in bounds(blocks, weights, shares, period) if len(blocks) else ():
+        sid = np.flatnonzero(after > done)
+        spans.append((start, *(x.tobytes() for x in (sid, done[sid], after[sid], weights[sid]))))
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                sid, done, after = (np.frombuffer(row[c], np.int64) for c in ("sid", "done", "after"))
+                s, i = deal(row["start"], sid, done, after, np.frombuffer(row["w"]), shares)
+                yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(i), pa.array(np.arange(len(s)) + row["start"])], names=["sid", "__block", "slot"])
+
+    table = spark.createDataFrame(spans, "start long, sid binary, done binary, after binary, w binary")
+    return table.repartition(max(1, len(spans))).mapInArrow(dealt, "sid long, __block long, slot long")
+
+
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, source: str = "source", id_col: str = "doc_id", block_rows: int = BLOCK_ROWS, period: int = SPAN, default_weight: float | None = None, seed: int = 7) -> DataFrame:
     """``docs`` with ``slot`` (place of the row's block in the mix) and ``place`` (of the row itself).
 
     Without ``weights`` each source gets the square root of its share. At most ``MAX_SOURCES`` sources.
@@ -116,19 +168,17 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, source: str =
     target = {s: (n**0.5 if weights is None else weights.get(s, default_weight if default_weight is not None else min(weights.values(), default=1.0))) for s, n in names.items()}
     if any(not w > 0 for w in target.values()):
         raise ValueError("weights must be positive")
-    plan = schedule({s: -(-n // block_rows) for s, n in names.items()}, target, period)
-    table = spark.createDataFrame(plan, _PLAN)
+    order = sorted(names)
+    blocks = np.array([-(-names[s] // block_rows) for s in order], np.int64)
+    numbers = spark.createDataFrame(list(enumerate(order)), "sid long, __s string")
+    plan = schedule(spark, blocks, np.array([target[s] for s in order], float), period).join(numbers, "sid")
+    plan = small_side(plan.select("__s", "__block", F.col("slot").alias("__slot")), BROADCAST_ROWS)
     offset = sizes.withColumn("__before", F.sum("__n").over(Window.partitionBy("__s").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)))
     numbered = marked.withColumn("__row", F.row_number().over(Window.partitionBy("__s", "__part").orderBy("__key", F.col(id_col))) - 1)
-    # At most MAX_SOURCES * PARTS short rows.
+    # At most PARTS short rows for each source.
     numbered = numbered.join(offset.select("__s", "__part", "__before"), ["__s", "__part"])
     row = F.col("__row") + F.coalesce("__before", F.lit(0))
     numbered = numbered.withColumn("__block", F.floor(row / block_rows)).withColumn("__within", row % block_rows)
-    # One plan row for each source and block number: the phase that holds the block, and its place in the period.
-    phases = table.select("__s", "first", "every", "base", "length", "until").distinct()
-    placed = numbered.join(F.broadcast(phases), "__s").where("__block >= first and __block < until")
-    placed = placed.withColumn("i", (F.col("__block") - F.col("first")) % F.col("every"))
-    placed = placed.withColumn("__round", F.floor((F.col("__block") - F.col("first")) / F.col("every")))
-    placed = placed.join(F.broadcast(table.select("__s", "first", "i", "at")), ["__s", "first", "i"])
-    slot = (F.col("base") + F.col("__round") * F.col("length") + F.col("at")).cast("long")
+    placed = numbered.join(plan, ["__s", "__block"])
+    slot = F.col("__slot")
     return placed.select(*kept, slot.alias("slot"), (slot * block_rows + F.col("__within")).cast("long").alias("place"))

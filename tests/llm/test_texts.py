@@ -260,6 +260,39 @@ def test_mix_places_every_row_once(spark):
     assert mixing.mix(df.limit(0)).collect() == []
 
 
+def lags(blocks, weights, period):
+    """Largest distance of any source from its share over all slots."""
+    shares = mixing.Shares(blocks, weights)
+    done, most, slot = np.zeros(len(blocks), int), 0.0, 0
+    for start, before, after in mixing.bounds(blocks, weights, shares, period):
+        sid = np.flatnonzero(after > before)
+        for s, i in zip(*mixing.deal(start, sid, before[sid], after[sid], weights[sid], shares), strict=True):
+            assert i == done[s]
+            done[s] += 1
+            slot += 1
+            most = max(most, np.abs(done - shares.due(slot, blocks, weights)).max())
+    assert (done == blocks).all()
+    return most
+
+
+@pytest.mark.parametrize("period", [10, 777, 10**6])
+def test_mix_keeps_to_the_weights_themselves(period):
+    rng = random.Random(6)
+    sizes = np.array([5000] + [rng.randrange(1, 900) for _ in range(20)])
+    assert lags(sizes, np.sqrt(sizes), period) < 1.001
+    assert lags(np.array([3000, 40, 2000]), np.array([0.6, 0.0005, 0.3995]), period) < 1.001
+    # Until the first source is dry the share is the weight of every slot, not a multiple of 1/1000.
+    shares = mixing.Shares(np.array([3000, 40, 2000]), np.array([0.6, 0.0005, 0.3995]))
+    assert abs(shares.due(4000, np.array([3000, 40, 2000]), np.array([0.6, 0.0005, 0.3995]))[1] - 2.0) < 1e-6
+
+
+def test_mix_does_not_lift_a_small_weight(spark):
+    df = spark.range(5040).selectExpr("id as doc_id", "case when id < 3000 then 'a' when id < 3040 then 'b' else 'c' end as source")
+    placed = mixing.mix(df, {"a": 0.6, "b": 0.0005, "c": 0.3995}, block_rows=1)
+    got = {r["source"]: r["count"] for r in placed.where("place < 4000").groupBy("source").count().collect()}
+    assert all(abs(got[s] - n) < 1 for s, n in {"a": 2400, "b": 2, "c": 1598}.items())
+
+
 # ---- decontamination ---------------------------------------------------------
 
 ITEM = "A train leaves the old station at 8:30 with 120 people and goes 45 km to meet Anna near the bridge before Anna pays 120 euros for the ticket"
