@@ -31,7 +31,6 @@ BLOCK_ROWS = 16
 SPAN = 1 << 18
 # Rows of one source are ranked in this many independent parts, so no source is sorted in one task.
 PARTS = 4096
-MAX_SOURCES = 256
 # Rows of three longs.
 BROADCAST_ROWS = 2_000_000
 # Times this close to a slot count as that slot.
@@ -153,7 +152,8 @@ def schedule(spark: SparkSession, blocks: np.ndarray, weights: np.ndarray, perio
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, source: str = "source", id_col: str = "doc_id", block_rows: int = BLOCK_ROWS, period: int = SPAN, default_weight: float | None = None, seed: int = 7) -> DataFrame:
     """``docs`` with ``slot`` (place of the row's block in the mix) and ``place`` (of the row itself).
 
-    Without ``weights`` each source gets the square root of its share. At most ``MAX_SOURCES`` sources.
+    Without ``weights`` each source gets the square root of its share. Any number of sources; the
+    driver holds a name and some longs for each.
     """
     spark = docs.sparkSession
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("slot", "place")]
@@ -161,9 +161,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, source: str =
     marked = docs.select(*kept, F.coalesce(F.col(source).cast("string"), F.lit("\0null")).alias("__s"), key.alias("__key"))
     marked = marked.withColumn("__part", F.pmod(F.shiftright("__key", 20), F.lit(PARTS)))
     sizes = cut(marked.groupBy("__s", "__part").agg(F.count(F.lit(1)).alias("__n")))
-    totals = sizes.groupBy("__s").agg(F.sum("__n").alias("n")).orderBy("__s").limit(MAX_SOURCES + 1).collect()
-    if len(totals) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources; group them before mixing")
+    totals = sizes.groupBy("__s").agg(F.sum("__n").alias("n")).collect()
     names = {r["__s"]: r["n"] for r in totals}
     target = {s: (n**0.5 if weights is None else weights.get(s, default_weight if default_weight is not None else min(weights.values(), default=1.0))) for s, n in names.items()}
     if any(not w > 0 for w in target.values()):

@@ -293,6 +293,12 @@ def test_mix_does_not_lift_a_small_weight(spark):
     assert all(abs(got[s] - n) < 1 for s, n in {"a": 2400, "b": 2, "c": 1598}.items())
 
 
+def test_mix_of_many_sources(spark):
+    df = spark.range(3000).selectExpr("id as doc_id", "concat('s', id % 700) as source")
+    got = mixing.mix(df, block_rows=2).collect()
+    assert len(got) == len({r["doc_id"] for r in got}) == len({r["place"] for r in got}) == 3000
+
+
 # ---- decontamination ---------------------------------------------------------
 
 ITEM = "A train leaves the old station at 8:30 with 120 people and goes 45 km to meet Anna near the bridge before Anna pays 120 euros for the ticket"
