@@ -201,8 +201,20 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
     return members.join(final, members["class_id"] == final["id"], "left").select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("component_id", "class_id").alias("component_id"))
 
 
-def drop_jaccard_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` without those that are linked to a smaller id; exact repeats of a row's id stay once."""
-    groups = jaccard_groups(docs, width, percent, id_col)
-    gone = groups.where("component_id < doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == F.col("__gone"), "left_anti")
+def drop_jaccard_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of linked rows, one with the smallest id; rows with null ids come last.
+
+    Every row is compared by a key of its own, so rows that repeat an id and rows without one are like any others.
+    Rows without a shingle link with nothing and all stay.
+    """
+    # Stored first: the keys follow the partitions, which have to be the same whenever they are read.
+    keyed = cut(docs.withColumn("__key", F.monotonically_increasing_id()))
+    groups = jaccard_groups(keyed.select("__key", text), width, percent, "__key", text)
+    members = groups.where("n_shingles > 0").select(F.col("doc_id").alias("__member"), F.col("component_id").alias("__group"))
+    # Of each group only the first is not gone; groups of one are all first.
+    shared = members.where("__member <> __group").select("__group").distinct()
+    ranked = members.join(shared, "__group", "left_semi").join(keyed.select(F.col("__key").alias("__member"), F.col(id_col).alias("__id")), "__member")
+    place = F.struct(F.col("__id").isNull().alias("none"), "__id", "__member")
+    kept = ranked.groupBy("__group").agg(F.min(place).alias("p")).select(F.col("p.__member").alias("__member"))
+    gone = ranked.select("__member").join(kept, "__member", "left_anti")
+    return keyed.join(gone, F.col("__key") == F.col("__member"), "left_anti").drop("__key")

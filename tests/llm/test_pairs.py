@@ -105,6 +105,16 @@ def test_jaccard_join_of_repeated_rows_and_nothing(spark):
     assert jaccard.jaccard_groups(df.limit(0), 3, 90).collect() == []
 
 
+def test_repeated_and_null_ids_are_duplicates_too(spark):
+    one, two, three = ("".join(f"{c}{k} " for k in range(30)) for c in "abc")
+    rows = [(7, one), (7, one), (9, one), (None, one), (None, two), (None, two), (3, two + "x"), (5, three), (5, one), (None, three), (8, ""), (8, ""), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r["doc_id"], r["text"]) for r in jaccard.drop_jaccard_duplicates(df).collect()]
+    assert sorted(got, key=repr) == sorted([(5, one), (3, two + "x"), (5, three), (8, ""), (8, ""), (None, None)], key=repr)
+    alone = [(None, one), (None, one), (None, three)]
+    assert jaccard.drop_jaccard_duplicates(spark.createDataFrame(alone, "doc_id long, text string")).count() == 2
+
+
 def test_near_vectors_against_brute_force(spark):
     rng = np.random.default_rng(1)
     base = rng.standard_normal((150, 24))
