@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semdrift.llm import decontam, embed_dedup, html_extract, jaccard, langid, mixing, quality, spans, tokens, toxicity
+from semdrift.llm import decontam, embed_dedup, html_extract, jaccard, langid, mixing, prefix_trie, quality, secret_scan, spans, tokens, toxicity, twins, whitening
 from semdrift.llm.frames import fold
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,24 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True, closing=True)
+
+
+@query
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
+
+
+@query
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation starts with up to five turns of the first one of its hundred."""
+    turns = prefix_trie.ordered_turns(table(spark, sf_dir, "conversations"))
+    return prefix_trie.trie_digest(*prefix_trie.share_starts(turns))
+
+
+SQL["op11_secret_scan"] = twins.secret_scan_sql()
+SQL["op13_conversation_prefix_trie"] = twins.prefix_trie_sql()
