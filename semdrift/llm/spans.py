@@ -12,9 +12,14 @@ is covered as its start is. A passage that starts or ends inside a sentence then
 ``PIECE_WORDS`` words at either side, and is found for certain from ``min_words`` + 3 * ``PIECE_WORDS`` words on.
 Without ``closing`` it loses only its whole sentences.
 
-Null texts stay null, empty ones empty; a text that is wholly repeated becomes empty, its row stays. Of rows
-with equal id and text all but one keep their text as far as the first is concerned: they count as one
-document. Rows with null ids are neither changed nor compared. Extra columns are kept.
+Rows are compared by a key of their own, so rows that share an id, repeat each other or have a null id are like any
+others; the first occurrence is that of the smallest id (null ids last), of equal ids in the row that was read
+first. Null texts stay null, empty ones empty; a text that is wholly repeated becomes empty, its row stays. Extra
+columns are kept, but for ``n_sentences`` and ``n_removed`` where these are asked for.
+
+The spans are computed once and shuffled once. Within an Arrow batch only the first occurrence of a span goes on as
+such, the others are merged to ranges there, so a span that a third of all texts hold is one row per batch. Only
+texts with something to remove are shuffled; a bit table of their keys, of bounded size, tells them apart.
 """
 
 from __future__ import annotations
@@ -24,15 +29,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from semdrift.llm.hashing import mix, word_hashes
+from semdrift.scale import cut, scratch_path
 
 MIN_WORDS = 25
 PIECE_WORDS = 12
+# Bits, as a power of two, of the largest table of keys that is broadcast: 128 MB.
+TABLE_BITS = 30
 # White space behind a full stop and the quotes or brackets that follow it, full-width stops, line breaks.
-_BREAK = re.compile(r"(?<=[.!?…‽؟۔։।॥။።])[\"'”’»)\]]*\s+|(?<=[。！？｡．])[”’」』）]*\s*(?![。！？｡．])|[\n\r\v\f\x85\u2028\u2029]+")
+_BREAK = re.compile(r"[.!?…‽؟۔։।॥။።][\"'”’»)\]]*\s+|[。！？｡．][”’」』）]*\s*(?![。！？｡．])|[\n\r\v\f\x85\u2028\u2029]+")
 # White space that str.split knows and ``word_hashes`` does not.
 _ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _WORD = re.compile(r"[^ \t-\r]+")
@@ -52,11 +60,8 @@ def _powers(n: int) -> list[np.ndarray]:
 
 def sentence_starts(text: str) -> list[int]:
     """Offsets at which sentences begin: after line breaks, and after white space that follows the end of one."""
-    starts = [0]
-    for m in _BREAK.finditer(text):
-        if m.end() < len(text):
-            starts.append(m.end())
-    return starts
+    last = len(text)
+    return [0, *(end for m in _BREAK.finditer(text) if (end := m.end()) < last)]
 
 
 def _piece_starts(words: np.ndarray, upto: np.ndarray) -> np.ndarray:
@@ -109,50 +114,110 @@ def spans(text: str, min_words: int, closing: bool = False) -> tuple[np.ndarray,
     return (h, upto[first], upto[last] - upto[first]) if closing else (h, first, last - first)
 
 
-def span_table(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text: str = "text", closing: bool = False) -> DataFrame:
-    """(span, doc_id, at, n): one row for each span of each document."""
+def _first_and_later(h: np.ndarray, order: np.ndarray, row: np.ndarray, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the spans of a batch the places of the first occurrences, and rows (row, start, stop) of what the others cover.
+
+    ``order`` says which rows come first.
+    """
+    by = np.lexsort((at, order, h))
+    first = np.ones(len(by), bool)
+    first[1:] = h[by[1:]] != h[by[:-1]]
+    later = by[~first]
+    later = later[np.lexsort((at[later], row[later]))]
+    # Ranges of a row are joined where they touch: laid end to end, rows apart, one running maximum finds the gaps.
+    if not len(later):
+        return by[first], np.empty((0, 3), np.int64)
+    wide = int((at[later] + n[later]).max()) + 2
+    start, stop = row[later] * wide + at[later], row[later] * wide + at[later] + n[later]
+    reach = np.maximum.accumulate(stop)
+    opens = np.flatnonzero(np.append(True, start[1:] > reach[:-1]))
+    closes = np.append(opens[1:], len(later)) - 1
+    return by[first], np.column_stack((row[later][opens], start[opens] % wide, reach[closes] % wide))
+
+
+def span_table(keyed: DataFrame, min_words: int = MIN_WORDS, closing: bool = False) -> DataFrame:
+    """(span, later, none, id, key, at, n) for documents (key, id, text).
+
+    One row for each span of a batch at its first place there; with ``later`` also one for each range of the batch
+    that is repeated for certain. ``none`` marks null ids.
+    """
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list[np.ndarray]] = [[], [], [], []]
-            for key, value in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
+            parts: list[tuple[np.ndarray, ...]] = []
+            for i, value in enumerate(batch["text"]):
                 h, at, n = spans(value.as_py(), min_words, closing)
-                for column, x in zip(out, (h.view(np.int64), np.full(len(h), key, np.int64), at, n), strict=True):
-                    column.append(x)
-            if any(map(len, out[0])):
-                h, key, at, n = (np.concatenate(x) for x in out)
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(key), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))], names=["span", "doc_id", "at", "n"])
-
-    known = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text <> ''")
-    return known.mapInArrow(cut_up, "span long, doc_id long, at int, n int")
-
-
-def repeated_sentences(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text: str = "text", closing: bool = False) -> DataFrame:
-    """(doc_id, gone): ranges [at, at + n) of sentences, with ``closing`` of words, in repeated spans that are not the first."""
-    table = span_table(docs, min_words, id_col, text, closing)
-    place = F.struct("doc_id", "at")
-    firsts = table.groupBy("span").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("span", "first")
-    later = table.join(firsts, "span").where(place != F.col("first"))
-    return later.groupBy("doc_id").agg(F.collect_set(F.struct("at", "n")).alias("gone"))
+                if len(h):
+                    parts.append((h, np.full(len(h), i), at, n))
+            if not parts:
+                continue
+            h, row, at, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+            keys, ids = batch["key"].to_numpy(), batch["id"]
+            none = np.asarray(ids.is_null())
+            known = ids.fill_null(0).to_numpy()
+            order = np.empty(len(keys), np.int64)
+            order[np.lexsort((keys, known, none))] = np.arange(len(keys))
+            first, more = _first_and_later(h, order[row], row, at, n)
+            at = np.concatenate((at[first], more[:, 1]))
+            n = np.concatenate((n[first], more[:, 2] - more[:, 1]))
+            row = np.concatenate((row[first], more[:, 0]))
+            span = np.concatenate((h[first], mix(keys[more[:, 0]].astype(np.uint64)))).view(np.int64)
+            later = np.arange(len(at)) >= len(first)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(span), pa.array(later), pa.array(none[row]), pa.array(known[row]), pa.array(keys[row]), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))],
+                names=["span", "later", "none", "id", "key", "at", "n"],
+            )
+
+    known = keyed.select("key", "id", "text").where("text <> ''")
+    return known.mapInArrow(cut_up, "span long, later boolean, none boolean, id long, key long, at int, n int")
+
+
+def repeated_ranges(keyed: DataFrame, min_words: int = MIN_WORDS, closing: bool = False) -> DataFrame:
+    """(key, gone): ranges [at, at + n) of sentences, with ``closing`` of words, in repeated spans that are not the first."""
+    place = Window.partitionBy("span").orderBy("later", "none", "id", "key", "at")
+    table = span_table(keyed, min_words, closing).withColumn("rank", F.row_number().over(place))
+    return table.where("later or rank > 1").groupBy("key").agg(F.collect_set(F.struct("at", "n")).alias("gone"))
+
+
+def _likely(rows: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` whose key may be among ``keys``, and those whose key is not, by a broadcast bit table.
+
+    The table has some 16 bits per key, but at most 2 ** ``TABLE_BITS``; beyond that more rows pass for likely.
+    """
+    bits = min(TABLE_BITS, max(16, (16 * keys.count()).bit_length()))
+    place = F.pmod(F.xxhash64("key"), F.lit(1 << bits))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
+    words = keys.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(one).alias("bits"))
+    marked = rows.withColumn("word", F.shiftright(place, 6)).join(F.broadcast(words), "word", "left")
+    hit = F.coalesce(F.getbit("bits", (place % 64).cast("int")) == 1, F.lit(False))
+    return marked.where(hit).drop("word", "bits"), marked.where(~hit).drop("word", "bits")
 
 
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text: str = "text", counts: bool = False, closing: bool = False) -> DataFrame:
     """``docs`` with the repeated sentences cut out of ``text``; with ``counts`` also n_sentences and n_removed, the
     sentences that lost words."""
-    gone = repeated_sentences(docs, min_words, id_col, text, closing).select(F.col("doc_id").alias("__id"), F.col("gone").alias("__gone"))
-    joined = docs.join(gone, docs[id_col].cast("long") == F.col("__id"), "left")
+    spark = docs.sparkSession
     names = [c for c in docs.columns if not (counts and c in ("n_sentences", "n_removed"))]
-    columns = [F.col(f"`{c}`") for c in names]
-    source = joined.select(*columns, "__gone")
-    extra = [F.lit(0).alias("n_sentences"), F.lit(0).alias("n_removed")] if counts else []
-    schema = docs.select(*columns, *extra).schema
+    # Stored first: the keys follow the partitions, which have to be the same whenever they are read.
+    path = scratch_path(spark, "rows")
+    short = [f"c{i}" for i in range(len(names))]
+    columns = [F.col(f"`{c}`").alias(k) for c, k in zip(names, short, strict=True)]
+    docs.select(*columns, F.monotonically_increasing_id().alias("key")).write.parquet(path)
+    rows = spark.read.parquet(path)
     where = names.index(text)
+    keyed = rows.select("key", F.col(short[names.index(id_col)]).cast("long").alias("id"), F.col(short[where]).alias("text"))
+    gone = cut(repeated_ranges(keyed, min_words, closing))
+    some, others = _likely(rows, gone.select("key"))
+    some = some.join(gone, "key", "left").select(*short, "gone")
+    extra = [F.lit(0).alias("n_sentences"), F.lit(0).alias("n_removed")] if counts else []
+    schema = docs.select(*[F.col(f"`{c}`") for c in names], *extra).schema
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, total, removed = [], [], []
-            for value, ranges in zip(batch.column(where), batch.column(len(names)), strict=True):
-                t, n, r = _without(value.as_py(), ranges.as_py(), counts, closing)
+            ranges_of = batch.column(len(names)).to_pylist() if batch.num_columns > len(names) else [None] * len(batch)
+            for value, ranges in zip(batch.column(where), ranges_of, strict=True):
+                t, n, r = _without(value.as_py(), ranges, counts, closing)
                 texts.append(t)
                 total.append(n)
                 removed.append(r)
@@ -162,7 +227,9 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "d
                 out += [pa.array(total, pa.int32()), pa.array(removed, pa.int32())]
             yield pa.RecordBatch.from_arrays(out, names=schema.names)
 
-    return source.mapInArrow(strip, schema)
+    whole = others.select(*short)
+    whole = whole.mapInArrow(strip, schema) if counts else whole.toDF(*names)
+    return some.mapInArrow(strip, schema).union(whole)
 
 
 def _without(text: str | None, ranges: list[dict] | None, counts: bool, closing: bool = False) -> tuple[str | None, int, int]:

@@ -204,12 +204,65 @@ def test_repeats_against_brute_force(spark):
     assert rows[0].asDict().keys() == {"doc_id", "text", "at", "gone"}
     got = {r["doc_id"]: r["text"] for r in rows}
     want = brute_repeats(docs, 25)
-    assert got[0] is None and got[1] == "" and got[None] == docs[10][1]
+    assert got[0] is None and got[1] == "" and got[None] == ""
     assert {d: got[d] for d in want} == want
     assert got[50] == "" and got[51] == ""
     assert spans.remove_repeats(df.limit(0)).collect() == []
 
 
+def brute_closing(rows, min_words):
+    """Texts without the words in repeated runs: all runs from piece to piece that the rule names, compared as words."""
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0, i))
+    seen, gone = {}, [set() for _ in rows]
+    for i in order:
+        text = rows[i][1] or ""
+        starts = spans.sentence_starts(text)
+        parts = [shingle_words(text[a:b]) for a, b in zip(starts, [*starts[1:], len(text)], strict=True)]
+        words = [w for p in parts for w in p]
+        cuts = {0, len(words)}
+        at = 0
+        for p in parts:
+            cuts.add(at)
+            if len(p) > spans.PIECE_WORDS:
+                hashes = [spans.word_hashes(w)[0] for w in p]
+                for k in range(len(p) - spans.PIECE_WORDS + 1):
+                    window = hashes[k : k + spans.PIECE_WORDS]
+                    cuts.add(at + k + window.index(min(window)))
+            at += len(p)
+        cuts = sorted(cuts)
+        runs = {(a, next(b for b in cuts if b >= a + min_words)) for a in cuts if a + min_words <= len(words)}
+        runs |= {(max(a for a in cuts if a <= b - min_words), b) for b in cuts if b >= min_words}
+        for a, b in sorted(runs):
+            if seen.setdefault(tuple(words[a:b]), (i, a)) != (i, a):
+                gone[i].update(range(a, b))
+    return [None if t is None else [w for k, w in enumerate(shingle_words(t)) if k not in g] for (_, t), g in zip(rows, gone, strict=True)]
+
+
+def test_registered_repeats_against_brute_force(spark):
+    rng = random.Random(21)
+    sentence = lambda n: " ".join(words_of(rng, n, 10**9)).capitalize() + rng.choice(".!?")
+    passages = [" ".join(sentence(rng.randrange(3, 45)) for _ in range(6)).split() for _ in range(4)]
+    rows = []
+    for d in range(60):
+        body = " ".join(sentence(rng.randrange(2, 40)) for _ in range(rng.randrange(1, 9))).split()
+        for _ in range(rng.randrange(3)):
+            p, at = rng.choice(passages), rng.randrange(len(body))
+            a = rng.randrange(10)
+            body[at:at] = p[a : a + rng.randrange(26, 70)]
+        rows.append((rng.choice([None, d // 3, d // 3, 7]), rng.choice([" ", "\n"]).join(body)))
+    unrelated = " ".join(sentence(20) for _ in range(5))
+    rows += [rows[3], rows[3], (None, rows[5][1]), (None, unrelated), (7, unrelated[::-1]), (1, None), (None, ""), (4, " ".join(words_of(rng, 30_000, 10**9)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit("clash")).withColumn("c0", F.lit(2)).withColumn("gone", F.lit(3)).coalesce(1)
+    with_place = df.withColumn("place", F.monotonically_increasing_id())
+    for parts in (1, 4):
+        got = spans.remove_repeats(with_place.repartitionByRange(parts, "place").sortWithinPartitions("place"), closing=True)
+        assert got.columns == with_place.columns
+        found = {r["place"]: r for r in got.collect()}
+        assert [(found[i]["doc_id"], found[i]["key"], found[i]["c0"]) for i in range(len(rows))] == [(d, "clash", 2) for d, _ in rows]
+        texts = [found[i]["text"] for i in range(len(rows))]
+        assert [None if t is None else shingle_words(t) for t in texts] == brute_closing(rows, spans.MIN_WORDS)
+
+
 def test_repeats_count_sentences(spark):
     text = "One two three. Four five six. Seven."
     df = spark.createDataFrame([Row(doc_id=1, text=text), Row(doc_id=2, text=text)])
