@@ -6,8 +6,8 @@ Pairs that share enough windows at one offset are aligned, and their slots compa
 always stand for the same value of the document, or the match is chance and not a re-parameterised copy.
 
 Everything on this path is SQL functions. Null and empty texts, and items of fewer than ``WINDOW`` template
-words, match nothing. Repeated documents each match; rows with equal ids count as one document. Empty tables
-give empty results. Extra columns are ignored by ``leaks`` and kept by ``drop_leaks``.
+words, match nothing. For ``leaks`` rows with equal ids count as one document and rows with null ids are left out;
+``drop_leaks`` judges every row by itself. Empty tables give empty results. Extra columns are ignored by ``leaks`` and kept by ``drop_leaks``.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from semdrift.scale import cut, small_side
+from semdrift.scale import cut, scratch_path, small_side
 
 WINDOW = 8  # a power of two, see _windows
 # Share of an item's windows that a document must hold.
@@ -99,7 +99,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_share: float = MIN_SHARE, i
     return out.select("doc_id", "item_id", "n_windows", "n_matched", "share", F.coalesce("n_slots", F.lit(0)).alias("n_slots"), steady.alias("consistent"), steady.alias("contaminated"))
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, min_share: float = MIN_SHARE, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` without the contaminated ones. Rows with a null id stay."""
-    gone = leaks(docs, benchmark, min_share, id_col).where("contaminated").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, min_share: float = MIN_SHARE, text: str = "text") -> DataFrame:
+    """``docs`` without the contaminated rows. Each row is compared by a key of its own, whatever its id."""
+    # Stored first: the keys follow the partitions, which have to be the same whenever they are read.
+    path = scratch_path(docs.sparkSession, "rows")
+    short = [f"c{i}" for i in range(len(docs.columns))]
+    columns = [F.col(f"`{c}`").alias(k) for c, k in zip(docs.columns, short, strict=True)]
+    docs.select(*columns, F.monotonically_increasing_id().alias("key")).write.parquet(path)
+    rows = docs.sparkSession.read.parquet(path)
+    found = leaks(rows, benchmark, min_share, "key", short[docs.columns.index(text)])
+    gone = small_side(found.where("contaminated").select(F.col("doc_id").alias("key")).distinct())
+    return rows.join(gone, "key", "left_anti").select(*short).toDF(*docs.columns)

@@ -1,6 +1,7 @@
 """Hierarchical language identification: family first, then one-versus-one linear SVMs within the family.
 
-Empty tables give empty results. A null text, or one without a letter, is ``und`` with score 1.0. Rows with
+Empty tables give empty results. A null text, or one without a letter (Unicode categories L), is
+``und`` with score 1.0. Rows with
 equal ids are each predicted. Extra columns are kept by ``filter_language`` and ignored by ``predict_language``.
 Without any usable training row every text is ``und`` with score 0.0. Whole texts are used, however long;
 ties between languages go to the first in alphabetical order.
@@ -8,7 +9,6 @@ ties between languages go to the first in alphabetical order.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,7 +24,6 @@ DIM = 1 << 13
 SAMPLE_PER_LANG = 400
 MAX_LANGS = 200
 UND = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 _PIECE = 1 << 20
 # Control characters, digits and ASCII signs all read as one space.
 _CLASS = np.arange(256, dtype=np.uint32)
@@ -163,7 +162,7 @@ def predict_language(docs: DataFrame, model: LanguageModel | None, text: str = "
                 batch = whole.slice(at, 512)
                 texts = batch["__text"].to_pylist()
                 lang, score = np.full(len(texts), UND, object), np.ones(len(texts))
-                lettered = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
+                lettered = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))]
                 if model is None:
                     score[lettered] = 0.0
                 elif lettered:

@@ -36,7 +36,7 @@ def test_language_families_and_held_out_accuracy(spark):
     assert np.mean([r["lang"] == r["lang_pred"] for r in rows]) > 0.97
     assert all(0 <= r["score"] <= 1 for r in rows)
     # Whole texts: what stands behind a long foreign part decides.
-    mixed = [(1, invented(rng, "de", 20) + " " + invented(rng, "en", 40_000)), (2, None), (3, ""), (4, "12 %&"), (5, invented(rng, "es", 300)), (5, invented(rng, "es", 300))]
+    mixed = [(1, invented(rng, "de", 20) + " " + invented(rng, "en", 40_000)), (2, None), (3, ""), (4, "½ ² ① 12 %&"), (5, invented(rng, "es", 300)), (5, invented(rng, "es", 300))]
     got = langid.predict_language(spark.createDataFrame(mixed, "doc_id long, text string"), model).collect()
     assert [(r["doc_id"], r["lang_pred"]) for r in got] == [(1, "en"), (2, "und"), (3, "und"), (4, "und"), (5, "es"), (5, "es")]
     assert [r["score"] for r in got[1:4]] == [1.0, 1.0, 1.0]
@@ -327,6 +327,9 @@ def test_reparameterised_questions_are_caught(spark):
     assert rows[3]["consistent"] is False and rows[3]["contaminated"] is False
     assert not {4, 5, 6, 8, 9} & set(rows)
     assert rows[1]["n_slots"] == rows[2]["n_slots"] > 3
+    more = df.union(spark.createDataFrame([(None, ITEM, "x"), (None, filler, "x"), (2, filler, "x")], df.schema))
+    assert sorted((r["doc_id"] or 0) for r in decontam.drop_leaks(more, items).collect() if r["text"] == filler) == [0, 2, 4]
+    assert not [r for r in decontam.drop_leaks(more, items).collect() if r["text"] == ITEM]
     kept = decontam.drop_leaks(df, items)
     assert kept.columns == df.columns
     assert not {1, 2} & {r["doc_id"] for r in kept.collect()}
