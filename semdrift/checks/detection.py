@@ -11,12 +11,12 @@ from semdrift.checks.registry import query, r6, wall
 from semdrift.config import DetectorConfig
 from semdrift.functions import vectors as V
 from semdrift.functions.encode import embed_text
-from semdrift.operators import filters, joins, merge, neighbours, ordering
+from semdrift.operators import filters, joins, merge, neighbours, ordering, threshold_join, vector_index
 from semdrift.operators import rollups as R
 from semdrift.operators.block_search import BlockPlan, nearest_memory
 from semdrift.plans import baseline as B
 from semdrift.plans import quality, reports, scoring, topics
-from semdrift.scale import cut, small_side
+from semdrift.scale import cut, scratch_path, small_side
 from semdrift.sources.baselines import join_clusters
 
 CFG = DetectorConfig()
@@ -316,6 +316,48 @@ def memory_hits(spark: SparkSession, d: str) -> DataFrame:
     return hits.select("request_id", "route", r6("similarity").alias("similarity"))
 
 
+@query(
+    "threshold_join_work",
+    "M-13 J-03",
+    f"with {Q.WINDOWS + Q.NEAREST} select (select count(*) from nm) * (select count(distinct embedding) from dm) as pairs, true as few_compared",
+)
+def threshold_join_work(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of distinct vectors, and whether less than a tenth of them were multiplied out."""
+    turns = W.scored_events(spark, d)
+    counts = threshold_join.matches(turns, memory(turns), CFG.memory_threshold)[1]
+    return counts.select("pairs", (F.col("verified") < 0.1 * F.col("pairs")).alias("few_compared"))
+
+
+GROWN_SQL = f"""with recursive {W.SCORED_EVENTS},
+vs as materialized (select row_number() over () as vid, v from (select distinct prompt_embedding as v from se)),
+tn as materialized (
+  select s.request_id, v.vid, s.kafka_offset % 997 = 0 as seed, row_number() over (order by s.event_ts, s.route, s.session_id, s.request_id) as place
+  from se s join vs v on v.v = s.prompt_embedding),
+pr as materialized (
+  select a.vid as a, b.vid as b, round(list_cosine_similarity(a.v, b.v), 12) as sim from vs a join vs b
+  on round(list_cosine_similarity(a.v, b.v), 12) >= 0.34),
+reached as (
+  select place, vid from tn where seed
+  union
+  select t.place, t.vid from reached r join pr p on p.b = r.vid join tn t on t.vid = p.a and t.place > r.place),
+since as materialized (select vid, min(place) as place from reached group by vid),
+best as (
+  select t.request_id, max(p.sim) as sim, arg_min(f.request_id, {{'s': -p.sim, 'r': f.request_id}}) as matched
+  from tn t join pr p on p.a = t.vid join since s on s.vid = p.b and s.place < t.place join tn f on f.place = s.place
+  group by t.request_id)
+select t.request_id, t.seed as baseline_hit, b.sim is not null as memory_hit, round(b.sim, 6) as similarity, b.matched as matched_request_id
+from tn t left join best b on b.request_id = t.request_id"""
+
+
+@query("grown_memory", "M-12 K-05 M-13", GROWN_SQL)
+def grown_memory(spark: SparkSession, d: str) -> DataFrame:
+    """A few first hits, and what a memory that grows turn by turn makes of them at a low threshold."""
+    none = {"memory_hit": F.lit(False), "similarity": F.lit(None).cast("double"), "matched_request_id": F.lit(None).cast("string")}
+    turns = W.scored_events(spark, d).withColumn("baseline_hit", F.col("kafka_offset") % 997 == 0).withColumns(none)
+    found = scoring.grown_memory(turns, DetectorConfig(memory_threshold=0.34))
+    return found.select("request_id", "baseline_hit", "memory_hit", r6("similarity").alias("similarity"), "matched_request_id")
+
+
 @query(
     "scored_turns",
     "M-12 F-03",
@@ -538,6 +580,35 @@ def approximate_search_recall(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.recall(near, exact).select("query_id", r6("recall").alias("recall"))
 
 
+@query(
+    "index_search",
+    "M-10",
+    "select count(*) filter (vec_id % 100 = 0) as n_queries, count(*) as stored, true as recall_reached, true as few_vectors_read, "
+    "true as ranks_complete, true as signs_kept from embeddings",
+)
+def index_search(spark: SparkSession, d: str) -> DataFrame:
+    """A stored index, half of it added in batches of which one comes twice, against the exact search."""
+    vectors = W.table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("request_id"), F.col("embedding").alias("prompt_embedding"), F.col("vec_id").alias("n"))
+    path = scratch_path(spark, "index")
+    index = vector_index.build(vectors.where("n % 4 < 2"), path)
+    index.add(vectors.where("n % 4 = 2"), "second")
+    index.add(vectors.where("n % 4 = 3"), "third")
+    index.add(vectors.where("n % 4 = 2"), "second")
+    index = vector_index.load(spark, path)
+    queries = vectors.where("n % 100 = 0").select(F.col("request_id").alias("query_id"), F.col("prompt_embedding").alias("vector"))
+    opposite = queries.select("query_id", F.transform("vector", lambda x: -x).alias("vector"))
+    exact = cut(neighbours.nearest_prompts_batch(vectors, queries, 10))
+    found = cut(index.search(queries, 10))
+    hit = neighbours.recall(found, exact).agg(F.avg("recall").alias("recall"))
+    # The vector itself is the farthest from its opposite, so a search over all of an index's cells must go below zero.
+    below = index.search(opposite, index.cost(queries).first()["stored"], probe=len(index.centroids)).agg((F.min("similarity") < -0.999).alias("signs_kept"))
+    cost = index.cost(queries).agg(
+        F.count(F.lit(1)).alias("n_queries"), F.max("stored").alias("stored"), (F.avg(F.col("vectors_read") / F.col("stored")) <= 0.05).alias("few_vectors_read")
+    )
+    complete = found.groupBy("query_id").count().agg((F.min("count") == 10).alias("ranks_complete"))
+    return hit.select((F.col("recall") >= 0.95).alias("recall_reached")).join(cost).join(complete).join(below)
+
+
 # ---- topics ---------------------------------------------------------------
 
 

@@ -250,6 +250,38 @@ def streamed_ingest(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def headed_messages(spark: SparkSession, d: str) -> DataFrame:
+    """Captured frames as messages; only the header frame of a stream knows route, session and request id."""
+    frames = W.headed_frames(spark, d)
+    shown = F.to_json(F.struct("stream_id", "frame_seq", "frame_type", "headers", F.lit("x").alias("body")))
+    conv = F.substring_index("stream_id", "-", -1).cast("long")
+    return frames.select(
+        F.lit("capture").alias("topic"), F.lit(0).alias("partition"), (conv * 1000 + F.col("frame_seq")).alias("offset"),
+        F.col("event_ts").cast("timestamp").alias("timestamp"), shown.alias("value"), "frame_seq",
+    )
+
+
+@query(
+    "streamed_correlation",
+    "J-05 R-01",
+    f"""with {W.FRAMES} select conv_id * 1000 + frame_seq as kafka_offset, route, session_id,
+case when conv_id % 4 <> 0 then 'r-' || cast(conv_id as varchar) end as request_id
+from (select conv_id, frame_seq, route, session_id from fr union all select distinct conv_id, 0, route, session_id from fr)""",
+)
+def streamed_correlation(spark: SparkSession, d: str) -> DataFrame:
+    """Every stream over three batches, its header frame in the second; the third is read after a restart."""
+    raw, path = headed_messages(spark, d), scratch_path(spark, "headed")
+    seq = F.col("frame_seq")
+    parts = [raw.where((seq > 0) & (seq % 2 == 0)), raw.where(seq == 0), raw.where(seq % 2 == 1)]
+    target, rejects, checkpoint = (scratch_path(spark, n) for n in ("events", "rejects", "checkpoint"))
+    for part in parts:
+        part.drop("frame_seq").write.mode("append").json(path)
+        messages = read_capture_stream(spark, {"path": path}, "json")
+        run = ingest.run_ingest(messages, target, rejects, checkpoint, embed=False, trigger={"availableNow": True}, wait_ms=3_600_000)
+        run.awaitTermination()
+    return spark.read.parquet(target).select("kafka_offset", "route", "session_id", "request_id")
+
+
 @query(
     "published_envelopes",
     "K-07",

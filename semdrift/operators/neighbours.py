@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from semdrift.functions.encode import Encoder, embed_text
 from semdrift.functions.vectors import SIMILARITY_DIGITS, as_matrix, doubles, similarity_kernel, unit_rows
-from semdrift.operators.block_search import nearest_memory
+from semdrift.operators.threshold_join import ThresholdPlan, matches
 from semdrift.scale import cut
 
 # Query vectors compared in one pass over the events.
@@ -98,9 +98,9 @@ def _best(similarity: np.ndarray, ids: np.ndarray, k: int):
     return similarity[order], ids[order]
 
 
-def memory_hits(turns: DataFrame, memory: DataFrame, threshold: float = 0.9, **options) -> DataFrame:
-    """Turns that repeat remembered drift, on whatever route it was seen."""
-    return nearest_memory(turns, memory, **options).where(F.col("similarity") >= threshold)
+def memory_hits(turns: DataFrame, memory: DataFrame, threshold: float = 0.9, plan: ThresholdPlan = ThresholdPlan()) -> DataFrame:
+    """Turns that repeat remembered drift, on whatever route it was seen, by a threshold join."""
+    return matches(turns, memory, threshold, plan)[0]
 
 
 def approx_nearest(

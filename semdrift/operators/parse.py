@@ -108,11 +108,17 @@ def parse_events(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def _typed(fields: DataFrame) -> DataFrame:
     body, frame, headers = F.col("body"), F.col("frame_type"), F.col("headers")
+
+    def of_stream(own: Column, name: str) -> Column:
+        """The frame's own value, else that of its stream where messages carry one."""
+        stream = f"stream_{name}"
+        return S.first_present(own, F.col(stream)) if stream in fields.columns else own
+
     return fields.select(
         "kafka_topic", "kafka_partition", "kafka_offset", "kafka_ts",
-        _text("request_id").alias("request_id"),
-        S.resolve_route(_given("route"), headers).alias("route"),
-        S.resolve_session(_given("session_id"), headers).alias("session_id"),
+        of_stream(_text("request_id"), "request_id").alias("request_id"),
+        of_stream(S.resolve_route(_given("route"), headers), "route").alias("route"),
+        of_stream(S.resolve_session(_given("session_id"), headers), "session_id").alias("session_id"),
         "frame_type",
         _truthy("end_of_stream").alias("end_of_stream"),
         "headers", "body",

@@ -14,9 +14,12 @@ from semdrift.operators import rollups as R
 from semdrift.operators.block_search import nearest_memory, with_text
 from semdrift.operators.filters import embedded_events, online_candidates
 from semdrift.operators.merge import DRIFT_COLUMNS, MEMORY_COLUMNS, remember
+from semdrift.operators.threshold_join import ThresholdPlan, similar_pairs
 from semdrift.plans.baseline import Baseline, score_nearest
 from semdrift.scale import cut, small_side
 
+# The order in which a pass looks at turns.
+TURN_ORDER = ["event_ts", "route", "session_id", "request_id"]
 # Fixed value: route checked when none is named.
 DEFAULT_ROUTE = "/llm"
 
@@ -113,34 +116,53 @@ def score_sessions(
     memory: DataFrame,
     cfg: DetectorConfig = DetectorConfig(),
     transitive: bool = False,
-    max_rounds: int | None = None,
+    plan: ThresholdPlan = ThresholdPlan(),
 ) -> Scores:
     """One pass over all routes and sessions.
 
-    Turns are compared with the memory as it stood before the pass. With
-    ``transitive``, hits of this pass count too: turns are compared again with
-    the newly remembered ones until nothing new is hit. A turn can then match
-    one that comes after it in the pass; a chain that a turn-by-turn loop
-    finds over several passes is found in one.
+    Turns are compared with the memory as it stood before the pass. With ``transitive`` the memory grows during the
+    pass: a turn also matches the hits that come before it, in the order of ``TURN_ORDER``, as a loop over the turns
+    would find them.
     """
-    turns = cut(score_turns(events, baseline, memory, cfg))
-    added = remember(memory, new_memory(turns)).select(*MEMORY_COLUMNS)
+    turns = score_turns(events, baseline, memory, cfg)
     if transitive:
-        added = cut(added)
-    fresh, done = added, 0
-    while transitive and not fresh.isEmpty() and (max_rounds is None or done < max_rounds):
-        again = nearest_memory(
-            turns.drop("similarity", "matched_request_id", "baseline_hit", "memory_hit"),
-            fresh, cfg.memory_book_bytes,
-        )
-        turns = cut(with_hits(_closer(turns, again), cfg))
-        known = memory.select("source_request_id").union(added.select("source_request_id"))
-        fresh = cut(remember(known, new_memory(turns)).select(*MEMORY_COLUMNS))
-        added = cut(added.unionByName(fresh))
-        done += 1
+        turns = grown_memory(cut(turns), cfg, plan)
+    turns = cut(turns)
+    added = remember(memory, new_memory(turns)).select(*MEMORY_COLUMNS)
     return Scores(turns, drift_events(turns, cfg).select(*DRIFT_COLUMNS), added)
 
 
+def grown_memory(turns: DataFrame, cfg: DetectorConfig = DetectorConfig(), plan: ThresholdPlan = ThresholdPlan()) -> DataFrame:
+    """Scored turns after a pass in which every hit is remembered at once and matched by later turns.
+
+    What counts is when each distinct vector is first remembered. That time spreads along the edges "similar enough",
+    which are built once: a vector's first turn after the earliest time among its neighbours is a hit too. Rounds go
+    on from the vectors whose time became earlier, until none does, so a chain of n turns takes n rounds at most.
+    """
+    vid = F.concat(F.hex(F.xxhash64("prompt_embedding")), F.hex(F.xxhash64("prompt_embedding", F.lit(1)))).alias("vid")
+    place = F.struct(*TURN_ORDER).alias("place")
+    found = turns.where(F.col("prompt_embedding").isNotNull())
+    steps = cut(found.select(vid, place, (F.col("baseline_hit") | F.col("memory_hit")).alias("hit")))
+    vectors = found.select(vid, F.col("prompt_embedding").alias("vector")).groupBy("vid").agg(F.first("vector").alias("vector"))
+    pairs = similar_pairs(vectors.withColumnRenamed("vid", "a"), vectors.withColumnRenamed("vid", "b"), cfg.memory_threshold, plan)
+    edges = cut(pairs.where(F.col("b").isNotNull()).select("a", "b", "similarity"))
+    since = cut(steps.where("hit").groupBy("vid").agg(F.min("place").alias("since")))
+    fresh = since
+    while not fresh.isEmpty():
+        heard = edges.join(fresh, F.col("b") == F.col("vid")).groupBy("a").agg(F.min("since").alias("heard"))
+        then = steps.join(heard, F.col("vid") == F.col("a")).where(F.col("place") > F.col("heard")).groupBy("vid").agg(F.min("place").alias("then"))
+        fresh = cut(then.join(since, "vid", "left").where(F.col("since").isNull() | (F.col("then") < F.col("since"))).select("vid", F.col("then").alias("since")))
+        since = cut(since.unionByName(fresh).groupBy("vid").agg(F.min("since").alias("since")))
+    known = edges.join(since, F.col("b") == F.col("vid")).select("a", "similarity", "since")
+    # Per turn the most similar vector that was remembered before it; of equals the one with the smallest request id.
+    near = steps.join(known, F.col("vid") == F.col("a")).where(F.col("since") < F.col("place")).groupBy("place").agg(
+        F.min(F.struct((-F.col("similarity")).alias("s"), F.col("since.request_id").alias("request_id"))).alias("m")
+    )
+    again = near.select("place.*", (-F.col("m.s")).alias("similarity"), F.col("m.request_id").alias("matched_request_id"))
+    closer = _closer(turns.drop("memory_hit"), again)
+    return closer.withColumn("memory_hit", F.coalesce(F.col("similarity") >= cfg.memory_threshold, F.lit(False)))
+
+
 def _closer(turns: DataFrame, again: DataFrame) -> DataFrame:
     """Turns with the better of two memory matches."""
     key = ["route", "session_id", "request_id", "event_ts"]

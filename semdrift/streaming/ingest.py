@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from semdrift.functions.encode import Encoder, embed_events
 from semdrift.operators.merge import EVENT_KEY, new_events
 from semdrift.operators.parse import parse_events
+from semdrift.streaming.correlate import correlate_messages
 
 # Days one batch may touch before the key check looks at the whole target.
 PRUNED_DAYS = 1000
@@ -71,9 +72,13 @@ def run_ingest(
     encoder: Encoder | None = None,
     embed: bool = True,
     trigger: dict | None = None,
+    wait_ms: int | None = None,
 ) -> StreamingQuery:
     """Start the ingest query.
 
+    With ``wait_ms`` frames take route, session and request id of their stream's header frame, also of another
+    batch, and wait so long for it (``correlate.correlate_messages``).
+
     Offsets are committed after the batch is stored; a batch that runs twice
     finds its rows present. The batch size is set on the source
     (maxOffsetsPerTrigger, maxFilesPerTrigger).
@@ -89,6 +94,8 @@ def run_ingest(
         finally:
             batch.unpersist()
 
+    if wait_ms is not None:
+        messages = correlate_messages(messages, wait_ms)
     trigger = trigger or {"processingTime": f"{IngestConfig.poll_ms} milliseconds"}
     return messages.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
