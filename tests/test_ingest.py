@@ -148,3 +148,29 @@ def test_registry_is_consistent():
 
     assert set(entry.oracle_sql()) <= set(entry.queries()) and len(QUERIES) >= 90
     assert set(COVERS) == set(QUERIES) and set(SQL) <= set(QUERIES)
+
+
+def test_frames_wait_for_their_header_frame(spark, tmp_path):
+    """Streams over several batches and runs; one never gets its header frame and goes on after the wait."""
+
+    def run(offset, envelopes, wait_ms):
+        rows = [("t", 0, offset + i, TS, v if isinstance(v, str) else json.dumps(v)) for i, v in enumerate(envelopes)]
+        df = spark.createDataFrame(rows, MESSAGES).withColumnsRenamed({"kafka_topic": "topic", "kafka_partition": "partition", "kafka_offset": "offset", "kafka_ts": "timestamp"})
+        df.coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        source = read_capture_stream(spark, {"path": str(tmp_path / "in")}, "json")
+        ingest.run_ingest(source, str(tmp_path / "out"), str(tmp_path / "bad"), str(tmp_path / "cp"), embed=False, trigger={"availableNow": True}, wait_ms=wait_ms).awaitTermination()
+        return {r["kafka_offset"]: (r["route"], r["session_id"], r["request_id"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+
+    body = lambda stream, seq: {"stream_id": stream, "frame_seq": seq, "frame_type": "request_body", "body": "b"}
+    head = {"stream_id": "s1", "frame_seq": 0, "frame_type": "request_headers", "headers": {":path": "/p", "X-Session-Id": "one", "x-request-id": "r1"}}
+    full = {**body("s3", 4), "route": "/own", "session_id": "mine", "request_id": "r3"}
+    first = run(0, [body("s1", 2), body("s2", 1), full, {"body": "no stream"}, "{broken"], 60_000)
+    assert first == {2: ("/own", "mine", "r3"), 3: (None, None, None)}
+    second = run(10, [{**body("s1", 1), "route": "/other"}, head], 60_000)
+    assert {k: v for k, v in second.items() if k not in first} == {0: ("/p", "one", "r1"), 10: ("/other", "one", "r1"), 11: ("/p", "one", "r1")}
+    third = run(20, [body("s1", 3), body("s4", 1)], 1)
+    assert third[20] == ("/p", "one", "r1")
+    last = run(30, [body("s5", 1)], 1)
+    assert last[21] == (None, None, None)
+    rejected = spark.read.parquet(str(tmp_path / "bad"))
+    assert rejected.count() == 1
