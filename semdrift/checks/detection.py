@@ -623,6 +623,33 @@ def prompt_projection(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("request_id", r6("x").alias("x"), r6("y").alias("y"), "cluster_id", "cohort")
 
 
+def neighbours_kept(places: DataFrame, exact: DataFrame) -> float:
+    """Share of the exact neighbours that are also among the 15 nearest in the plane.
+
+    The plane is laid on a small cap of a sphere, where the order by angle is that by distance.
+    """
+    reach = places.agg(F.max(F.hypot(F.col("x"), F.col("y")))).first()[0]
+    cap = F.array(F.col("x") * (0.1 / reach), F.col("y") * (0.1 / reach), F.lit(1.0))
+    rows = places.select("request_id", cap.alias("prompt_embedding"))
+    near = neighbours.nearest_prompts_batch(rows, rows.select(F.col("request_id").alias("query_id"), F.col("prompt_embedding").alias("vector")), 16)
+    others = near.where("query_id <> request_id")
+    return neighbours.recall(others, exact).agg(F.avg("recall")).first()[0]
+
+
+@query("neighbour_layout", "M-08", "select count(*) as n, true as all_placed, true as twice_pca from embeddings")
+def neighbour_layout(spark: SparkSession, d: str) -> DataFrame:
+    """The graph layout keeps at least twice the neighbours that the main plane keeps."""
+    rows = W.table(spark, d, "embeddings").select(
+        F.col("vec_id").cast("string").alias("request_id"), F.col("embedding").alias("prompt_embedding"), F.col("label").cast("string").alias("cohort")
+    )
+    flat, graph = cut(topics.project_2d(rows)), cut(topics.project_2d(rows, graph=True))
+    asked = rows.select(F.col("request_id").alias("query_id"), F.col("prompt_embedding").alias("vector"))
+    exact = cut(neighbours.nearest_prompts_batch(rows, asked, 16).where("query_id <> request_id"))
+    better = neighbours_kept(graph, exact) >= 2 * neighbours_kept(flat, exact)
+    placed = F.bool_and(F.col("x").isNotNull() & ~F.isnan("x") & ~F.isnan("y"))
+    return graph.agg(F.count(F.lit(1)).alias("n"), placed.alias("all_placed")).withColumn("twice_pca", F.lit(better))
+
+
 @query(
     "topic_cluster_totals",
     "M-07 A-09",

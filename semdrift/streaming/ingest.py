@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from semdrift.functions.encode import Encoder, embed_events
-from semdrift.operators.merge import EVENT_KEY, new_events
+from semdrift.operators.merge import EVENT_KEY
 from semdrift.operators.parse import parse_events
 from semdrift.streaming.correlate import correlate_messages
-
-# Days one batch may touch before the key check looks at the whole target.
-PRUNED_DAYS = 1000
+from semdrift.streaming.offsets import OffsetTable
 
 
 @dataclass(frozen=True)
@@ -25,24 +23,11 @@ class IngestConfig:
     poll_ms: int = 1000
 
 
-def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
-    """A Parquet table, or None before its first write."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
-
-
 def append_events(batch: DataFrame, path: str) -> None:
-    """Append rows whose topic, partition and offset are not stored yet.
+    """Append rows whose topic, partition and offset are not stored yet (``offsets.OffsetTable``).
 
-    A message keeps its Kafka timestamp when it is delivered again, so the
-    target is partitioned by that day, and only the batch's days and its range
-    of offsets are checked.
+    A batch that comes again stores what is missing of it; stored events are not read.
     """
-    spark = batch.sparkSession
     dated = batch.withColumns(
         {
             "kafka_date": F.to_date("kafka_ts"),
@@ -51,15 +36,7 @@ def append_events(batch: DataFrame, path: str) -> None:
     )
     dated = dated.persist()
     try:
-        target = read_or_none(spark, path)
-        if target is not None:
-            low, days = dated.agg(F.min("kafka_offset"), F.collect_set("kafka_date")).first()
-            if not days:
-                return
-            target = target.where(F.col("kafka_offset") >= low)
-            if len(days) <= PRUNED_DAYS:
-                target = target.where(F.col("kafka_date").isin(days))
-        new_events(dated, target).write.mode("append").partitionBy("kafka_date").parquet(path)
+        OffsetTable(batch.sparkSession, path).append(dated)
     finally:
         dated.unpersist()
 
@@ -84,13 +61,16 @@ def run_ingest(
     (maxOffsetsPerTrigger, maxFilesPerTrigger).
     """
 
+    # Batches of one checkpoint; another checkpoint writes beside them.
+    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+
     def store(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
             events, bad = parse_events(batch)
             append_events(embed_events(events, encoder) if embed else events, target)
             # A repeated batch overwrites its own rejects.
-            bad.write.mode("overwrite").parquet(f"{rejects}/batch_id={batch_id}")
+            bad.write.mode("overwrite").parquet(f"{rejects}/run={run}/batch_id={batch_id}")
         finally:
             batch.unpersist()
 

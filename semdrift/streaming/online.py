@@ -23,7 +23,7 @@ from semdrift.operators import rollups as R
 from semdrift.operators.merge import DRIFT_COLUMNS, MEMORY_COLUMNS, best_drift_events, remember
 from semdrift.plans.baseline import Baseline
 from semdrift.plans.scoring import flag, new_memory, score_turns
-from semdrift.streaming.ingest import read_or_none
+from semdrift.streaming.offsets import read_or_none
 
 
 # Parts of the session log by the hash of the session.

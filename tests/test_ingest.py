@@ -10,7 +10,7 @@ from semdrift.operators import filters
 from semdrift.operators.parse import parse_events
 from semdrift.plans import quality
 from semdrift.sources.capture import read_capture_stream
-from semdrift.streaming import ingest
+from semdrift.streaming import ingest, offsets
 
 TS = dt.datetime(2024, 1, 1, 12)
 MESSAGES = "kafka_topic string, kafka_partition int, kafka_offset long, kafka_ts timestamp, value string"
@@ -174,3 +174,44 @@ def test_frames_wait_for_their_header_frame(spark, tmp_path):
     assert last[21] == (None, None, None)
     rejected = spark.read.parquet(str(tmp_path / "bad"))
     assert rejected.count() == 1
+
+
+def test_offsets_are_kept_as_intervals(spark, tmp_path, monkeypatch):
+    """Gaps, repeats, bucket borders, null offsets and a writer that dies between its two writes."""
+    monkeypatch.setattr(offsets, "BUCKET_BITS", 3)
+    path = str(tmp_path / "events")
+
+    def rows(pairs, note):
+        return spark.createDataFrame([("t", p, o, TS, None, note) for p, o in pairs], "kafka_topic string, kafka_partition int, kafka_offset long, kafka_ts timestamp, prompt_embedding array<float>, note string")
+
+    def stored():
+        return sorted((r["kafka_partition"], r["kafka_offset"], r["note"]) for r in spark.read.parquet(path).where("kafka_offset is not null").collect())
+
+    def kept():
+        return sorted((r["kafka_partition"], r["low"], r["high"]) for r in offsets.OffsetTable(spark, path).intervals().collect())
+
+    ingest.append_events(rows([(0, 1), (0, 2), (0, 2), (0, 5), (1, 7), (1, 8), (1, 9)], "a"), path)
+    assert kept() == [(0, 1, 2), (0, 5, 5), (1, 7, 7), (1, 8, 9)]
+    ingest.append_events(rows([(0, 2), (0, 3), (0, 4), (0, 6), (1, 30), (2, 2)], "b"), path)
+    assert kept() == [(0, 1, 6), (1, 7, 7), (1, 8, 9), (1, 30, 30), (2, 2, 2)]
+    want = [(0, 1, "a"), (0, 2, "a"), (0, 5, "a"), (1, 7, "a"), (1, 8, "a"), (1, 9, "a"), (0, 3, "b"), (0, 4, "b"), (0, 6, "b"), (1, 30, "b"), (2, 2, "b")]
+    assert stored() == sorted(want)
+    ingest.append_events(rows([(0, 2), (0, 3), (0, 4), (0, 6), (1, 30), (2, 2)], "again"), path)
+    assert stored() == sorted(want)
+    # The second version is never written.
+    write = offsets.OffsetTable.write
+    monkeypatch.setattr(offsets.OffsetTable, "write", lambda self, found, begun: write(self, found, begun) if begun else 1 / 0)
+    try:
+        ingest.append_events(rows([(0, 10), (0, 11)], "c"), path)
+    except ZeroDivisionError:
+        pass
+    monkeypatch.setattr(offsets.OffsetTable, "write", write)
+    assert offsets.OffsetTable(spark, path).begun is not None
+    ingest.append_events(rows([(0, 10), (0, 11), (0, 12)], "d"), path)
+    assert stored() == sorted([*want, (0, 10, "c"), (0, 11, "c"), (0, 12, "d")])
+    assert (0, 10, 12) in kept() and offsets.OffsetTable(spark, path).begun is None
+    ingest.append_events(rows([(0, None), (0, 12)], "none"), path)
+    assert spark.read.parquet(path).where("note = 'none'").count() == 1
+    for _ in range(3):
+        ingest.append_events(rows([], "empty"), path)
+    assert len(list((tmp_path / "events" / "_offsets").glob("v=*"))) <= offsets.KEPT_VERSIONS + 1
