@@ -30,6 +30,10 @@ DROP_NAMES = frozenset(
     "footer form gdpr header login masthead menu modal nav navbar navigation newsletter notice notification pagination pager popup "
     "promo promoted promotion related recommended respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
 )
+# What says that a page has such a part, not that an element is one: "has-sidebar", "no-comments".
+NOT_NAMES = frozenset("has no with without not is hide hides show shows".split())
+# Inline elements go by these names only: "comment" may be one in source code.
+ADVERTS = frozenset("ad ads advert adverts advertisement advertising promo promoted promotion sponsor sponsored".split())
 RAW_TAGS = ("script", "style", "textarea", "title", "noscript", "iframe", "template")
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE_TAGS = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
@@ -40,6 +44,8 @@ CLOSES_ITSELF = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _NAME_PART = re.compile(r"[a-z]+")
+# Between the labels of a path; no label holds it, as attributes are split at white space.
+_STEP = "\n"
 _SPACE = re.compile(r"\s+")
 # What a container counts of the text of one a level below.
 DECAY = 0.7
@@ -50,6 +56,12 @@ MAX_PATHS = 8
 Block = tuple[tuple[str, ...], str, int]
 
 
+def _names(value: str) -> set[str]:
+    """Words of the names in a class, id or role, but for names that speak of another element."""
+    parts = [_NAME_PART.findall(name) for name in value.split()]
+    return {word for words in parts if NOT_NAMES.isdisjoint(words[:-1]) for word in words}
+
+
 def _label(tag: str, attributes: str) -> tuple[str, bool]:
     """Generalised name of an element, and whether it is to be dropped."""
     drop, classes = tag in DROP_TAGS, ""
@@ -57,13 +69,17 @@ def _label(tag: str, attributes: str) -> tuple[str, bool]:
         for name, *values in _ATTRIBUTE.findall(attributes):
             value = "".join(values).lower()
             # Words count, not parts of words: "ad-box" is an advert, "shadow" is not.
-            if tag not in ("html", "body", "article", "main") and not DROP_NAMES.isdisjoint(_NAME_PART.findall(value)):
+            if tag not in ("html", "body", "article", "main") and not DROP_NAMES.isdisjoint(_names(value)):
                 drop = True
             if name.lower() == "class":
                 classes = ".".join(sorted(set(re.sub(r"\d+", "#", c) for c in value.split())))
     return f"{tag}.{classes}" if classes else tag, drop
 
 
+def _is_advert(attributes: str) -> bool:
+    return any(not ADVERTS.isdisjoint(_names("".join(values).lower())) for _, *values in _ATTRIBUTE.findall(attributes))
+
+
 def blocks(page: str) -> list[Block]:
     """(container path, text, characters within links) of each block of text outside dropped elements."""
     out: list[Block] = []
@@ -71,9 +87,13 @@ def blocks(page: str) -> list[Block]:
     path: tuple[str, ...] = ()
     dropped, links, linked = 0, 0, 0
     parts: list[str] = []
+    advert: list[str] = []  # an inline advert and elements of its kind within; it ends with its block
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, dropped
+        if advert:
+            dropped -= 1
+            advert.clear()
         if parts:
             text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
@@ -104,6 +124,9 @@ def blocks(page: str) -> list[Block]:
         if m[1]:
             if tag in INLINE_TAGS:
                 links = max(0, links - 1) if tag == "a" else links
+                if advert and advert[-1] == tag:
+                    advert.pop()
+                    dropped -= not advert
                 continue
             flush()
             if any(s[0] == tag for s in stack):
@@ -119,6 +142,11 @@ def blocks(page: str) -> list[Block]:
                 parts.append(" ")
             elif tag == "a":
                 links += 1
+            if advert:
+                advert.extend([tag] if tag == advert[0] else [])
+            elif m[3] and tag not in VOID_TAGS and _is_advert(m[3]):
+                advert.append(tag)
+                dropped += 1
             continue
         flush()
         links = 0
@@ -149,7 +177,7 @@ def scores(found: list[Block]) -> dict[str, float]:
         for up in range(len(path) + 1):
             total[path[: len(path) - up]] += worth * DECAY**up
     all_ = sum(len(t) - n for _, t, n in found)
-    return {">".join(p): s / all_ for p, s in total.items()} if all_ else {}
+    return {_STEP.join(p): s / all_ for p, s in total.items()} if all_ else {}
 
 
 def extract(page: str | None, votes: dict[str, float]) -> str:
@@ -160,7 +188,7 @@ def extract(page: str | None, votes: dict[str, float]) -> str:
     if not agreed:
         return ""
     best = min(agreed, key=lambda p: (-agreed[p], p))
-    lead = tuple(best.split(">")) if best else ()
+    lead = tuple(best.split(_STEP)) if best else ()
     return "\n\n".join(t for path, t, _ in found if path[: len(lead)] == lead)
 
 

@@ -13,9 +13,11 @@ Extra columns are ignored. Texts are processed whole, in pieces cut between word
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -73,13 +75,16 @@ class Automaton:
         return starts, self.exact[last], self.fuzzy[last]
 
 
+@cache
+def _plain_classes() -> np.ndarray:
+    """1 for every code point that may be in a word, else 0; classes of terms' characters take the numbers from 2 on."""
+    return np.array([chr(c).isalnum() for c in range(sys.maxunicode + 1)], np.uint32)
+
+
 def build(terms: list[str], fuzzy: set[str], odds: list[float] | None = None) -> Automaton:
     """Product of the trie of ``terms`` with automata that allow one edit of those in ``fuzzy``. ``odds`` weighs terms."""
     alphabet = sorted(set("".join(terms)) - {END})
-    size = 1 << 16
-    classes = np.array([1 if chr(c).isalnum() else 0 for c in range(size)], np.uint8)
-    if len(alphabet) > 250:
-        raise ValueError("too many different characters in the lexicon")
+    classes = _plain_classes().copy()
     code = {c: i + 2 for i, c in enumerate(alphabet)}
     for c, i in code.items():
         classes[ord(c)] = i

@@ -113,6 +113,34 @@ def test_automaton_against_edit_distance():
             assert f == any(distance_at_most_one(w[:k], t) for t in soft for k in range(len(w) + 1)), w
 
 
+def test_automaton_takes_any_script(spark):
+    bold = "".join(chr(0x1D41A + ord(c) - 97) for c in "idiot")
+    many = ["".join(chr(0x4E00 + 3 * i + k) for k in range(3)) for i in range(120)]
+    machine = toxicity.build([bold, *many], {bold})
+    text = f"{bold} x {bold[:-1]} {many[7]} \U0001F600 {many[119]}"
+    starts, exact, fuzzy = machine.run(np.frombuffer(text.encode("utf-32-le"), np.uint32))
+    assert exact.tolist() == [1, 0, 0, 9, 121] and fuzzy.tolist()[2]
+    rng = random.Random(2)
+    rows = [(i, invented(rng, "en", 30) + (f" you {bold}" if i % 2 else "")) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit_toxicity(docs, spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, toxic int"))
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score_toxicity(docs, model).collect()}
+    assert all(got[i] == i % 2 for i in range(120))
+
+
+def test_articles_in_odd_markup():
+    words = "The first paragraph of the article goes on for a while"
+    page = lambda outer, inner: f"<html><body><nav>Home News</nav><div {outer}><p>{words}</p><p>{inner}</p></div><div class='comments'>{words} {words} {words}</div></body></html>"
+    for outer in ('class="page has-sidebar"', 'id="content" class="no-sidebar"', 'class="prose [&>p]:mt-4"', 'class="with-comments wide"', 'class="article"'):
+        text = html_extract.extract(page(outer, "and ends."), {})
+        assert text == f"{words}\n\nand ends.", outer
+    inline = 'one <span class="advert">Buy <span>now</span> here</span> two <code><span class="comment"># kept</span></code> three'
+    assert html_extract.extract(page('class="a"', inline), {}) == f"{words}\n\none two # kept three"
+    open_advert = 'one <b class="ad">Buy'
+    assert html_extract.extract(page('class="a"', open_advert) .replace("</p></div>", "</p><p>last</p></div>"), {}) == f"{words}\n\none\n\nlast"
+    assert html_extract.extract(page('class="main-sidebar"', "x"), {}) == ""
+
+
 def mutated(rng, word):
     out = list(word)
     for _ in range(rng.randrange(3)):
