@@ -62,6 +62,27 @@ def inspection_verdicts(spark: SparkSession, d: str) -> DataFrame:
     return out.select("request_id", "decision", "blocked", "warned", "rule_message")
 
 
+@query(
+    "many_rules",
+    "X-05 F-09",
+    f"""with {W.FRAMES}, ru as (
+  select distinct frame_type, lower(substring(body, 3, 4)) as pattern, case when conv_id % 3 = 0 then 0 else 1 end as rank from fr),
+hits as (
+  select f.request_id, arg_min(r.pattern, {{'k': r.rank, 'p': r.pattern}}) as pattern, min(r.rank) as rank
+  from fr f join ru r on r.frame_type = f.frame_type and contains(lower(f.body), r.pattern) group by f.request_id)
+select f.request_id, case h.rank when 0 then 'Block' when 1 then 'Warn' else 'Safe' end as decision,
+       'keyword ''' || h.pattern || ''' detected' as rule_message
+from fr f left join hits h on h.request_id = f.request_id""",
+)
+def many_rules(spark: SparkSession, d: str) -> DataFrame:
+    """Hundreds of rules, taken from the frames themselves."""
+    frames = W.frames(spark, d)
+    action = F.when(F.col("conv_id") % 3 == 0, "Block").otherwise("Warn").alias("action")
+    rules = frames.select("frame_type", F.substring("body", 3, 4).alias("pattern"), action).distinct()
+    out = FR.inspect(frames.withColumnRenamed("body", "content"), rules)
+    return out.select("request_id", "decision", "rule_message")
+
+
 @query(
     "rule_matches",
     "F-09",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -25,6 +26,10 @@ BLOCK_KEYWORD = "malicious"
 WARN_KEYWORD = "bypass"
 
 
+# More rules than this are matched by an automaton, if their patterns have at most so many bytes.
+MANY_RULES, RULE_BYTES = 64, 4 * 1024 * 1024
+
+
 # ---- correlation ----------------------------------------------------------
 
 
@@ -81,34 +86,77 @@ def keyword_rules(spark: SparkSession, block: str = BLOCK_KEYWORD, warn: str = W
     return spark.createDataFrame(pa.Table.from_pylist(rows))
 
 
-def inspect(frames: DataFrame, rules: DataFrame) -> DataFrame:
+def inspect(frames: DataFrame, rules: DataFrame, many: int = MANY_RULES) -> DataFrame:
     """Verdict per frame: decision, blocked, warned and the rule that fired.
 
-    The rules of a frame type become one array, so each frame is read once
-    and meets only its own rules; blocking rules are tried first.
+    Blocking rules come first, then patterns in their order. Up to ``many`` rules become one array per frame type, and
+    a frame meets only its own rules. More of them, while their patterns stay below ``RULE_BYTES``, become one
+    multi-pattern automaton per frame type, and a text is read once whatever their number. Both give the same rows.
+    Rules without a pattern or a frame type never fire; an empty pattern always does.
     """
     rank = F.when(F.col("action") == "Block", 0).otherwise(1)
-    listed = rules.groupBy("frame_type").agg(
-        F.array_sort(F.collect_list(F.struct(rank.alias("rank"), F.lower("pattern").alias("pattern"), "action"))).alias(
-            "rules"
-        )
-    )
+    named = rules.where("pattern is not null and frame_type is not null").select("frame_type", F.lower("pattern").alias("pattern"), rank.alias("rank"), "action")
     tested = frames.withColumn("_text", F.lower(F.coalesce("content", F.lit(""))))
-    # At most one row per frame type, but with all of its rules.
-    tested = tested.join(small_side(listed), "frame_type", "left")
-    hit = F.get(F.filter("rules", lambda r: F.contains(F.col("_text"), r.pattern)), F.lit(0))
-    return (
-        tested.withColumn("_hit", hit)
-        .withColumns(
-            {
-                "decision": F.coalesce("_hit.action", F.lit("Safe")),
-                "blocked": F.coalesce(F.col("_hit.action") == "Block", F.lit(False)),
-                "warned": F.coalesce(F.col("_hit.action") == "Warn", F.lit(False)),
-                "rule_message": F.concat(F.lit("keyword '"), F.col("_hit.pattern"), F.lit("' detected")),
-            }
-        )
-        .drop("_text", "_hit", "rules")
-    )
+    count, size = named.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("pattern")), F.lit(0))).first()
+    if count > many and size <= RULE_BYTES:
+        tested = tested.withColumn("_hit", _first_rule(named)("frame_type", "_text"))
+    else:
+        listed = named.groupBy("frame_type").agg(F.array_sort(F.collect_list(F.struct("rank", "pattern", "action"))).alias("_rules"))
+        # At most one row per frame type, but with all of its rules.
+        tested = tested.join(small_side(listed), "frame_type", "left")
+        tested = tested.withColumn("_hit", F.get(F.filter("_rules", lambda r: F.contains(F.col("_text"), r.pattern)), F.lit(0))).drop("_rules")
+    tested = tested.select(*[F.col(f"`{c}`") for c in frames.columns], "_hit")
+    return tested.withColumns(
+        {
+            "decision": F.coalesce("_hit.action", F.lit("Safe")),
+            "blocked": F.coalesce(F.col("_hit.action") == "Block", F.lit(False)),
+            "warned": F.coalesce(F.col("_hit.action") == "Warn", F.lit(False)),
+            "rule_message": F.concat(F.lit("keyword '"), F.col("_hit.pattern"), F.lit("' detected")),
+        }
+    ).drop("_hit")
+
+
+def _first_rule(rules: DataFrame):
+    """The rule of a frame type that stands first among those whose pattern a text holds. ``rules``: size-checked."""
+    rows = sorted((tuple(r) for r in rules.distinct().collect()), key=lambda r: (r[0], r[2], r[1], r[3] is None, r[3] or ""))
+    book, name = rules.sparkSession.sparkContext.broadcast(rows), uuid.uuid4().hex
+
+    @F.arrow_udf("rank int, pattern string, action string")
+    def first(kinds: pa.Array, texts: pa.Array) -> pa.Array:
+        rules, machines, found = book.value, _machines(name, book), []
+        for kind, text in zip(kinds.to_pylist(), texts.to_pylist(), strict=True):
+            machine, best = machines.get(kind, (None, None))
+            for _, place in machine.iter(text) if machine is not None else ():
+                best = place if best is None else min(best, place)
+            found.append(None if best is None else {"rank": rules[best][2], "pattern": rules[best][1], "action": rules[best][3]})
+        return pa.array(found, pa.struct([("rank", pa.int32()), ("pattern", pa.string()), ("action", pa.string())]))
+
+    return first
+
+
+_MACHINES: dict[str, dict] = {}
+
+
+def _machines(name: str, book) -> dict:
+    """Per frame type the automaton of its patterns and the place of an empty one, built once per worker process."""
+    if name not in _MACHINES:
+        import ahocorasick
+
+        built: dict[str, list] = {}
+        for place, (kind, pattern, _, _) in enumerate(book.value):
+            held = built.setdefault(kind, [ahocorasick.Automaton(), None])
+            if not pattern:
+                held[1] = place if held[1] is None else held[1]
+            elif pattern not in held[0]:  # rows are in order, so the first of equal patterns stands
+                held[0].add_word(pattern, place)
+        for held in built.values():
+            if len(held[0]):
+                held[0].make_automaton()
+            else:
+                held[0] = None
+        _MACHINES.clear()
+        _MACHINES[name] = {kind: tuple(held) for kind, held in built.items()}
+    return _MACHINES[name]
 
 
 # ---- compressed bodies ----------------------------------------------------

@@ -1,4 +1,5 @@
 import gzip
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -119,3 +120,20 @@ def test_context(spark):
     for limit in (10**6, 1):
         spans = {(r["conv_id"], r["turn"]): (r["n_messages"], r["n_bytes"]) for r in FR.context_spans(df, limit).collect()}
         assert spans == {k: (len(v), sum(len(c) for _, c in v)) for k, v in got.items()}
+
+
+def test_many_rules_equal_few(spark):
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice("abcdE é") for _ in range(n))
+    kinds = ["request_body", "response_body", "other", None]
+    rows = [(i, rng.choice(kinds), None if i % 17 == 0 else word(rng.randrange(60)), "clash") for i in range(400)]
+    frames = spark.createDataFrame(rows, "i int, frame_type string, content string, rules string")
+    rules = [(rng.choice(kinds[:2]), word(rng.randrange(2, 7)), rng.choice(["Block", "Warn"])) for _ in range(300)]
+    rules += [("request_body", None, "Block"), (None, "a", "Block"), ("response_body", "ab", None), ("response_body", "ab", "Warn"), (rules[0][0], rules[0][1], "Block")]
+    for more in ([], [("request_body", "", "Warn")]):
+        table = spark.createDataFrame(rules + more, "frame_type string, pattern string, action string")
+        few, many = (FR.inspect(frames, table, many=n).orderBy("i").collect() for n in (10**9, 10))
+        assert [r for r in zip(few, many, strict=True) if r[0] != r[1]] == []
+        assert len(few) == 400 and {r["decision"] for r in few} >= {"Block", "Safe"}
+        assert few[0].asDict().keys() == {"i", "frame_type", "content", "rules", "decision", "blocked", "warned", "rule_message"}
+    assert {r["decision"] for r in FR.inspect(frames, table.limit(0)).collect()} == {"Safe"}
