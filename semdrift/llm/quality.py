@@ -1,9 +1,11 @@
 """Document quality by hierarchical empirical Bayes.
 
-A text classifier gives each document evidence of its own. The evidence of all documents of a site, and of a
-part (path) of a site, forms posteriors: a site with few documents is drawn to the global share, a path with few
-documents to its site. The strength of the draw is estimated from the spread between sites. A document's final
-log-odds add what its path says beyond the global share.
+A text classifier gives each document evidence of its own. The evidence of the other documents of its site, and of
+its part (path) of the site, forms posteriors: a site with few documents is drawn to the global share, a path with few
+documents to its site. The draw of each level follows from the variances that the table itself shows: of documents
+within a path, of paths within a site, of sites. A document's final log-odds add what its path says beyond the global
+share; its own evidence is left out of both posteriors, so it counts once. Where sites or paths differ no more than
+chance would have them differ, a variance is 0 and that level says nothing.
 
 Null and empty texts have the evidence of an empty text. Null sites and paths are groups of their own. Every row
 is judged, repeated ids included. Without labels of both kinds all evidence is the labelled share, or 0.5.
@@ -13,6 +15,7 @@ Extra columns are ignored. Sites and paths of any size are summed with map-side
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,13 +23,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from semdrift.llm.frames import marked_sample
-from semdrift.scale import cut
+from semdrift.scale import cut, small_side
 
 DIM = 1 << 11
 # The classifier is fitted on about this many labelled documents of each kind.
 SAMPLE_PER_LABEL = 1500
 _PIECE = 1 << 20
 _CLIP = 6.0
+# Variances are not taken as less than this share of the one below them.
+_LEAST = 1e-9
 
 
 def features(text: str | None) -> np.ndarray:
@@ -93,6 +98,49 @@ def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
+@dataclass(frozen=True)
+class Spread:
+    """Global share, and the variances of documents within a path, of paths within a site, and of sites."""
+
+    rate: float
+    within: float
+    paths: float
+    sites: float
+
+
+def spread(paths: DataFrame) -> Spread:
+    """Nested analysis of variance for groups of any sizes, over (site, path, n, s, q): rows, sum and sum of squares.
+
+    Without two documents in any path the variance within is the binomial one. One row reaches the driver.
+    """
+    n, s = F.col("n"), F.col("s")
+    sites = paths.groupBy("site").agg(
+        F.sum(n).alias("n"), F.sum(s).alias("s"), F.sum("q").alias("q"), F.count(F.lit(1)).alias("paths"),
+        F.sum(s * s / n).alias("told"), F.sum(n.cast("double") * n).alias("squares"),
+    )
+    t = sites.agg(
+        F.sum(n).alias("n"), F.sum(s).alias("s"), F.sum("q").alias("q"), F.sum("paths").alias("paths"), F.count(F.lit(1)).alias("sites"),
+        F.sum("told").alias("by_path"), F.sum(s * s / n).alias("by_site"), F.sum("squares").alias("path_squares"),
+        F.sum(F.col("squares") / n).alias("shared"), F.sum(n.cast("double") * n).alias("site_squares"),
+    ).first()
+    if not t["n"]:
+        return Spread(0.5, 1.0, 1.0, 0.0)
+    rate = min(max(t["s"] / t["n"], 1e-6), 1 - 1e-6)
+    free = t["n"] - t["paths"]
+    within = max((t["q"] - t["by_path"]) / free, _LEAST) if free else rate * (1 - rate)
+    spare = t["n"] - t["shared"]
+    between = (t["by_path"] - t["by_site"] - (t["paths"] - t["sites"]) * within) / spare if spare > 1e-9 * t["n"] else 0.0
+    between = max(between, _LEAST * within)
+    spare = t["n"] - t["site_squares"] / t["n"]
+    noise = (t["sites"] - 1) * within + between * (t["shared"] - t["path_squares"] / t["n"])
+    apart = (t["by_site"] - t["s"] * t["s"] / t["n"] - noise) / spare if spare > 1e-9 * t["n"] else 0.0
+    return Spread(rate, within, between, max(apart, 0.0))
+
+
+def _inside(rate: Column) -> Column:
+    return F.least(F.greatest(rate, F.lit(1e-6)), F.lit(1 - 1e-6))
+
+
 def judge_quality(docs: DataFrame, weights: np.ndarray, site: Column, path: Column, id_col: str = "doc_id", text: str = "text", threshold: float = 0.5) -> DataFrame:
     """(doc_id, evidence, site_rate, path_rate, quality, keep) for each row."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(site.cast("string"), F.lit("\0null")).alias("site"), F.coalesce(path.cast("string"), F.lit("\0null")).alias("path"), F.col(text).alias("text"))
@@ -104,19 +152,19 @@ def judge_quality(docs: DataFrame, weights: np.ndarray, site: Column, path: Colu
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["site"], batch["path"], pa.array(1 / (1 + np.exp(-z.astype(np.float64))))], names=["doc_id", "site", "path", "p"])
 
     judged = cut(rows.mapInArrow(weigh, rows.select("doc_id", "site", "path", F.lit(0.0).alias("p")).schema))
-    paths = judged.groupBy("site", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("s"))
-    sites = paths.groupBy("site").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-    overall = sites.agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("q")).first()
-    rate, strength = 0.5, 1.0
-    if overall["n"]:
-        rate = min(max(overall["s"] / overall["n"], 1e-6), 1 - 1e-6)
-        # Method of moments: how far site means spread beyond what chance would give.
-        between = max((overall["q"] - overall["n"] * rate * rate) / overall["n"] - overall["k"] * rate * (1 - rate) / overall["n"], 1e-9)
-        strength = min(max(rate * (1 - rate) / between - 1, 1.0), 1e6)
-    shrunk = sites.select("site", ((F.col("s") + strength * rate) / (F.col("n") + strength)).alias("site_rate"))
-    nested = paths.join(shrunk, "site").select("site", "path", "site_rate", ((F.col("s") + strength * F.col("site_rate")) / (F.col("n") + strength)).alias("path_rate"))
-    out = judged.join(nested, ["site", "path"])
-    z = _logit(F.col("p")) + _logit(F.col("path_rate")) - F.lit(float(np.log(rate / (1 - rate))))
+    paths = cut(judged.groupBy("site", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("s"), F.sum(F.col("p") * F.col("p")).alias("q")))
+    level = spread(paths)
+    ratio = level.within / level.paths
+    pull = F.col("n") + ratio
+    sites = paths.groupBy("site").agg(F.sum(F.col("n") / pull).alias("weight"), F.sum(F.col("s") / pull).alias("said"))
+    out = judged.join(small_side(paths.select("site", "path", "n", "s").join(sites, "site")), ["site", "path"])
+    # The document's path without it; the site's sums change by that path's share.
+    rest = F.col("n") - 1 + ratio
+    weight = F.col("weight") - F.col("n") / pull + (F.col("n") - 1) / rest
+    said = F.col("said") - F.col("s") / pull + (F.col("s") - F.col("p")) / rest
+    out = out.withColumn("site_rate", _inside((level.sites * said + level.paths * level.rate) / (level.sites * weight + level.paths)))
+    out = out.withColumn("path_rate", _inside((F.col("s") - F.col("p") + ratio * F.col("site_rate")) / rest))
+    z = _logit(F.col("p")) + _logit(F.col("path_rate")) - F.lit(float(np.log(level.rate / (1 - level.rate))))
     quality = 1 / (1 + F.exp(-z))
     rounded = [F.round(c, 9).alias(n) for c, n in ((F.col("p"), "evidence"), (F.col("site_rate"), "site_rate"), (F.col("path_rate"), "path_rate"), (quality, "quality"))]
     return out.select("doc_id", *rounded).withColumn("keep", F.col("quality") >= threshold)

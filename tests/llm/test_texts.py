@@ -216,6 +216,72 @@ def test_sparse_sites_shrink_to_the_prior(spark):
     assert min(mine) - 1e-6 <= bad["site_rate"] <= max(overall, max(mine))
 
 
+def leaning_sites(rng, n=900):
+    """Documents of unclear text on sites that differ, with parts that differ within a site, and single-document sites."""
+    shares = {("good", "a"): 0.97, ("good", "b"): 0.9, ("bad", "a"): 0.04, ("bad", "b"): 0.1, ("mixed", "a"): 0.9, ("mixed", "b"): 0.08}
+    docs, truth = [], {}
+    for i in range(n):
+        site, part = rng.choice(list(shares))
+        truth[i] = int(rng.random() < shares[site, part])
+        words = ["fine" if rng.random() < (0.56 if truth[i] else 0.44) else "junk" for _ in range(12)]
+        docs.append((i, " ".join(words), site, part))
+    return docs + [(n + i, "fine junk", f"lone{i}", "a") for i in range(10)], truth
+
+
+def test_quality_posteriors_of_differing_sites_raise_accuracy(spark):
+    docs, truth = leaning_sites(random.Random(11))
+    df = spark.createDataFrame(docs, "doc_id long, text string, site string, part string")
+    marked = spark.createDataFrame([(i, y) for i, y in truth.items() if i % 3], "doc_id long, quality int")
+    weights = quality.fit_quality(df, marked)
+    rows = {r["doc_id"]: r for r in quality.judge_quality(df, weights, F.col("site"), F.col("part")).collect()}
+    assert len(rows) == len(docs)
+    held = [i for i in truth if i % 3 == 0]
+    alone = sum((rows[i]["evidence"] >= 0.5) == truth[i] for i in held) / len(held)
+    joint = sum(rows[i]["keep"] == bool(truth[i]) for i in held) / len(held)
+    assert joint > alone + 0.05, (alone, joint)
+    # Sparse sites stay near the global share, large ones follow their own documents.
+    share = sum(r["evidence"] for r in rows.values()) / len(rows)
+    lone = max(abs(r["site_rate"] - share) for i, r in rows.items() if i >= 900)
+    assert lone < 1e-6 and all(rows[i]["path_rate"] > share for i, (_, _, s, _) in enumerate(docs[:900]) if s == "good")
+
+
+def test_quality_posteriors_equal_brute_force(spark):
+    docs, _ = leaning_sites(random.Random(12), 150)
+    docs += [(7, None, None, None), (7, "", None, "a"), (None, "fine " * 30_000, "good", None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, site string, part string")
+    rng = np.random.default_rng(3)
+    weights = np.append(rng.normal(0, 3, quality.DIM), 0.2)
+    rows = quality.judge_quality(df, weights, F.col("site"), F.col("part")).collect()
+    p = [1 / (1 + math.exp(-min(max(float(quality.features(t) @ weights[:-1].astype(np.float32) + weights[-1]), -6), 6))) for _, t, _, _ in docs]
+    group = [(str(s), str(part)) for _, _, s, part in docs]
+    paths, sites = sorted(set(group)), sorted({s for s, _ in group})
+    of_path = {g: np.array([v for v, h in zip(p, group) if h == g]) for g in paths}
+    of_site = {s: np.array([v for v, h in zip(p, group) if h[0] == s]) for s in sites}
+    n, mean = len(p), float(np.mean(p))
+    within = sum(((v - v.mean()) ** 2).sum() for v in of_path.values()) / (n - len(paths))
+    inner = {s: sum(len(of_path[g]) ** 2 for g in paths if g[0] == s) / len(of_site[s]) for s in sites}
+    squares = sum(len(v) * (v.mean() - of_site[g[0]].mean()) ** 2 for g, v in of_path.items())
+    between = max((squares - (len(paths) - len(sites)) * within) / (n - sum(inner.values())), 1e-9 * within)
+    squares = sum(len(v) * (v.mean() - mean) ** 2 for v in of_site.values())
+    noise = (len(sites) - 1) * within + between * (sum(inner.values()) - sum(len(v) ** 2 for v in of_path.values()) / n)
+    apart = max((squares - noise) / (n - sum(len(v) ** 2 for v in of_site.values()) / n), 0.0)
+    want = []
+    for i, (s, part) in enumerate(group):
+        left = [j for j in range(n) if j != i and group[j][0] == s]
+        shares = {}
+        for j in left:
+            shares.setdefault(group[j], []).append(p[j])
+        z = {g: len(v) / (len(v) + within / between) for g, v in shares.items()}
+        told = sum(z[g] * np.mean(v) for g, v in shares.items())
+        site_rate = (apart * told + between * mean) / (apart * sum(z.values()) + between)
+        own = shares.get((s, part), [])
+        path_rate = (sum(own) + within / between * site_rate) / (len(own) + within / between)
+        odds = p[i] / (1 - p[i]) * path_rate / (1 - path_rate) * (1 - mean) / mean
+        want.append((docs[i][0] is None, docs[i][0] or 0, p[i], site_rate, path_rate, odds / (1 + odds)))
+    got = [(r["doc_id"] is None, r["doc_id"] or 0, r["evidence"], r["site_rate"], r["path_rate"], r["quality"]) for r in rows]
+    assert np.allclose(sorted(got), sorted(want), atol=1e-5)
+
+
 def test_quality_without_labels_or_rows(spark):
     df = spark.createDataFrame([(1, "a", "s")], "doc_id long, text string, site string")
     none = spark.createDataFrame([], "doc_id long, quality int")
