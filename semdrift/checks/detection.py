@@ -15,7 +15,7 @@ from semdrift.operators import filters, joins, merge, neighbours, ordering, thre
 from semdrift.operators import rollups as R
 from semdrift.operators.block_search import BlockPlan, nearest_memory
 from semdrift.plans import baseline as B
-from semdrift.plans import quality, reports, scoring, topics
+from semdrift.plans import quality, reports, scoring, spread, topics
 from semdrift.scale import cut, scratch_path, small_side
 from semdrift.sources.baselines import join_clusters
 
@@ -198,6 +198,21 @@ def route_clusters(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query(
+    "spread_clusters",
+    "M-06",
+    f"with {Q.baseline()} select route, sample_count, true as tight from bl",
+)
+def spread_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Spread seeds and mini-batches lose at most 5 % against full rounds on any route, with every row in a cluster."""
+    turns = W.scored_events(spark, d)
+    mine = B.compute_baselines(turns, CFG, fit=spread.fit_spread_clusters).clusters
+    full = spread.inertia(fitted(turns).clusters).withColumnRenamed("inertia", "full")
+    counted = mine.groupBy("route").agg(F.sum("sample_count").cast("int").alias("sample_count"))
+    both = counted.join(spread.inertia(mine), "route").join(full, "route", "left")
+    return both.select("route", "sample_count", (F.col("inertia") <= 1.05 * F.col("full")).alias("tight"))
+
+
 @query(
     "cohort_vector_stats",
     "A-05",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -58,8 +59,13 @@ def _type_of(events: DataFrame):
     return events.schema["event_ts"].dataType
 
 
-def compute_baselines(events: DataFrame, cfg: DetectorConfig = DetectorConfig(), rounds: int | None = None) -> Baseline:
-    """Fit clusters and thresholds for every route with enough samples."""
+def compute_baselines(
+    events: DataFrame, cfg: DetectorConfig = DetectorConfig(), rounds: int | None = None, fit: Callable[..., DataFrame] | None = None
+) -> Baseline:
+    """Fit clusters and thresholds for every route with enough samples.
+
+    ``fit`` is ``fit_route_clusters`` (full rounds) or ``spread.fit_spread_clusters`` (spread seeds, mini-batches).
+    """
     windows = small_side(route_windows(events, cfg.baseline_fraction))
     columns = ["route", "request_id", "event_ts", "prompt_embedding"]
     sample = baseline_window(embedded_events(events).select(*columns), windows).drop("event_ts")
@@ -72,7 +78,7 @@ def compute_baselines(events: DataFrame, cfg: DetectorConfig = DetectorConfig(),
     )
     sizes = sizes.withColumn("k", V.effective_k(F.col("sample_count"), cfg.n_clusters, cfg.samples_per_cluster))
     try:
-        clusters = fit_route_clusters(sample, sizes, cfg, rounds)
+        clusters = (fit or fit_route_clusters)(sample, sizes, cfg, rounds)
         scored = score_nearest(sample, clusters, cfg)
         limits = cut(route_threshold(scored, cfg.sigma))
     finally:
