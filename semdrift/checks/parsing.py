@@ -16,6 +16,7 @@ from semdrift.plans import quality, reports
 from semdrift.scale import cut, scratch_path
 from semdrift.sources.capture import MESSAGE_SCHEMA, envelope_lines, load_events, millis_to_ts, read_capture_jsonl
 from semdrift.sources.capture import as_messages, read_capture_stream
+from semdrift.sources.vector_store import VectorStore
 from semdrift.streaming import ingest
 
 ONCE = "oe as (select distinct * from pe)"
@@ -314,6 +315,32 @@ def embedded_texts(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query(
+    "stored_vectors",
+    "D-01 X-09",
+    f"with {W.PARSED}, {ONCE}, texts as (select 'query: ' || prompt_text as t from oe where prompt_text <> '' "
+    "union all select 'document: ' || completion_text from oe where completion_text <> '') "
+    "select count(*) as vectors, count(distinct t) as stored, count(distinct t) as stored_again, count(*) as equal from texts",
+)
+def stored_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Each distinct text is encoded once, a second pass encodes none, and the vectors are those of the direct way."""
+    events = stored(spark, d).select("kafka_offset", "prompt_text", "completion_text")
+    direct = encode.hashed_encoder(64)
+    store = VectorStore(scratch_path(spark, "vectors"), "hashed", direct, buckets=8)
+
+    def long(df: DataFrame, out: str) -> DataFrame:
+        kinds = [df.select("kafka_offset", F.lit(k).alias("kind"), F.col(f"{k}_embedding").alias(out)) for k in ("prompt", "completion")]
+        return kinds[0].unionByName(kinds[1]).where(F.col(out).isNotNull())
+
+    long(encode.embed_events(events, store), "v").write.format("noop").mode("overwrite").save()
+    once = store.stored(spark).count()
+    kept = long(encode.embed_events(events, store), "v")
+    again = store.stored(spark).count()
+    both = kept.join(long(encode.embed_events(events, direct), "w"), ["kafka_offset", "kind"], "left")
+    sums = both.agg(F.count("v").alias("vectors"), F.count_if(F.col("v") == F.col("w")).alias("equal"))
+    return sums.select("vectors", F.lit(once).alias("stored"), F.lit(again).alias("stored_again"), "equal")
+
+
 # ---- filters and reports over parsed events -------------------------------
 
 

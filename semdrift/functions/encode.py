@@ -32,17 +32,35 @@ def hashed_encoder(dimensions: int = DIMENSIONS) -> Encoder:
     return encode
 
 
-def model_encoder(load: Callable[[], Callable[[list[str]], list]], batch: int = MODEL_BATCH) -> Encoder:
-    """Encoder around any model: ``load`` runs once per task and returns texts -> vectors."""
+# Models that this worker process holds, by name.
+_MODELS: dict[str, Callable[[list[str]], list]] = {}
+
+
+def _model(load: Callable[[], Callable[[list[str]], list]], name: str | None) -> Callable[[list[str]], list]:
+    if name is None:
+        return load()
+    if name not in _MODELS:
+        _MODELS[name] = load()
+    return _MODELS[name]
+
+
+def model_encoder(load: Callable[[], Callable[[list[str]], list]], batch: int = MODEL_BATCH, name: str | None = None) -> Encoder:
+    """Encoder around any model: ``load`` returns texts -> vectors.
+
+    It runs once per task, or with ``name`` once per worker process. Texts of like length go to the model together.
+    """
 
     @F.pandas_udf("array<float>")
     def vectors(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = load()
+        model = _model(load, name)
         for series in texts:
             values = series.tolist()
-            out: list = []
-            for i in range(0, len(values), batch):
-                out.extend(model(values[i : i + batch]))
+            order = sorted(range(len(values)), key=lambda i: len(values[i]))
+            out: list = [None] * len(values)
+            for at in range(0, len(order), batch):
+                part = order[at : at + batch]
+                for i, vector in zip(part, model([values[i] for i in part]), strict=True):
+                    out[i] = vector
             yield pd.Series(out, index=series.index)
 
     def encode(df: DataFrame, text: str, out: str) -> DataFrame:

@@ -57,7 +57,8 @@ def run_ingest(
     batch, and wait so long for it (``correlate.correlate_messages``).
 
     Offsets are committed after the batch is stored; a batch that runs twice
-    finds its rows present. The batch size is set on the source
+    finds its rows present. With a ``sources.vector_store.VectorStore`` as encoder, texts sent before are not
+    encoded again. The batch size is set on the source
     (maxOffsetsPerTrigger, maxFilesPerTrigger).
     """
 
