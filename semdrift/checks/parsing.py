@@ -324,7 +324,7 @@ def embedded_texts(spark: SparkSession, d: str) -> DataFrame:
 )
 def stored_vectors(spark: SparkSession, d: str) -> DataFrame:
     """Each distinct text is encoded once, a second pass encodes none, and the vectors are those of the direct way."""
-    events = stored(spark, d).select("kafka_offset", "prompt_text", "completion_text")
+    events = cut(stored(spark, d).select("kafka_offset", "prompt_text", "completion_text"))
     direct = encode.hashed_encoder(64)
     store = VectorStore(scratch_path(spark, "vectors"), "hashed", direct, buckets=8)
 
