@@ -28,7 +28,6 @@ from semdrift.llm.frames import marked_sample
 
 # The classifier is fitted on about this many distinct labelled texts of each kind.
 SAMPLE_PER_LABEL = 2500
-MAX_TERMS = 200
 MIN_TEXTS = 5
 MIN_ODDS = 20.0
 # Terms are prefixes of these lengths, or shorter whole words that end in END.
@@ -278,21 +277,24 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     odds = ((F.col("toxic") + 0.5) / (n_toxic + 1)) / ((F.col("clean") + 0.5) / (n_clean + 1))
     counted = _term_counts(sample).where((F.col("toxic") >= MIN_TEXTS) & (odds >= MIN_ODDS))
     counted = counted.withColumn("odds", F.log(odds))
-    rows = counted.orderBy(F.desc("toxic"), "term").limit(20 * MAX_TERMS).collect()
+    # As many terms as the bounded sample holds.
+    rows = counted.orderBy(F.desc("toxic"), "term").collect()
     chosen: dict[str, int] = {}
     strength = {r["term"]: r["odds"] for r in rows}
     for r in sorted(rows, key=lambda r: (len(r["term"]), r["term"])):
         t = r["term"]
         if not any(t[:k] in chosen for k in range(1, len(t))):
             chosen[t] = r["toxic"]
-    model.terms = sorted(chosen, key=lambda t: (-chosen[t], t))[:MAX_TERMS]
-    # One edit is allowed in terms that are common enough not to be chance.
+    model.terms = sorted(chosen, key=lambda t: (-chosen[t], t))
+    # One edit is allowed in terms that are common enough not to be chance: rare ones may be words of one copied text,
+    # and what is near those is found in clean texts too.
     frequent = {t for t in model.terms if chosen[t] >= max(MIN_TEXTS, n_toxic // 50)}
     # A short prefix that always goes on the same way is lengthened as far as it does.
-    full = {}
-    for t in frequent:
-        onward = [r["term"] for r in rows if r["term"].startswith(t) and r["toxic"] >= 0.9 * chosen[t]]
-        full[t] = max([t, *onward], key=len)
+    full = {t: t for t in frequent}
+    for r in rows:
+        for t in (r["term"][:k] for k in range(1, len(r["term"]))):
+            if t in full and r["toxic"] >= 0.9 * chosen[t] and len(r["term"]) > len(full[t]):
+                full[t] = r["term"]
     model.terms = [full.get(t, t) for t in model.terms]
     soft = {full[t] for t in frequent if len(full[t]) >= MIN_FUZZY and END not in full[t]}
     model.automaton = build(model.terms, soft, [strength[t] for t in model.terms])
