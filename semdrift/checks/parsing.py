@@ -18,6 +18,7 @@ from semdrift.sources.capture import MESSAGE_SCHEMA, envelope_lines, load_events
 from semdrift.sources.capture import as_messages, read_capture_stream
 from semdrift.sources.vector_store import VectorStore
 from semdrift.streaming import ingest
+from semdrift.streaming.metrics import read_metrics
 
 ONCE = "oe as (select distinct * from pe)"
 
@@ -251,6 +252,27 @@ def streamed_ingest(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query(
+    "ingest_metrics",
+    "R-04 R-05",
+    f"with {W.PARSED} select route, count(*) as received, count_if(event_ts <= timestamp '2024-01-02 12:00:00') as late "
+    "from pe where route is not null group by route",
+)
+def ingest_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """What the batches of a stream left of their counts, summed over the batches."""
+    messages = read_capture_stream(spark, {"path": message_files(spark, d), "maxFilesPerTrigger": "2"}, "json")
+    routes = cut(parsed(spark, d).where(F.col("route").isNotNull()).select("route").distinct())
+    windows = routes.withColumn("window_end", F.lit("2024-01-02 12:00:00").cast("timestamp_ntz").cast("timestamp"))
+    path = scratch_path(spark, "metrics")
+    run = ingest.run_ingest(
+        messages, scratch_path(spark, "events"), scratch_path(spark, "rejects"), scratch_path(spark, "checkpoint"),
+        embed=False, trigger={"availableNow": True}, metrics=path, windows=lambda: windows,
+    )
+    run.awaitTermination()
+    told = read_metrics(spark, path).where(F.col("route").isNotNull())
+    return told.groupBy("route").agg(F.sum("received").alias("received"), F.sum("late").alias("late"))
+
+
 def headed_messages(spark: SparkSession, d: str) -> DataFrame:
     """Captured frames as messages; only the header frame of a stream knows route, session and request id."""
     frames = W.headed_frames(spark, d)

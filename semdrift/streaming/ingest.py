@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -13,13 +14,13 @@ from semdrift.functions.encode import Encoder, embed_events
 from semdrift.operators.merge import EVENT_KEY
 from semdrift.operators.parse import parse_events
 from semdrift.streaming.correlate import correlate_messages
+from semdrift.streaming.metrics import batch_metrics
 from semdrift.streaming.offsets import OffsetTable
 
 
 @dataclass(frozen=True)
 class IngestConfig:
-    # Rows per flush and idle poll of the capture consumer.
-    batch_rows: int = 256
+    # Fixed value: idle poll of the capture consumer.
     poll_ms: int = 1000
 
 
@@ -41,6 +42,11 @@ def append_events(batch: DataFrame, path: str) -> None:
         dated.unpersist()
 
 
+def run_name(checkpoint: str) -> str:
+    """The name under which a checkpoint's batches leave rejects and counts."""
+    return hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+
+
 def run_ingest(
     messages: DataFrame,
     target: str,
@@ -50,12 +56,17 @@ def run_ingest(
     embed: bool = True,
     trigger: dict | None = None,
     wait_ms: int | None = None,
+    metrics: str | None = None,
+    windows: Callable[[], DataFrame | None] | None = None,
 ) -> StreamingQuery:
     """Start the ingest query.
 
     With ``wait_ms`` frames take route, session and request id of their stream's header frame, also of another
     batch, and wait so long for it (``correlate.correlate_messages``).
 
+    With ``metrics`` every batch leaves its counts there (``metrics.batch_metrics``); ``windows`` is asked in each batch
+    for the routes' baseline windows, so that late rows can be told.
+
     Offsets are committed after the batch is stored; a batch that runs twice
     finds its rows present. With a ``sources.vector_store.VectorStore`` as encoder, texts sent before are not
     encoded again. The batch size is set on the source
@@ -63,15 +74,18 @@ def run_ingest(
     """
 
     # Batches of one checkpoint; another checkpoint writes beside them.
-    run = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+    run = run_name(checkpoint)
 
     def store(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
             events, bad = parse_events(batch)
             append_events(embed_events(events, encoder) if embed else events, target)
-            # A repeated batch overwrites its own rejects.
+            # A repeated batch overwrites its own rejects and counts.
             bad.write.mode("overwrite").parquet(f"{rejects}/run={run}/batch_id={batch_id}")
+            if metrics is not None:
+                counts = batch_metrics(events, bad, windows() if windows else None)
+                counts.coalesce(1).write.mode("overwrite").parquet(f"{metrics}/run={run}/batch_id={batch_id}")
         finally:
             batch.unpersist()
 
