@@ -100,5 +100,7 @@ class OffsetTable:
         before = self.intervals()
         fresh = not_covered(rows.dropDuplicates([*KEY, "kafka_offset"]), before)
         self.write(before, folder)
+        # By ranges of the dates, so that there are no more files than dates and tasks, and a long date is dealt out.
+        fresh = fresh.repartitionByRange("kafka_date", "kafka_partition", "kafka_offset")
         fresh.write.partitionBy("kafka_date").parquet(f"{self.events}/batch={folder}")
         self.write(merged(self._kept().unionByName(intervals_of(rows))), None)

@@ -215,3 +215,45 @@ def test_offsets_are_kept_as_intervals(spark, tmp_path, monkeypatch):
     for _ in range(3):
         ingest.append_events(rows([], "empty"), path)
     assert len(list((tmp_path / "events" / "_offsets").glob("v=*"))) <= offsets.KEPT_VERSIONS + 1
+
+
+def test_a_batch_of_many_dates_leaves_few_files(spark, tmp_path):
+    """No more files than dates and tasks, whatever tasks the rows of a date come from."""
+    ts = F.timestamp_seconds(1_704_067_200 + 86_400 * (F.col("id") % 40))
+    rows = spark.range(0, 400, 1, 8).select(F.lit("t").alias("kafka_topic"), F.lit(0).alias("kafka_partition"), F.col("id").alias("kafka_offset"), ts.alias("kafka_ts"), F.lit(None).cast("array<float>").alias("prompt_embedding"))
+    ingest.append_events(rows, str(tmp_path / "events"))
+    assert spark.read.parquet(str(tmp_path / "events")).count() == 400
+    assert len(list((tmp_path / "events").glob("batch=*/kafka_date=*/*.parquet"))) <= 40 + 4
+
+
+def test_streams_share_a_call_but_keep_deadlines_of_their_own():
+    """One call takes the frames of many streams; a silent one among them goes on when its own wait is over."""
+    import pandas as pd
+
+    from semdrift.streaming.correlate import _step
+
+    class State:
+        kept, hasTimedOut, timer, passed = None, False, None, 0
+        exists = property(lambda self: self.kept is not None)
+        get = property(lambda self: self.kept)
+        update = lambda self, new: setattr(self, "kept", new)
+        remove = lambda self: setattr(self, "kept", None)
+        setTimeoutTimestamp = lambda self, ms: setattr(self, "timer", ms)
+        getCurrentWatermarkMs = lambda self: self.passed
+
+    def frames(at, *rows):
+        names = ["stream_id", "frame_type", "frame_seq", "route", "kafka_offset"]
+        return pd.DataFrame(rows, columns=names).assign(kafka_topic="t", kafka_partition=0, micros=0, value="v", session_id=None, request_id=None, arrived_ms=at)
+
+    def call(at, *rows):
+        state.passed, state.hasTimedOut = at, not rows
+        out = [r for df in step((0,), iter([frames(at, *rows)] if rows else []), state) for r in zip(df["kafka_offset"], df["stream_route"], strict=True)]
+        return sorted(out)
+
+    state, step = State(), _step(100, 1000)
+    assert call(1000, ("a", "request_body", 1, None, 1), ("b", "request_body", 1, "/b", 2)) == [] and state.timer == 1100
+    assert call(1050, ("a", "request_headers", 0, "/a", 3), ("c", "request_body", 1, None, 4)) == [(1, "/a"), (3, "/a")]
+    assert state.timer == 1100
+    assert call(1120, ("a", "request_body", 2, None, 5)) == [(2, "/b"), (5, "/a")] and state.timer == 1150
+    assert call(1160) == [(4, None)] and state.timer == 2120
+    assert call(5000) == [] and state.kept is None
