@@ -175,3 +175,107 @@ def matches(turns: DataFrame, memory: DataFrame, threshold: float, plan: Thresho
     counts = found.agg(F.coalesce(F.sum("met"), F.lit(0)).alias("met"), F.coalesce(F.sum("verified"), F.lit(0)).alias("verified"))
     all_pairs = asked.agg(F.count(F.lit(1)).alias("x")).join(known.agg(F.count(F.lit(1)).alias("y"))).select((F.col("x") * F.col("y")).alias("pairs"))
     return turns.join(vectors, "prompt_embedding").select(*turns.columns, "similarity", "matched_request_id"), all_pairs.join(counts)
+
+
+# ---- matches in the order in which vectors become known -------------------
+
+# Known vectors that are compared at once while the earliest match is sought.
+EARLY_ROWS = 1024
+
+
+def known_matches(left: DataFrame, known: DataFrame, threshold: float, first: bool, plan: ThresholdPlan = ThresholdPlan()) -> DataFrame:
+    """(a, similarity, since) for left (a, vector) and known (b, vector, since): matches in the order of ``since``.
+
+    With ``first`` an ``a`` gets one row per task, its earliest match at or above the threshold. Without, it gets each
+    match that is closer than all earlier ones of its task, or as close with a smaller ``since.request_id``; so the
+    closest of those known before any time is among them. Pairs are compared in tasks that hold a bounded part of the
+    known vectors, and never listed, so a low threshold costs time but no room. Vectors without a direction match nothing.
+    """
+    spark = left.sparkSession
+    usable = F.col("vector").isNotNull() & F.exists("vector", lambda x: x != 0) & ~F.exists("vector", lambda x: F.isnan(x) | (F.abs(x) == float("inf")))
+    left, known = left.where(usable), known.where(usable)
+    parts = max(1, -(-known.count() // plan.part_rows))
+    # At least two tasks for each core, or a group would wait for one.
+    groups = max(1, -(-left.count() // plan.group_rows), -(-2 * spark.sparkContext.defaultParallelism // parts))
+    kind = known.schema["since"].dataType
+    asked = left.select(
+        F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.pmod(F.xxhash64("a"), F.lit(groups)).cast("int").alias("group"),
+        F.lit(1).alias("side"), F.col("a").alias("id"), "vector", F.lit(None).cast(kind).alias("since"),
+    )
+    held = known.select(
+        F.pmod(F.xxhash64("b"), F.lit(parts)).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"),
+        F.lit(0).alias("side"), F.col("b").alias("id"), "vector", "since",
+    )
+    dealt = held.unionByName(asked).repartition(parts * groups, "part", "group").sortWithinPartitions("part", "group", "side", "since", "id")
+    schema = dealt.select(F.col("id").alias("a"), F.lit(0.0).alias("similarity"), "since").schema
+    return dealt.mapInArrow(_meet(threshold, first), schema)
+
+
+def _meet(threshold: float, first: bool):
+    search = _earliest if first else _ladder
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, rows, times, there = None, [], [], None
+        for batch in batches:
+            keys = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+            change = np.any([np.diff(k) != 0 for k in keys], axis=0)
+            edges = [0, *(np.flatnonzero(change) + 1), len(batch)]
+            for start, stop in zip(edges, edges[1:], strict=False):
+                if start == stop:
+                    continue
+                key = tuple(k[start] for k in keys[:2])
+                if key != here:
+                    here, rows, times, there = key, [], [], None
+                unit = unit_rows(as_matrix(batch.column(4).slice(start, stop - start))[0])
+                if keys[2][start] == 0:
+                    rows.append(unit)
+                    times.append(batch.column(5).slice(start, stop - start))
+                    continue
+                if not rows:
+                    continue
+                if there is None:
+                    since = pa.concat_arrays(times)
+                    names = since.field("request_id").to_pylist()
+                    there = np.concatenate(rows), since, names
+                step = max(1, 4_000_000 // len(there[0]))
+                for i in range(0, len(unit), step):
+                    at, j, similarity = search(unit[i : i + step], there[0], there[2], threshold)
+                    ids = batch.column(3).take(pa.array(at + (start + i), pa.int64()))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(similarity, pa.float64()), there[1].take(pa.array(j, pa.int64()))], names=["a", "similarity", "since"])
+
+    return run
+
+
+def _earliest(unit: np.ndarray, known: np.ndarray, names: list, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, place in ``known``, similarity) of each row's first match."""
+    left, out = np.arange(len(unit)), []
+    for i in range(0, len(known), EARLY_ROWS):
+        cosine = np.round(unit[left] @ known[i : i + EARLY_ROWS].T, SIMILARITY_DIGITS)
+        match = cosine >= threshold
+        hit = match.any(axis=1)
+        at = match[hit].argmax(axis=1)
+        out.append((left[hit], at + i, cosine[hit, at]))
+        left = left[~hit]
+        if not len(left):
+            break
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _ladder(unit: np.ndarray, known: np.ndarray, names: list, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for each match that no earlier one beats."""
+    cosine = unit @ known.T
+    top = np.maximum.accumulate(cosine, axis=1)
+    near = cosine >= threshold - SLACK
+    near[:, 1:] &= cosine[:, 1:] >= top[:, :-1] - SLACK
+    rows, places = np.nonzero(near)
+    similarity = np.round(cosine[rows, places], SIMILARITY_DIGITS)
+    kept, row, best = [], -1, None
+    for k, (i, j, s) in enumerate(zip(rows.tolist(), places.tolist(), similarity.tolist(), strict=True)):
+        if s < threshold:
+            continue
+        # A null id stands first, as in Spark.
+        rung = (-s, names[j] is not None, names[j] or "")
+        if i != row or rung < best:
+            row, best = i, rung
+            kept.append(k)
+    return rows[kept], places[kept], similarity[kept]

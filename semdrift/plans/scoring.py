@@ -14,7 +14,7 @@ from semdrift.operators import rollups as R
 from semdrift.operators.block_search import nearest_memory, with_text
 from semdrift.operators.filters import embedded_events, online_candidates
 from semdrift.operators.merge import DRIFT_COLUMNS, MEMORY_COLUMNS, remember
-from semdrift.operators.threshold_join import ThresholdPlan, similar_pairs
+from semdrift.operators.threshold_join import ThresholdPlan, known_matches
 from semdrift.plans.baseline import Baseline, score_nearest
 from semdrift.scale import cut, small_side
 
@@ -135,29 +135,33 @@ def score_sessions(
 def grown_memory(turns: DataFrame, cfg: DetectorConfig = DetectorConfig(), plan: ThresholdPlan = ThresholdPlan()) -> DataFrame:
     """Scored turns after a pass in which every hit is remembered at once and matched by later turns.
 
-    What counts is when each distinct vector is first remembered. That time spreads along the edges "similar enough",
-    which are built once: a vector's first turn after the earliest time among its neighbours is a hit too. Rounds go
-    on from the vectors whose time became earlier, until none does, so a chain of n turns takes n rounds at most.
+    What counts is when each distinct vector is first remembered. That time spreads over pairs that are similar enough:
+    a vector's first turn after the earliest time among its neighbours is a hit too. Rounds go on from the vectors
+    whose time became earlier, until none does, so a chain of n turns takes n rounds at most. A round compares all
+    vectors with those only; pairs are never listed, as at a low threshold they are a share of all (``known_matches``).
     """
     vid = F.concat(F.hex(F.xxhash64("prompt_embedding")), F.hex(F.xxhash64("prompt_embedding", F.lit(1)))).alias("vid")
     place = F.struct(*TURN_ORDER).alias("place")
     found = turns.where(F.col("prompt_embedding").isNotNull())
     steps = cut(found.select(vid, place, (F.col("baseline_hit") | F.col("memory_hit")).alias("hit")))
-    vectors = found.select(vid, F.col("prompt_embedding").alias("vector")).groupBy("vid").agg(F.first("vector").alias("vector"))
-    pairs = similar_pairs(vectors.withColumnRenamed("vid", "a"), vectors.withColumnRenamed("vid", "b"), cfg.memory_threshold, plan)
-    edges = cut(pairs.where(F.col("b").isNotNull()).select("a", "b", "similarity"))
+    vectors = cut(found.select(vid.alias("a"), F.col("prompt_embedding").alias("vector")).groupBy("a").agg(F.first("vector").alias("vector")))
+
+    def matches(times: DataFrame, first: bool) -> DataFrame:
+        known = vectors.join(times.withColumnRenamed("vid", "a"), "a").withColumnRenamed("a", "b")
+        return known_matches(vectors, known, cfg.memory_threshold, first, plan)
+
     since = cut(steps.where("hit").groupBy("vid").agg(F.min("place").alias("since")))
     fresh = since
     while not fresh.isEmpty():
-        heard = edges.join(fresh, F.col("b") == F.col("vid")).groupBy("a").agg(F.min("since").alias("heard"))
+        heard = matches(fresh, True).groupBy("a").agg(F.min("since").alias("heard"))
         then = steps.join(heard, F.col("vid") == F.col("a")).where(F.col("place") > F.col("heard")).groupBy("vid").agg(F.min("place").alias("then"))
         fresh = cut(then.join(since, "vid", "left").where(F.col("since").isNull() | (F.col("then") < F.col("since"))).select("vid", F.col("then").alias("since")))
         since = cut(since.unionByName(fresh).groupBy("vid").agg(F.min("since").alias("since")))
-    known = edges.join(since, F.col("b") == F.col("vid")).select("a", "similarity", "since")
     # Per turn the most similar vector that was remembered before it; of equals the one with the smallest request id.
-    near = steps.join(known, F.col("vid") == F.col("a")).where(F.col("since") < F.col("place")).groupBy("place").agg(
-        F.min(F.struct((-F.col("similarity")).alias("s"), F.col("since.request_id").alias("request_id"))).alias("m")
-    )
+    rung = F.struct((-F.col("similarity")).alias("s"), F.col("since.request_id").alias("request_id"), "since")
+    known = matches(since, False).groupBy("a").agg(F.collect_list(rung).alias("rungs"))
+    before = F.filter("rungs", lambda r: r.since < F.col("place"))
+    near = steps.join(known, F.col("vid") == F.col("a")).select("place", F.array_min(before).alias("m")).where("m is not null")
     again = near.select("place.*", (-F.col("m.s")).alias("similarity"), F.col("m.request_id").alias("matched_request_id"))
     closer = _closer(turns.drop("memory_hit"), again)
     return closer.withColumn("memory_hit", F.coalesce(F.col("similarity") >= cfg.memory_threshold, F.lit(False)))

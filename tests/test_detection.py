@@ -223,3 +223,30 @@ def test_streams_add_to_the_log_of_earlier_runs(spark, tmp_path):
         assert drift.count() == drift.select("session_id").distinct().count()
     online.score_batch(half[0], 0, base, short, memory, run="three")
     assert online.run_name("/x/checkpoint") == online.run_name("/x/checkpoint") != online.run_name("/y")
+
+
+def test_grown_memory_lists_no_pairs(spark):
+    """What a loop over the turns finds, at a threshold that most pairs reach, in several parts and groups; no step
+    hands out rows for all pairs."""
+    from semdrift.operators.threshold_join import ThresholdPlan, known_matches
+
+    rng = np.random.default_rng(4)
+    vectors = rng.normal(size=(30, 3)).astype(np.float32).round(2) + 0.6
+    rows = [(f"r{i:03d}", f"s{i % 3}", "a", minute(int(rng.integers(0, 60))), vectors[i % 30].tolist(), i % 41 == 7) for i in range(90)]
+    schema = "request_id string, session_id string, route string, event_ts timestamp_ntz, prompt_embedding array<float>, baseline_hit boolean"
+    empty = {"memory_hit": F.lit(False), "similarity": F.lit(None).cast("double"), "matched_request_id": F.lit(None).cast("string")}
+    found = scoring.grown_memory(spark.createDataFrame(rows, schema).withColumns(empty), DetectorConfig(memory_threshold=0.3), ThresholdPlan(part_rows=9, group_rows=7))
+    got = {r["request_id"]: (r["memory_hit"], None if r["similarity"] is None else round(r["similarity"], 9), r["matched_request_id"]) for r in found.collect()}
+    unit = {r[0]: np.array(r[4], float) / np.linalg.norm(np.array(r[4], float)) for r in rows}
+    kept, want = {}, {}
+    for r in sorted(rows, key=lambda r: (r[3], r[2], r[1], r[0])):
+        best = min(((-round(float(unit[r[0]] @ unit[m]), 12), m) for m in kept.values()), default=(9.0, None))
+        hit = best[0] <= -0.3
+        want[r[0]] = (hit, round(-best[0], 9) if hit else None, best[1] if hit else None)
+        if (hit or r[5]) and tuple(r[4]) not in kept:
+            kept[tuple(r[4])] = r[0]
+    assert got == want
+    ids = spark.range(400).select(F.col("id").cast("string").alias("a"), F.array(F.lit(1.0), F.col("id") / 400).alias("vector"))
+    known = ids.select(F.col("a").alias("b"), "vector", F.struct(F.col("a").cast("int").alias("t"), F.col("a").alias("request_id")).alias("since"))
+    assert known_matches(ids, known, 0.5, True, ThresholdPlan(part_rows=10_000)).count() == 400
+    assert known_matches(ids, known, 0.5, False, ThresholdPlan(part_rows=10_000)).count() < 400 * 400 * 0.6
