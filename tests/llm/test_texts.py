@@ -55,6 +55,16 @@ def test_language_without_examples(spark):
     assert langid.predict_language(df, one).where("doc_id = 1").first()["lang_pred"] == "en"
 
 
+def test_unsure_languages_are_left_out(spark):
+    """A text that every machine is undecided on has the lowest score there is, and goes; a sure one stays."""
+    row = langid.features("yes")
+    model = langid.LanguageModel([["a", "b"], ["c"]], np.append(np.where(row > 0, 9.0, 0.0), 0.0)[None], [np.append(np.where(row > 0, 9.0, 0.0), 0.0)[None], np.empty((0, langid.DIM + 1))])
+    df = spark.createDataFrame([(1, "yes"), (2, "quux")], "doc_id long, text string")
+    assert {r["doc_id"]: round(r["score"], 2) for r in langid.predict_language(df, model).collect()} == {1: 1.0, 2: 0.25}
+    assert [r["doc_id"] for r in langid.filter_language(df, model).collect()] == [1]
+    assert langid.filter_language(df, model, min_score=0.25).count() == 2
+
+
 # ---- tokens ------------------------------------------------------------------
 
 
