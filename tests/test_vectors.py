@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from semdrift.config import DetectorConfig
 from semdrift.functions import vectors as V
 from semdrift.operators import neighbours
+from semdrift.operators import block_search
 from semdrift.operators.block_search import BlockPlan, nearest_memory, with_text
 from semdrift.plans import baseline as B
 
@@ -101,6 +102,34 @@ def test_block_search_equals_brute_force(spark):
     assert key(got) == key(small)
 
 
+@pytest.mark.parametrize("book_bytes", [1 << 20, 0])
+def test_memory_search_compares_distinct_vectors_only(spark, monkeypatch, book_bytes):
+    turns, x = random_turns(spark, 50, seed=6)
+    turns = turns.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(30)))).withColumn("request_id", F.concat_ws("-", "request_id", "n")).drop("n")
+    asked = []
+    for name in ("_search_book", "_search_blocks"):
+        real = getattr(block_search, name)
+        monkeypatch.setattr(block_search, name, lambda rows, *rest, real=real: (asked.append(rows.count()), real(rows, *rest))[1])
+    found = nearest_memory(turns, memory_table(spark, x[:20]), book_bytes=book_bytes, blocks=BlockPlan(block_bytes=16 * 176, group_rows=7)).collect()
+    assert asked == [50] and len(found) == 1500
+    assert all(r["similarity"] == 1.0 for r in found if int(r["request_id"][1:6]) < 20)
+
+
+def test_close_calls_are_settled_in_double():
+    rng = np.random.default_rng(7)
+    base = V.unit_rows(rng.normal(size=(30, 64)))
+    # Differences far below single precision, with the best one last.
+    memory = V.unit_rows(np.concatenate([base + s * rng.normal(size=base.shape) for s in (1e-8, 3e-9, 0.0, 0.0)]))
+    x = V.unit_rows(np.concatenate([base, rng.normal(size=(40, 64)), np.full((1, 64), np.nan)]))
+    top, at = block_search.best_rows(x, memory, memory.astype(np.float32))
+    cosine = np.round(x[:-1] @ memory.T, 12)
+    assert np.allclose(top[:-1], cosine.max(axis=1), rtol=0, atol=1.1e-12) and np.isnan(top[-1])
+    assert (at[:30] == cosine[:30].argmax(axis=1)).mean() > 0.9
+    assert (cosine[np.arange(70), at[:-1]] >= cosine.max(axis=1) - 1.1e-12).all()
+    again, _ = block_search.best_rows(x, memory, memory.astype(np.float32), top + 0.1)
+    assert np.isnan(again).all()
+
+
 def test_variance_keeps_its_digits_far_from_zero(spark):
     rng = np.random.default_rng(8)
     x = 1e5 + rng.normal(size=(2000, 3)) * 1e-3
