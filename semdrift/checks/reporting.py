@@ -208,7 +208,8 @@ def online_store(spark: SparkSession, d: str) -> online.OnlineStore:
     turns = cut(W.scored_events(spark, d))
     base, memory = D.fitted(turns), D.memory(turns)
     path = scratch_path(spark, "turns")
-    turns.repartitionByRange(3, "event_ts").write.parquet(path)
+    # Short row groups, so that many tasks share the one file of a batch.
+    turns.repartitionByRange(3, "event_ts").write.option("parquet.block.size", 8 << 20).parquet(path)
     stream = spark.readStream.schema(turns.schema).option("maxFilesPerTrigger", 1).parquet(path)
     store = online.OnlineStore(scratch_path(spark, "online"))
     run = online.run_online(
