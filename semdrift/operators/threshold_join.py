@@ -7,7 +7,9 @@ coordinates plus the product of the norms of the rest bounds the cosine (Cauchy-
 reaches the threshold are multiplied out. Nothing is lost by either filter: bounds are loosened by ``SLACK``, far
 more than rounding can move them.
 
-A cell is dealt in parts and the left side in groups, so a task holds a bounded part and streams one group past it.
+Cells are gathered in parts of bounded size, and a larger cell is dealt over parts of its own. The left side is dealt in
+groups; a task holds one part and streams one group past it, so a vector is copied once per part that has a cell for it,
+however many cells that part has.
 """
 
 from __future__ import annotations
@@ -25,6 +27,9 @@ from semdrift.operators.vector_index import _cells
 from semdrift.scale import cut, small_side
 
 SLACK = 1e-9
+# Products of one step, pairs multiplied out at once, and angles taken at once.
+STEP_CELLS = 1_000_000
+STEP_PAIRS = 65_536
 
 
 @dataclass(frozen=True)
@@ -69,96 +74,147 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, plan: Thr
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(angle)], names=["b", "vector", "cell", "angle"])
 
     placed = cut(right.mapInArrow(place, "b string, vector array<double>, cell int, angle double"))
-    found = placed.groupBy("cell").agg(F.max("angle").alias("radius"), F.ceil(F.count(F.lit(1)) / plan.part_rows).cast("int").alias("parts"))
-    cells = {r["cell"]: (r["radius"], r["parts"]) for r in found.collect()}  # at most max_cells rows
-    radius = np.array([cells.get(i, (-np.inf, 0))[0] for i in range(len(centres))])
+    counted = placed.groupBy("cell").agg(F.max("angle").alias("radius"), F.count(F.lit(1)).alias("n")).collect()  # at most max_cells rows
+    radius = np.full(len(centres), -np.inf)
+    radius[[r["cell"] for r in counted]] = [r["radius"] for r in counted]
     room = np.arccos(np.clip(threshold, -1, 1)) + SLACK
 
+    sizes = {r["cell"]: r["n"] for r in counted}
+    homes = _homes(sizes, plan.part_rows)
+    n_parts = max(first + spread for first, spread in homes.values())
+    # Which parts hold rows of a cell.
+    holds = np.zeros((len(centres), n_parts), bool)
+    for cell, (first, spread) in homes.items():
+        holds[cell, first : first + spread] = True
+
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            unit = unit_rows(as_matrix(batch.column(1))[0])
-            angle = np.arccos(np.clip(unit @ centres.T, -1, 1))
-            row, cell = np.nonzero(angle - radius <= room + 1e-7)
-            at = pa.array(row)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(cell.astype(np.int32))], names=["a", "vector", "cell"])
-
-    groups = max(1, -(-left.count() // plan.group_rows))
-    parts = F.broadcast(found.select("cell", "parts"))
-    going = left.mapInArrow(choose, "a string, vector array<double>, cell int").join(parts, "cell").select(
-        "cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.pmod(F.xxhash64("a"), F.lit(groups)).cast("int").alias("group"),
-        F.lit(1).alias("side"), F.col("a").alias("id"), "vector",
+            for i in range(0, len(batch), max(1, STEP_CELLS // max(len(centres), n_parts))):
+                some = batch.slice(i, max(1, STEP_CELLS // max(len(centres), n_parts)))
+                row, part = np.nonzero(_near(unit_rows(as_matrix(some.column(1))[0]), centres, radius, room) @ holds)
+                for j in range(0, len(row), STEP_PAIRS):
+                    at = pa.array(row[j : j + STEP_PAIRS])
+                    yield pa.RecordBatch.from_arrays([some.column(0).take(at), some.column(1).take(at), pa.array(part[j : j + STEP_PAIRS].astype(np.int32))], names=["a", "vector", "part"])
+
+    # At least two tasks for each core, or a group would wait for one.
+    groups = max(1, -(-left.count() // plan.group_rows), -(-2 * spark.sparkContext.defaultParallelism // n_parts))
+    going = left.mapInArrow(choose, "a string, vector array<double>, part int").select(
+        "part", F.pmod(F.xxhash64("a"), F.lit(groups)).cast("int").alias("group"),
+        F.lit(-1).alias("cell"), F.col("a").alias("id"), "vector",
     )
-    coming = placed.join(parts, "cell").select(
-        "cell", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"),
-        F.lit(0).alias("side"), F.col("b").alias("id"), "vector",
+    home = F.broadcast(spark.createDataFrame([(c, f, n) for c, (f, n) in homes.items()], "cell int, first int, spread int"))
+    coming = placed.join(home, "cell").select(
+        (F.col("first") + F.pmod(F.xxhash64("b"), F.col("spread"))).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"),
+        "cell", F.col("b").alias("id"), "vector",
     )
-    dealt = coming.unionByName(going).repartition("cell", "part", "group").sortWithinPartitions("cell", "part", "group", "side", "id")
-    return dealt.mapInArrow(_verify(axes, lead, threshold, best), schema)
+    dealt = coming.unionByName(going).repartition("part", "group").sortWithinPartitions("part", "group", F.col("cell") < 0, "cell", "id")
+    return dealt.mapInArrow(_verify(centres, radius, room, axes, lead, threshold, best), schema)
+
+
+def _homes(sizes: dict[int, int], part_rows: int) -> dict[int, tuple[int, int]]:
+    """cell -> (first part, number of parts): small cells share a part, large ones have parts of their own."""
+    homes, part, room = {}, -1, 0
+    for cell, n in sorted(sizes.items()):
+        if n > part_rows:
+            spread = -(-n // part_rows)
+            homes[cell], part, room = (part + 1, spread), part + spread, 0
+        elif n > room:
+            part += 1
+            homes[cell], room = (part, 1), part_rows - n
+        else:
+            homes[cell], room = (part, 1), room - n
+    return homes
 
 
-def _verify(axes: np.ndarray, lead: int, threshold: float, best: bool):
+def _near(unit: np.ndarray, centres: np.ndarray, radius: np.ndarray, room: float) -> np.ndarray:
+    """Which cells may hold a match of each row."""
+    return np.arccos(np.clip(unit @ centres.T, -1, 1)) - radius <= room + 1e-7
+
+
+def _verify(centres: np.ndarray, radius: np.ndarray, room: float, axes: np.ndarray, lead: int, threshold: float, best: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, ids, rows, there = None, [], [], None
+        here, parts, cells = None, {}, None
         for batch in batches:
-            keys = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-            change = np.any([np.diff(k) != 0 for k in keys], axis=0)
+            part, group, cell = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            change = (np.diff(part) != 0) | (np.diff(group) != 0) | (np.diff(cell) != 0)
             edges = [0, *(np.flatnonzero(change) + 1), len(batch)]
             for start, stop in zip(edges, edges[1:], strict=False):
                 if start == stop:
                     continue
-                key = tuple(k[start] for k in keys[:3])
-                if key != here:
-                    here, ids, rows, there = key, [], [], None
-                unit = unit_rows(as_matrix(batch.column(5).slice(start, stop - start))[0])
-                names = batch.column(4).slice(start, stop - start).to_pylist()
-                if keys[3][start] == 0:
-                    ids += names
-                    rows.append(unit)
-                    continue
-                if not ids:
+                if here != (part[start], group[start]):
+                    here, parts, cells = (part[start], group[start]), {}, None
+                unit = unit_rows(as_matrix(batch.column(4).slice(start, stop - start))[0])
+                names = batch.column(3).slice(start, stop - start).to_pylist()
+                if cell[start] >= 0:
+                    parts.setdefault(int(cell[start]), []).append((names, unit))
                     continue
-                if there is None:
-                    whole = np.concatenate(rows)
-                    there = (np.array(ids, object), whole, *_split(whole, axes, lead))
-                step = max(1, 2_000_000 // len(there[0]))
-                for i in range(0, len(unit), step):
-                    yield _compare(names[i : i + step], unit[i : i + step], there, axes, lead, threshold, best)
+                if cells is None:
+                    cells = {c: _cell(parts.pop(c), axes, lead) for c in list(parts)}
+                names = np.array(names, object)
+                for i in range(0, len(unit), 4096):
+                    yield from _compare(names[i : i + 4096], unit[i : i + 4096], cells, centres, radius, room, axes, lead, threshold, best)
 
     return run
 
 
+def _cell(parts: list, axes: np.ndarray, lead: int) -> tuple:
+    whole = np.concatenate([unit for _, unit in parts])
+    return np.array([i for names, _ in parts for i in names], object), whole, *_split(whole, axes, lead)
+
+
 def _split(unit: np.ndarray, axes: np.ndarray, lead: int) -> tuple[np.ndarray, np.ndarray]:
     """Leading coordinates on the axes, and the norm of the others."""
     turned = unit @ axes
     return turned[:, :lead], np.linalg.norm(turned[:, lead:], axis=1)
 
 
-def _compare(names: list[str], unit: np.ndarray, there: tuple, axes: np.ndarray, lead: int, threshold: float, best: bool) -> pa.RecordBatch:
-    ids, whole, front, rest = there
+def _compare(
+    names: np.ndarray, unit: np.ndarray, cells: dict, centres: np.ndarray, radius: np.ndarray, room: float, axes: np.ndarray, lead: int, threshold: float, best: bool
+) -> Iterator[pa.RecordBatch]:
+    """The pairs of some left rows with the cells of a part, then one row of counts for each left row."""
     mine, left_over = _split(unit, axes, lead)
-    i, j = np.nonzero(mine @ front.T + np.outer(left_over, rest) >= threshold - SLACK)
-    similarity = np.round(np.einsum("ij,ij->i", unit[i], whole[j]), SIMILARITY_DIGITS)
-    counts = np.array([[len(ids), n] for n in np.bincount(i, minlength=len(names))], np.int64)
-    good = similarity >= threshold
-    i, j, similarity = i[good], j[good], similarity[good]
-    if best and len(i):
-        # Ids are in order, so of equals the first is the smallest.
-        order = np.lexsort((j, -similarity, i))
-        first = order[np.flatnonzero(np.diff(i[order], prepend=-1))]
-        i, j, similarity = i[first], j[first], similarity[first]
-    n, a = len(names), np.array(names, object)
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(np.concatenate((a, a[i])), pa.string()),
-            pa.array([None] * n + ids[j].tolist(), pa.string()),
-            pa.array(np.concatenate((np.full(n, np.nan), similarity)), mask=np.arange(n + len(i)) < n),
-            pa.array(np.concatenate((counts[:, 0], np.zeros(len(i), np.int64)))),
-            pa.array(np.concatenate((counts[:, 1], np.zeros(len(i), np.int64)))),
-        ],
+    met, verified, held = np.zeros(len(unit), np.int64), np.zeros(len(unit), np.int64), []
+    for c, (ids, whole, front, rest) in cells.items():
+        near = np.flatnonzero(_near(unit, centres[c : c + 1], radius[c], room)[:, 0])
+        met[near] += len(ids)
+        step = max(1, STEP_CELLS // len(ids))
+        for k in range(0, len(near), step):
+            at = near[k : k + step]
+            i, j = np.nonzero(mine[at] @ front.T + np.outer(left_over[at], rest) >= threshold - SLACK)
+            i = at[i]
+            verified += np.bincount(i, minlength=len(unit))
+            similarity = np.empty(len(i))
+            for n in range(0, len(i), STEP_PAIRS):
+                pairs = slice(n, n + STEP_PAIRS)
+                similarity[pairs] = np.einsum("ij,ij->i", unit[i[pairs]], whole[j[pairs]])
+            similarity = np.round(similarity, SIMILARITY_DIGITS)
+            good = similarity >= threshold
+            i, j, similarity = i[good], j[good], similarity[good]
+            if best and len(i):
+                # Ids are in order, so of equals the first is the smallest.
+                order = np.lexsort((j, -similarity, i))
+                first = order[np.flatnonzero(np.diff(i[order], prepend=-1))]
+                held.append((i[first], ids[j[first]], similarity[first]))
+            elif len(i):
+                yield _rows(names[i], ids[j], similarity)
+    if held:
+        i, b, similarity = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = sorted(range(len(i)), key=lambda n: (i[n], -similarity[n], b[n]))
+        first = np.array(order)[np.flatnonzero(np.diff(i[order], prepend=-1))]
+        yield _rows(names[i[first]], b[first], similarity[first])
+    seen = np.flatnonzero(met)
+    none = pa.nulls(len(seen))
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(names[seen], pa.string()), none.cast(pa.string()), none.cast(pa.float64()), pa.array(met[seen]), pa.array(verified[seen])],
         names=["a", "b", "similarity", "met", "verified"],
     )
 
 
+def _rows(a: np.ndarray, b: np.ndarray, similarity: np.ndarray) -> pa.RecordBatch:
+    zero = pa.array(np.zeros(len(a), np.int64))
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(similarity), zero, zero], names=["a", "b", "similarity", "met", "verified"])
+
+
 def matches(turns: DataFrame, memory: DataFrame, threshold: float, plan: ThresholdPlan = ThresholdPlan()) -> tuple[DataFrame, DataFrame]:
     """Turns whose nearest remembered vector reaches the threshold, with ``similarity`` and ``matched_request_id``
     as the full search gives them; and the counts (pairs, met, verified) over distinct vectors."""

@@ -88,6 +88,20 @@ def test_threshold_join_loses_no_pair(spark, threshold):
         assert sum(r["verified"] for r in found) < 0.5 * len(x) * len(y)
 
 
+def test_a_vector_is_sent_once_to_a_part_of_many_cells(spark):
+    rng = np.random.default_rng(5)
+    x, y = rng.standard_normal((60, 16)), rng.standard_normal((400, 16))
+    left = spark.createDataFrame([(f"a{i}", [float(v) for v in r]) for i, r in enumerate(x)], "a string, vector array<double>")
+    right = spark.createDataFrame([(f"b{i}", [float(v) for v in r]) for i, r in enumerate(y)], "b string, vector array<double>")
+    found = threshold_join.similar_pairs(left, right, 0.3, ThresholdPlan(sample_rows=400), best=True)
+    counts = [r for r in found.collect() if r["b"] is None]
+    # One row of counts for each vector and part; without structure it meets nearly all cells.
+    assert len(counts) == len({r["a"] for r in counts}) == 60
+    assert sum(r["met"] for r in counts) > 0.5 * 60 * 400
+    homes = threshold_join._homes({0: 30, 1: 30, 2: 250, 4: 50, 5: 60}, 100)
+    assert homes == {0: (0, 1), 1: (0, 1), 2: (1, 3), 4: (4, 1), 5: (5, 1)}
+
+
 def test_matches_equal_the_full_search(spark):
     rng = np.random.default_rng(4)
     x = clustered(rng, 300, spread=0.3)
