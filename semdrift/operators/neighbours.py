@@ -18,6 +18,9 @@ from semdrift.scale import cut
 
 # Query vectors compared in one pass over the events.
 QUERIES_PER_PASS = 2048
+# Events compared with all queries of a pass at once, and pairs settled in double at once.
+STEP_ROWS = 2048
+STEP_PAIRS = 32_768
 
 
 def top_k(events: DataFrame, query: list[float], k: int = 10) -> DataFrame:
@@ -40,15 +43,17 @@ def nearest_prompts_batch(
     """(query_id, rank, request_id, similarity): the k nearest events of every query.
 
     Each task keeps its own k best per query, so at most queries x k rows per
-    task are shuffled. More queries than ``per_pass`` take several passes.
+    task are shuffled. More queries than ``per_pass`` take several passes over
+    the events, whose vectors are then made once.
     """
     asked = cut(queries.select(F.col("query_id").cast("string").alias("query_id"), doubles(F.col("vector")).alias("v")))
     passes = max(1, -(-asked.count() // per_pass))
     share = F.pmod(F.xxhash64("query_id"), F.lit(passes))
     turns = events.where(F.col("prompt_embedding").isNotNull()).select("request_id", "prompt_embedding")
+    turns = cut(turns) if passes > 1 else turns
     out = None
     for i in range(passes):
-        rows = asked.where(share == i).orderBy("query_id").collect()  # about per_pass rows
+        rows = asked.where(share == i).toArrow().sort_by("query_id")  # about per_pass rows
         part = turns.mapInArrow(_best_per_query(turns.sparkSession, rows, k), "query_id string, request_id string, similarity double")
         out = part if out is None else out.unionByName(part)
     best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "request_id")
@@ -64,38 +69,73 @@ def search_texts(
     return nearest_prompts_batch(events, asked.where(F.col("vector").isNotNull()), k, per_pass)
 
 
-def _best_per_query(spark: SparkSession, rows, k: int):
-    matrix = unit_rows(np.array([r["v"] for r in rows], dtype=np.float64)) if rows else None
-    asked = spark.sparkContext.broadcast(([r["query_id"] for r in rows], matrix))
+def _best_per_query(spark: SparkSession, rows: pa.Table, k: int):
+    present = rows.filter(rows.column("v").is_valid()) if len(rows) else rows
+    matrix = unit_rows(as_matrix(present.column("v").combine_chunks())[0]) if len(present) else np.empty((0, 0))
+    asked = spark.sparkContext.broadcast((present.column("query_id").to_pylist(), matrix))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, matrix = asked.value
-        held = [(np.empty(0), np.empty(0, dtype=object)) for _ in names]
+        if not names:
+            return
+        single = matrix.astype(np.float32)
+        # Query, similarity and id of the k best so far of each query, and the k-th similarity of those that have k.
+        held = np.empty(0, np.int64), np.empty(0), np.empty(0, dtype=object)
+        least = np.full(len(names), -np.inf)
         for batch in batches:
-            if not names or not len(batch):
-                continue
-            ids = np.array(batch.column(0).to_pylist(), dtype=object)
-            cosine = np.round(unit_rows(as_matrix(batch.column(1))[0]) @ matrix.T, SIMILARITY_DIGITS)
-            for q in range(len(names)):
-                held[q] = _best(np.append(held[q][0], cosine[:, q]), np.append(held[q][1], ids), k)
-        for name, (similarity, ids) in zip(names, held, strict=True):
-            if len(ids):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * len(ids)), pa.array(ids, pa.string()), pa.array(similarity)],
-                    names=["query_id", "request_id", "similarity"],
-                )
+            for i in range(0, len(batch), STEP_ROWS):
+                some = batch.slice(i, STEP_ROWS)
+                x = unit_rows(as_matrix(some.column(1))[0])
+                query, row = _candidates(matrix, single, x, least, k)
+                ids = np.array(some.column(0).to_pylist(), dtype=object)[row]
+                held, least = _keep_best(held, (query, _cosines(matrix, x, query, row), ids), len(names), k)
+        query, similarity, ids = held
+        if len(query):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.array(names, dtype=object)[query], pa.string()), pa.array(ids, pa.string()), pa.array(similarity)],
+                names=["query_id", "request_id", "similarity"],
+            )
 
     return run
 
 
-def _best(similarity: np.ndarray, ids: np.ndarray, k: int):
-    usable = np.nonzero(~np.isnan(similarity))[0]
-    if len(usable) > k:
-        # Everything tied with the k-th value stays in until ids decide.
-        kth = np.partition(similarity[usable], len(usable) - k)[len(usable) - k]
-        usable = usable[similarity[usable] >= kth]
-    order = sorted(usable, key=lambda i: (-similarity[i], ids[i]))[:k]
-    return similarity[order], ids[order]
+def _candidates(matrix: np.ndarray, single: np.ndarray, x: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, row) of all rows of ``x`` that may be among the k best of a query whose k-th best so far is ``least``.
+
+    Products in single precision are off by less than ``error`` on unit rows, so none that counts is left out.
+    """
+    near = single @ x.astype(np.float32).T
+    near[np.isnan(near)] = -np.inf
+    error = (x.shape[1] + 8) * 2.0**-23
+    floor = least - error
+    short = np.flatnonzero(np.isneginf(least))
+    if len(short) and len(x) > k:
+        floor[short] = np.partition(near[short], len(x) - k, axis=1)[:, len(x) - k] - 2 * error
+    return np.nonzero((near >= (floor - 2.0**-22).astype(np.float32)[:, None]) & (near > -np.inf))
+
+
+def _cosines(matrix: np.ndarray, x: np.ndarray, query: np.ndarray, row: np.ndarray) -> np.ndarray:
+    out = np.empty(len(query))
+    for i in range(0, len(query), STEP_PAIRS):
+        pairs = slice(i, i + STEP_PAIRS)
+        out[pairs] = np.einsum("ij,ij->i", matrix[query[pairs]], x[row[pairs]])
+    return np.round(out, SIMILARITY_DIGITS)
+
+
+def _keep_best(held: tuple, new: tuple, queries: int, k: int) -> tuple[tuple, np.ndarray]:
+    """The k best of each query of two lists, of equals the smallest ids; and each query's k-th similarity, if it has k."""
+    query, similarity, ids = (np.concatenate(x) for x in zip(held, new, strict=True))
+    # A null id stands last.
+    place = np.empty(len(ids), np.int64)
+    place[sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or ""))] = np.arange(len(ids))
+    order = np.lexsort((place, -similarity, query))
+    count = np.bincount(query, minlength=queries)
+    rank = np.arange(len(order)) - np.repeat(np.cumsum(count) - count, count)
+    kept = order[rank < k]
+    least = np.full(queries, -np.inf)
+    last = order[rank == k - 1]
+    least[query[last]] = similarity[last]
+    return (query[kept], similarity[kept], ids[kept]), least
 
 
 def memory_hits(turns: DataFrame, memory: DataFrame, threshold: float = 0.9, plan: ThresholdPlan = ThresholdPlan()) -> DataFrame:

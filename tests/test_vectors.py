@@ -183,6 +183,26 @@ def test_memory_edges(spark):
     assert blocked["r1"]["similarity"] == 1.0 and blocked["r3"]["similarity"] is None
 
 
+def test_passes_share_the_vectors_of_the_events(spark, monkeypatch):
+    """Ties, rows without a direction and more queries than a pass takes; the events' vectors are made once."""
+    turns, x = random_turns(spark, 90, seed=9)
+    turns = turns.unionByName(turns.withColumn("request_id", F.concat(F.lit("x"), "request_id")))
+    turns = turns.unionByName(turns.limit(1).withColumns({"request_id": F.lit("zero"), "prompt_embedding": F.transform("prompt_embedding", lambda v: v * 0)}))
+    queries = turns.select(F.col("request_id").alias("query_id"), F.col("prompt_embedding").alias("vector"))
+    stored, real = [], neighbours.cut
+    monkeypatch.setattr(neighbours, "cut", lambda df: (stored.append(df.columns), real(df))[1])
+    got = neighbours.nearest_prompts_batch(turns, queries, 3, per_pass=50).collect()
+    assert ["request_id", "prompt_embedding"] in stored
+    found = {}
+    for r in sorted(got, key=lambda r: r["rank"]):
+        found.setdefault(r["query_id"], []).append(r["request_id"])
+    u = V.unit_rows(x.astype(float))
+    assert len(found) == 180
+    for i in range(90):
+        second = np.round(u[i] @ u.T, 12).argsort()[-2]
+        assert found[f"r{i:05d}"] == found[f"xr{i:05d}"] == [f"r{i:05d}", f"xr{i:05d}", f"r{second:05d}"]
+
+
 def test_batch_search_in_one_and_many_passes(spark):
     turns, x = random_turns(spark, 300, seed=4)
     queries, q = random_turns(spark, 9, seed=5)
