@@ -226,46 +226,69 @@ def stream_lines(frames: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     before it; only the pieces of one line are ever put together. A line is
     complete once a piece of it ends in a break.
     """
-    pieces = F.split(F.coalesce("body", F.lit("")), "\n")
-    chunks = frames.select("stream_id", "frame_seq", pieces.alias("pieces"))
+    return _join_pieces(frames.select("stream_id", "frame_seq", _pieces().alias("pieces")), group_rows)
+
+
+def _pieces() -> Column:
+    return F.split(F.coalesce("body", F.lit("")), "\n")
+
+
+def _join_pieces(chunks: DataFrame, group_rows: int) -> DataFrame:
+    """Lines from chunks (stream_id, frame_seq, pieces, ...). What else a chunk has goes to the line that its first break ends."""
+    more = [c for c in chunks.columns if c not in ("stream_id", "frame_seq", "pieces")]
     breaks = (F.size("pieces") - 1).cast("bigint")
     placed = running_total(chunks, ["stream_id"], [F.col("frame_seq")], breaks, "_upto", group_rows)
     exploded = placed.select(
-        "stream_id", "frame_seq", (F.col("_upto") - breaks).alias("_before"), breaks.alias("_breaks"),
+        "stream_id", "frame_seq", (F.col("_upto") - breaks).alias("_before"), breaks.alias("_breaks"), *more,
         F.posexplode("pieces").alias("_at", "piece"),
     )
+    ends = (F.col("_at") == 0) & (F.col("_breaks") > 0)
     lines = exploded.groupBy("stream_id", (F.col("_before") + F.col("_at")).alias("line_no")).agg(
         F.expr("listagg(piece, '') within group (order by frame_seq)").alias("line"),
         F.bool_or(F.col("_at") < F.col("_breaks")).alias("complete"),
+        *[F.max(F.when(ends, F.col(c))).alias(c) for c in more],
     )
     return lines.withColumn("line", S.strip(F.col("line")))
 
 
-def sse_deltas(lines: DataFrame) -> DataFrame:
-    """Add the content and reasoning piece of each server-sent ``data:`` line; NULL for other lines."""
-    data = F.expr("substring(line, 7)")
-    payload = F.when(F.col("complete") & F.startswith("line", F.lit("data: ")) & (data != "[DONE]"), data)
+def _document(line: Column) -> Column:
+    """The parsed document of a server-sent ``data:`` line; NULL for other lines."""
+    data = F.substring(line, 7, 2**31 - 1)
+    return F.try_parse_json(F.when(F.startswith(line, F.lit("data: ")) & (data != "[DONE]"), data))
 
+
+def _delta(v: Column) -> tuple[Column, Column]:
     def field(name: str) -> Column:
-        return S.present(F.try_variant_get("v", f"$.choices[0].delta.{name}", "string"))
+        return S.present(F.try_variant_get(v, f"$.choices[0].delta.{name}", "string"))
+
+    return field("content").alias("content"), F.coalesce(field("reasoning_content"), field("reasoning")).alias("reasoning")
+
 
+def sse_deltas(lines: DataFrame) -> DataFrame:
+    """Add the content and reasoning piece of each server-sent ``data:`` line; NULL for other lines."""
+    kept = [c for c in lines.columns if c not in ("line", "complete")]
     # The generator keeps the document from being parsed once per field.
-    parsed = lines.select("stream_id", "line_no", F.explode(F.array(F.try_parse_json(payload))).alias("v"))
-    return parsed.select(
-        "stream_id", "line_no",
-        field("content").alias("content"),
-        F.coalesce(field("reasoning_content"), field("reasoning")).alias("reasoning"),
-    )
+    document = F.when(F.col("complete"), _document(F.col("line")))
+    return lines.select(*kept, F.explode(F.array(document)).alias("v")).select(*kept, *_delta(F.col("v")))
 
 
 def assemble_sse(frames: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     """The answer and reasoning text of each streamed response.
 
-    What follows the last line break is incomplete and dropped. Only the text
-    itself, not the event lines around it, is put together per stream.
+    What follows the last line break is incomplete and dropped. Lines that
+    lie whole within a chunk are read where the chunk is; only their text,
+    not the event lines around it, and the chunk's first and last piece are
+    shuffled and put together per stream.
     """
-    deltas = sse_deltas(stream_lines(frames, group_rows))
-    return deltas.groupBy("stream_id").agg(
+    inner = F.transform(F.slice("pieces", 2, F.greatest(F.size("pieces") - 2, F.lit(0))), lambda line: _document(S.strip(line)))
+    edges = F.when(F.size("pieces") > 2, F.array(F.get("pieces", F.lit(0)), F.element_at("pieces", -1))).otherwise(F.col("pieces"))
+    chunks = frames.select("stream_id", "frame_seq", _pieces().alias("pieces"))
+    chunks = chunks.select("stream_id", "frame_seq", edges.alias("pieces"), F.transform(inner, lambda v: F.struct(*_delta(v))).alias("_inner"))
+    inside = [F.array_join(f"_inner.{c}", "").alias(f"_{c}") for c in ("content", "reasoning")]
+    deltas = sse_deltas(_join_pieces(chunks.select("stream_id", "frame_seq", "pieces", *inside), group_rows))
+    # The lines inside a chunk follow the line that its first break ends.
+    texts = [F.concat(F.coalesce(c, F.lit("")), F.coalesce(f"_{c}", F.lit(""))).alias(c) for c in ("content", "reasoning")]
+    return deltas.select("stream_id", "line_no", *texts).groupBy("stream_id").agg(
         *[
             F.coalesce(F.expr(f"listagg({c}, '') within group (order by line_no)"), F.lit("")).alias(c)
             for c in ("content", "reasoning")

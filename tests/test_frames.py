@@ -51,6 +51,21 @@ def test_streamed_answers(spark, group_rows):
     }
 
 
+def test_lines_inside_a_chunk_are_not_sent_on(spark, monkeypatch):
+    """Any cutting gives the same answer, and of a chunk only its first and last piece go into the shuffle."""
+    delta = 'data: {"choices":[{"delta":{"%s":"%s"}}]}\n'
+    text = "".join(delta % ("reasoning" if i % 3 == 2 else "content", f"w{i} ") + ("\n: ping\r\n" if i % 2 else "  data: {broken\n") for i in range(40))
+    text += "data: [DONE]\n" + (delta % ("content", "lost")).rstrip("\n")
+    want = tuple("".join(f"w{i} " for i in range(40) if (i % 3 == 2) is odd) for odd in (False, True))
+    sent = []
+    total = FR.running_total
+    monkeypatch.setattr(FR, "running_total", lambda df, *a: sent.append(df) or total(df, *a))
+    sizes = [1, 7, 50, 200, 900, 10_000]
+    got = sse(spark, {str(n): [text[i : i + n] for i in range(0, len(text), n)] for n in sizes})
+    assert got == {str(n): want for n in sizes}
+    assert sent[0].agg(F.max(F.size("pieces"))).first()[0] == 2
+
+
 def test_unstreamed_answers(spark):
     rows = [("a", '{"choices":[{"message":{"content":"hi","reasoning":"why"}}]}'), ("b", "{}"), ("c", "not json")]
     df = spark.createDataFrame(rows, "stream_id string, body string")
