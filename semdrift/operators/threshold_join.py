@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from semdrift.functions.vectors import SIMILARITY_DIGITS, as_matrix, list_array, unit_rows
-from semdrift.operators.vector_index import _cells
+from semdrift.operators.vector_index import _cells, _homes
 from semdrift.scale import cut, small_side
 
 SLACK = 1e-9
@@ -111,21 +111,6 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, plan: Thr
     return dealt.mapInArrow(_verify(centres, radius, room, axes, lead, threshold, best), schema)
 
 
-def _homes(sizes: dict[int, int], part_rows: int) -> dict[int, tuple[int, int]]:
-    """cell -> (first part, number of parts): small cells share a part, large ones have parts of their own."""
-    homes, part, room = {}, -1, 0
-    for cell, n in sorted(sizes.items()):
-        if n > part_rows:
-            spread = -(-n // part_rows)
-            homes[cell], part, room = (part + 1, spread), part + spread, 0
-        elif n > room:
-            part += 1
-            homes[cell], room = (part, 1), part_rows - n
-        else:
-            homes[cell], room = (part, 1), room - n
-    return homes
-
-
 def _near(unit: np.ndarray, centres: np.ndarray, radius: np.ndarray, room: float) -> np.ndarray:
     """Which cells may hold a match of each row."""
     return np.arccos(np.clip(unit @ centres.T, -1, 1)) - radius <= room + 1e-7

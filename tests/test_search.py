@@ -67,6 +67,43 @@ def test_index_goes_below_zero_and_takes_nothing(spark, tmp_path):
     assert vector_index.load(spark, str(tmp_path / "b")).search(spark.createDataFrame([("q", [1.0])], "query_id string, vector array<double>")).collect() == []
 
 
+def test_a_search_for_all_rows_ranks_only_when_asked(spark, tmp_path):
+    """A search that cuts nothing compares all rows once, and its pairs are shuffled only for their ranks."""
+    rng = np.random.default_rng(6)
+    x = clustered(rng, 300)
+    x[200:] = x[3]
+    table = vector_table(spark, x)
+    index = vector_index.build(table, str(tmp_path / "index"), vector_index.IndexConfig(part_rows=50, group_queries=7))
+    queries = table.where("request_id like '%0' or request_id = 'zero'").select(F.col("request_id").alias("query_id"), F.col("prompt_embedding").cast("array<double>").alias("vector"))
+    found = index.search(queries, 300, probe=len(index.centroids))
+    lowest = found.groupBy().agg(F.min("similarity").alias("s"))
+    assert "Window" not in lowest._jdf.queryExecution().executedPlan().toString()
+    rows = {}
+    for r in found.collect():
+        rows.setdefault(r["query_id"], []).append((r["rank"], -r["similarity"], r["request_id"]))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert len(rows) == 30
+    for name, got in rows.items():
+        near = u @ u[int(name[1:])]
+        assert [g[0] for g in sorted(got)] == list(range(1, 301)) and sorted(got) == sorted(got, key=lambda g: g[1:])
+        assert all(abs(near[int(i[1:])] + s) < 1e-6 for _, s, i in got)
+    assert abs(lowest.first()["s"] - (u @ u[::10].T).min()) < 1e-6
+    # Fewer ranks, and queries that come twice, are cut as ever.
+    assert index.search(queries, 299, probe=len(index.centroids)).count() == 30 * 299
+    assert index.search(queries.union(queries), 300, probe=len(index.centroids)).count() == 30 * 300
+
+
+def test_a_query_is_sent_once_to_a_part_of_many_cells(spark, tmp_path):
+    x = np.random.default_rng(7).standard_normal((400, 16))
+    table = vector_table(spark, x)
+    index = vector_index.build(table, str(tmp_path / "index"), vector_index.IndexConfig(part_rows=100))
+    queries = table.where("request_id like '%0'").select(F.col("request_id").alias("query_id"), F.col("prompt_embedding").alias("vector"))
+    sizes = index._sizes()
+    dealt = index._dealt(index.probes(queries), sizes, "codes", "code", "binary").where("side = 0").select("part", "id", "cells").collect()
+    assert len(dealt) == len({(r["part"], r["id"]) for r in dealt}) <= 40 * 8 < 40 * index.probe
+    assert sum(len(r["cells"]) for r in dealt) >= 40 * min(index.probe, len(sizes))
+
+
 # ---- threshold join --------------------------------------------------------------
 
 
