@@ -94,13 +94,31 @@ class OffsetTable:
             old = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v={version}")
             old.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(old, True)
 
+    def _has_date_folders(self) -> bool:
+        """Whether batches are stored in a folder per date, as they once were; Spark reads no folder that mixes both."""
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.events)
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        batches = fs.listStatusIterator(root)
+        while batches.hasNext():
+            batch = batches.next().getPath()
+            held = fs.listStatusIterator(batch) if batch.getName().startswith("batch=") else None
+            while held is not None and held.hasNext():
+                name = held.next().getPath().getName()
+                if not name.startswith(("_", ".")):
+                    return name.startswith("kafka_date=")
+        return False
+
     def append(self, rows: DataFrame) -> None:
         """Store the rows whose offsets are not stored yet, each offset once, in a new folder."""
         folder = uuid.uuid4().hex
         before = self.intervals()
         fresh = not_covered(rows.dropDuplicates([*KEY, "kafka_offset"]), before)
         self.write(before, folder)
-        # By ranges of the dates, so that there are no more files than dates and tasks, and a long date is dealt out.
-        fresh = fresh.repartitionByRange("kafka_date", "kafka_partition", "kafka_offset")
-        fresh.write.partitionBy("kafka_date").parquet(f"{self.events}/batch={folder}")
+        # By ranges of the dates: one file per task, whatever the number of dates, and a long date is dealt out. Sorted,
+        # so that a filter on the date skips files and row groups by their statistics.
+        order = ["kafka_date", "kafka_partition", "kafka_offset"]
+        writer = fresh.repartitionByRange(*order).sortWithinPartitions(*order).write
+        if self._has_date_folders():
+            writer = writer.partitionBy("kafka_date")
+        writer.parquet(f"{self.events}/batch={folder}")
         self.write(merged(self._kept().unionByName(intervals_of(rows))), None)

@@ -7,7 +7,7 @@ from semdrift.checks.registry import COVERS, QUERIES, SQL
 from semdrift.functions import encode
 from semdrift.functions import scalars as S
 from semdrift.operators import filters
-from semdrift.operators.parse import parse_events
+from semdrift.operators.parse import events_of, parse_events, parse_messages, rejects_of
 from semdrift.plans import quality
 from semdrift.sources.capture import read_capture_stream
 from semdrift.streaming import ingest, offsets
@@ -55,6 +55,32 @@ def test_every_message_is_event_or_reject(spark):
     }
 
 
+def test_kept_messages_split_into_the_same_events_and_rejects(spark):
+    values = [{"a": 1, "body": "b"}, "{broken", "[1]", {"headers": "x"}, {"body_size": 1e12}, {"body_size": None}, {"route": "/r", "headers": {"x": "y"}}]
+    batch = messages(spark, values).unionByName(spark.createDataFrame([("t", 1, 1, None, None)], MESSAGES))
+    kept = parse_messages(batch)
+    for got, want in zip((events_of(kept), rejects_of(kept)), parse_events(batch), strict=True):
+        assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert rejects_of(kept).count() == 6
+
+
+def test_a_batch_is_parsed_once(spark, tmp_path, monkeypatch):
+    """Events, rejects and counts are read from one table that is kept."""
+    seen = []
+    for name in ("parse_messages", "events_of", "rejects_of"):
+        real = getattr(ingest, name)
+        monkeypatch.setattr(ingest, name, lambda df, real=real, name=name: (seen.append((name, df.is_cached)), real(df))[1])
+    source = tmp_path / "in"
+    rows = [("t", 0, i, TS, json.dumps({"route": "/a"}) if i else "{bad") for i in range(4)]
+    spark.createDataFrame(rows, "topic string, partition int, offset long, timestamp timestamp, value string").write.json(str(source))
+    stream = read_capture_stream(spark, {"path": str(source)}, "json")
+    paths = [str(tmp_path / n) for n in ("events", "rejects", "checkpoint")]
+    ingest.run_ingest(stream, *paths, embed=False, trigger={"availableNow": True}, metrics=str(tmp_path / "metrics")).awaitTermination()
+    assert seen == [("parse_messages", False), ("events_of", True), ("rejects_of", True)]
+    assert spark.read.parquet(paths[0]).count() == 3 and spark.read.parquet(paths[1]).count() == 1
+    assert {r["route"]: (r["received"], r["rejected"]) for r in spark.read.parquet(str(tmp_path / "metrics")).collect()} == {"/a": (3, 0), None: (0, 1)}
+
+
 def test_event_times(spark):
     rows = [("2024-01-01T10:00:00+02:00",), ("2024-01-01T08:00:00.123456Z",), ("soon",), (None,)]
     got = [r[0] for r in spark.createDataFrame(rows, "t string").select(S.event_time(F.col("t")).cast("timestamp_ntz")).collect()]
@@ -226,6 +252,34 @@ def test_a_batch_of_many_dates_leaves_few_files(spark, tmp_path):
     assert len(list((tmp_path / "events").glob("batch=*/kafka_date=*/*.parquet"))) <= 40 + 4
 
 
+def dated_rows(spark, low, high):
+    ts = F.timestamp_seconds(1_704_067_200 + 86_400 * (F.col("id") % 40))
+    return spark.range(low, high, 1, 8).select(F.lit("t").alias("kafka_topic"), F.lit(0).alias("kafka_partition"), F.col("id").alias("kafka_offset"), ts.alias("kafka_ts"), F.lit(None).cast("array<float>").alias("prompt_embedding"))
+
+
+def test_files_of_a_batch_follow_its_tasks_not_its_dates(spark, tmp_path):
+    path = str(tmp_path / "events")
+    ingest.append_events(dated_rows(spark, 0, 400), path)
+    ingest.append_events(dated_rows(spark, 0, 600), path)
+    stored = spark.read.parquet(path)
+    assert stored.count() == stored.select("kafka_offset").distinct().count() == 600
+    assert stored.where("kafka_date <> to_date(kafka_ts)").count() == 0 and stored.select("kafka_date").distinct().count() == 40
+    assert 2 <= len(list((tmp_path / "events").glob("batch=*/**/*.parquet"))) <= 8
+
+
+def test_a_store_with_a_folder_per_date_goes_on_with_them(spark, tmp_path):
+    path = str(tmp_path / "events")
+    rows = dated_rows(spark, 0, 80).withColumns({"kafka_date": F.to_date("kafka_ts"), "has_prompt_embedding": F.lit(False)})
+    rows.limit(0).write.partitionBy("kafka_date").parquet(f"{path}/batch=a")
+    rows.write.partitionBy("kafka_date").parquet(f"{path}/batch=b")
+    table = offsets.OffsetTable(spark, path)
+    table.write(offsets.intervals_of(rows), None)
+    ingest.append_events(dated_rows(spark, 0, 120), path)
+    stored = spark.read.parquet(path)
+    assert sorted(r["kafka_offset"] for r in stored.collect()) == list(range(120))
+    assert stored.where("kafka_date = to_date(kafka_ts)").count() == 120
+
+
 def test_streams_share_a_call_but_keep_deadlines_of_their_own():
     """One call takes the frames of many streams; a silent one among them goes on when its own wait is over."""
     import pandas as pd
