@@ -103,10 +103,28 @@ def parse_events(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     fields = _fields(messages)
     rejects = fields.where(F.col("reason").isNotNull()).select(*messages.columns, "reason")
-    return _typed(fields.where(F.col("reason").isNull())), rejects
+    return fields.where(F.col("reason").isNull()).select(*_typed(fields)), rejects
 
 
-def _typed(fields: DataFrame) -> DataFrame:
+def parse_messages(messages: DataFrame) -> DataFrame:
+    """Events and rejects in one table, to be kept and read with ``events_of`` and ``rejects_of``.
+
+    Rejects have a ``reason``, and their message as ``rejected``.
+    """
+    fields = _fields(messages)
+    bad = F.col("reason").isNotNull()
+    return fields.select(*_typed(fields), "reason", F.when(bad, F.struct(*messages.columns)).alias("rejected"))
+
+
+def events_of(parsed: DataFrame) -> DataFrame:
+    return parsed.where(F.col("reason").isNull()).drop("reason", "rejected")
+
+
+def rejects_of(parsed: DataFrame) -> DataFrame:
+    return parsed.where(F.col("reason").isNotNull()).select("rejected.*", "reason")
+
+
+def _typed(fields: DataFrame) -> list[Column | str]:
     body, frame, headers = F.col("body"), F.col("frame_type"), F.col("headers")
 
     def of_stream(own: Column, name: str) -> Column:
@@ -114,7 +132,7 @@ def _typed(fields: DataFrame) -> DataFrame:
         stream = f"stream_{name}"
         return S.first_present(own, F.col(stream)) if stream in fields.columns else own
 
-    return fields.select(
+    return [
         "kafka_topic", "kafka_partition", "kafka_offset", "kafka_ts",
         of_stream(_text("request_id"), "request_id").alias("request_id"),
         of_stream(S.resolve_route(_given("route"), headers), "route").alias("route"),
@@ -122,7 +140,7 @@ def _typed(fields: DataFrame) -> DataFrame:
         "frame_type",
         _truthy("end_of_stream").alias("end_of_stream"),
         "headers", "body",
-        F.coalesce(_text("body_size").try_cast("double").cast("int"), S.byte_length(body)).alias("body_size"),
+        F.coalesce(_text("body_size").try_cast("double").try_cast("int"), S.byte_length(body)).alias("body_size"),
         # Only a missing decision gets the default; an explicit null stays null.
         F.when(_kind("decision").isNull(), "Unknown").otherwise(_text("decision")).alias("decision"),
         _truthy("blocked").alias("blocked"),
@@ -138,4 +156,4 @@ def _typed(fields: DataFrame) -> DataFrame:
         _text("stream_id").alias("stream_id"),
         _text("frame_seq").try_cast("bigint").alias("frame_seq"),
         S.event_time(_text("timestamp")).alias("event_ts"),
-    )
+    ]

@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from semdrift.functions.encode import Encoder, embed_events
 from semdrift.operators.merge import EVENT_KEY
-from semdrift.operators.parse import parse_events
+from semdrift.operators.parse import events_of, parse_messages, rejects_of
 from semdrift.streaming.correlate import correlate_messages
 from semdrift.streaming.metrics import batch_metrics
 from semdrift.streaming.offsets import OffsetTable
@@ -24,10 +24,11 @@ class IngestConfig:
     poll_ms: int = 1000
 
 
-def append_events(batch: DataFrame, path: str) -> None:
+def append_events(batch: DataFrame, path: str, kept: bool = False) -> None:
     """Append rows whose topic, partition and offset are not stored yet (``offsets.OffsetTable``).
 
-    A batch that comes again stores what is missing of it; stored events are not read.
+    A batch that comes again stores what is missing of it; stored events are not read. ``kept`` says that ``batch`` is
+    persisted or as cheap to read again.
     """
     dated = batch.withColumns(
         {
@@ -35,6 +36,9 @@ def append_events(batch: DataFrame, path: str) -> None:
             "has_prompt_embedding": F.col("prompt_embedding").isNotNull(),
         }
     )
+    if kept:
+        OffsetTable(batch.sparkSession, path).append(dated)
+        return
     dated = dated.persist()
     try:
         OffsetTable(batch.sparkSession, path).append(dated)
@@ -77,17 +81,18 @@ def run_ingest(
     run = run_name(checkpoint)
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
+        # Each message is parsed once, for the events, the rejects and the counts.
+        parsed = parse_messages(batch).persist()
         try:
-            events, bad = parse_events(batch)
-            append_events(embed_events(events, encoder) if embed else events, target)
+            events, bad = events_of(parsed), rejects_of(parsed)
+            append_events(embed_events(events, encoder) if embed else events, target, kept=not embed)
             # A repeated batch overwrites its own rejects and counts.
             bad.write.mode("overwrite").parquet(f"{rejects}/run={run}/batch_id={batch_id}")
             if metrics is not None:
                 counts = batch_metrics(events, bad, windows() if windows else None)
                 counts.coalesce(1).write.mode("overwrite").parquet(f"{metrics}/run={run}/batch_id={batch_id}")
         finally:
-            batch.unpersist()
+            parsed.unpersist()
 
     if wait_ms is not None:
         messages = correlate_messages(messages, wait_ms)
