@@ -9,7 +9,9 @@ they differ in more bits than the sets may differ in shingles, the pair is out f
 
 Texts with equal shingle sets form one class and are joined once. A text that shares less than L of its short
 lists with others is out. Lists are not expanded into all pairs: members are first probed against the smallest
-id of each list; after that only ids that are still in different components are paired.
+id of each list; after that only ids that are still in different components are paired, and a pair not again for
+each list it shares: a row names its text's ``BEFORE`` open lists before it, and of two rows that share one of those
+the pair is made there.
 
 Null and empty texts have an empty set and link with nothing. Repeated rows stay repeated. If different texts
 share an id, they count as one document whose links follow one of them. Null ids are dropped. Extra columns are
@@ -33,6 +35,8 @@ SKETCH_BITS = 20
 _CHUNKS = 64
 # Short lists beyond the first n - T + 1; a partner shows up once more for each.
 SLACK = 8
+# Lists of a text that a row of an open list names, so that a pair is not made again for each list it shares.
+BEFORE = 16
 # Bits of the filter that keeps texts without any partner from being shuffled.
 FILTER_BITS = 22
 # Longs of a set's parity sketch: bit h mod 512 is flipped by each shingle h.
@@ -150,6 +154,27 @@ def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return likely.select("doc_id", "text").join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
 
 
+def _open_pairs(open_: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share a list of ``open_`` (tok, id, c, n, s0 .. s7) and may link.
+
+    The first list that a pair shares always makes it: no earlier one is shared then. Few later ones do.
+    """
+    earlier = Window.partitionBy("id").orderBy("tok").rowsBetween(-BEFORE, -1)
+    rows = open_.withColumn("before", F.collect_list("tok").over(earlier))
+    x, y = rows.alias("x"), rows.alias("y")
+    fresh = (F.col("x.tok") == F.col("y.tok")) & (F.col("x.c") < F.col("y.c")) & _may_link("x", "y", percent) & ~F.arrays_overlap("x.before", "y.before")
+    return x.join(y, fresh).select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b"))
+
+
+def _often_met(pairs: DataFrame, open_: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` that share as many lists of ``open_`` as partners do."""
+    lists = open_.groupBy("id").agg(F.collect_list("tok").alias("toks"), F.max("n").alias("n"))
+    x, y = lists.alias("x"), lists.alias("y")
+    both = pairs.join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id"))
+    shared = F.size(F.array_intersect("x.toks", "y.toks"))
+    return both.where(shared >= _often(F.greatest("x.n", "y.n"), percent)).select("a", "b")
+
+
 def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (doc_id, n_shingles, class_id, component_id), one for each row of ``docs`` with an id.
 
@@ -191,11 +216,8 @@ def jaccard_groups(docs: DataFrame, width: int = 5, percent: int = 80, id_col: s
     placed = active.join(found, "id", "left").select("tok", "id", F.coalesce("component_id", "id").alias("c"))
     split = placed.groupBy("tok").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("tok")
     open_ = cut(placed.join(split, "tok", "left_semi").join(marks, "id"))
-    x, y = open_.alias("x"), open_.alias("y")
-    pair = [F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")]
-    cross = x.join(y, (F.col("x.tok") == F.col("y.tok")) & (F.col("x.c") < F.col("y.c")) & _may_link("x", "y", percent))
-    cross = cross.groupBy(*pair).agg(F.count(F.lit(1)).alias("c"), F.max(F.greatest("x.n", "y.n")).alias("n"))
-    cross = cross.where(F.col("c") >= _often(F.col("n"), percent)).select("a", "b").join(tried, ["a", "b"], "left_anti")
+    cross = _open_pairs(open_, percent).distinct().join(tried, ["a", "b"], "left_anti")
+    cross = _often_met(cross, open_, percent)
     more = confirmed(cut(cross))
     final = components(links.union(more))
     return members.join(final, members["class_id"] == final["id"], "left").select("doc_id", F.col("n").alias("n_shingles"), "class_id", F.coalesce("component_id", "class_id").alias("component_id"))

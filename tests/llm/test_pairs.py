@@ -299,3 +299,18 @@ def test_sentences_of_scripts_without_spaces():
     assert spans.sentence_starts("你好。再见！」走\x85x.  Y") == [0, 3, 7, 9, 13]
     h, at, n = spans.spans("你好。再见！ 走.  Y z", 3, True)
     assert at.max() + n.max() <= 6 and len(h)
+
+
+def test_a_pair_that_shares_many_lists_is_made_about_once(spark):
+    """Every pair that the lists hold is made, however their members overlap, and the count of shared lists is exact."""
+    draw = random.Random(5)
+    lists = {i: sorted(draw.sample(range(300), 60 if i < 12 else 250)) for i in range(20)}
+    rows = [(tok, i, i % 4, 500, *[0] * 8) for i, toks in lists.items() for tok in toks]
+    open_ = spark.createDataFrame(rows, f"tok long, id long, c long, n long, {', '.join(c + ' long' for c in jaccard.SKETCHES)}")
+    made = [tuple(r) for r in jaccard._open_pairs(open_, 80).collect()]
+    met = {(b, a): len(set(lists[a]) & set(lists[b])) for a, b in itertools.combinations(lists, 2) if a % 4 != b % 4}
+    assert set(made) == {p for p, n in met.items() if n}
+    assert len(made) < sum(met.values()) / 8
+    pairs = spark.createDataFrame(sorted(set(made)), "a long, b long")
+    kept = {tuple(r) for r in jaccard._often_met(pairs, open_, 80).collect()}
+    assert kept == {p for p, n in met.items() if n >= 1 + jaccard.SLACK} and kept < set(made)
