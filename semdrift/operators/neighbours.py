@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 
 from semdrift.functions.encode import Encoder, embed_text
 from semdrift.functions.vectors import SIMILARITY_DIGITS, as_matrix, doubles, similarity_kernel, unit_rows
+from semdrift.operators import cell_search
 from semdrift.operators.threshold_join import ThresholdPlan, matches
 from semdrift.scale import cut
 
-# Query vectors compared in one pass over the events.
+# Query vectors that are compared in one pass over the events; more go by cells.
 QUERIES_PER_PASS = 2048
 # Events compared with all queries of a pass at once, and pairs settled in double at once.
 STEP_ROWS = 2048
@@ -42,20 +43,19 @@ def nearest_prompts_batch(
 ) -> DataFrame:
     """(query_id, rank, request_id, similarity): the k nearest events of every query.
 
-    Each task keeps its own k best per query, so at most queries x k rows per
-    task are shuffled. More queries than ``per_pass`` take several passes over
-    the events, whose vectors are then made once.
+    Up to ``per_pass`` queries go to every task, which keeps its own k best per
+    query, so at most queries x k rows per task are shuffled. More queries meet
+    the events by cells (``cell_search``), whose vectors are then made once.
     """
-    asked = cut(queries.select(F.col("query_id").cast("string").alias("query_id"), doubles(F.col("vector")).alias("v")))
-    passes = max(1, -(-asked.count() // per_pass))
-    share = F.pmod(F.xxhash64("query_id"), F.lit(passes))
+    asked = cut(queries.select(F.col("query_id").cast("string").alias("query_id"), F.col("vector").alias("v")))
+    count = asked.count()
     turns = events.where(F.col("prompt_embedding").isNotNull()).select("request_id", "prompt_embedding")
-    turns = cut(turns) if passes > 1 else turns
-    out = None
-    for i in range(passes):
-        rows = asked.where(share == i).toArrow().sort_by("query_id")  # about per_pass rows
-        part = turns.mapInArrow(_best_per_query(turns.sparkSession, rows, k), "query_id string, request_id string, similarity double")
-        out = part if out is None else out.unionByName(part)
+    if count > per_pass:
+        stored = cut(turns).select("request_id", F.col("prompt_embedding").alias("vector"))
+        out = cell_search.nearest(stored, asked.select("query_id", F.col("v").alias("vector")), count, k)
+    else:
+        rows = asked.toArrow().sort_by("query_id")
+        out = turns.mapInArrow(_best_per_query(turns.sparkSession, rows, k), "query_id string, request_id string, similarity double")
     best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "request_id")
     ranked = out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "request_id", "similarity")
