@@ -40,9 +40,9 @@ FIRST_CELLS, MOST_CELLS = 4, 256
 class CellPlan:
     max_cells: int = 1024
     sample_rows: int = 20_000  # vectors on which cells are learned
-    sample_bytes: int = 64 * 1024 * 1024
+    sample_bytes: int = 24 * 1024 * 1024  # as they are worked on in the driver
     part_rows: int = 100_000  # vectors held by one task
-    part_bytes: int = 128 * 1024 * 1024
+    part_bytes: int = 64 * 1024 * 1024
     group_rows: int = 100_000  # queries that meet one copy of a part
 
 
